@@ -34,6 +34,8 @@ from .common import Scratch, hash_words, mix, runs, slices, split_words
 
 #: Keys that one group of the bucket join holds about, and sets in a tile of the second round.
 GROUP_KEYS, TILE = 1 << 17, 1024
+#: Bits of the filter that is broadcast (2 MB at most).
+BITMAP = 1 << 24
 SEEDS = 4
 U = np.uint64
 
@@ -136,14 +138,6 @@ def sketch(h: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8), bitorder="little").view(U)
 
 
-def hamming(x: np.ndarray, y: np.ndarray) -> int:
-    while len(x) > len(y):
-        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-    while len(y) > len(x):
-        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
-    return int(np.bitwise_count(x ^ y).sum())
-
-
 def _sizes(batches, width):
     for b in slices(batches, "text"):
         h, o, size = shingle_sets(b.column("text"), width)
@@ -204,29 +198,34 @@ def _buckets(group: pa.Table) -> pa.Table:
     return pa.table({"bucket": np.repeat(bucket, size)[use], "node": v[use], "pivot": np.repeat(v[start] if len(k) else v, size)[use]})
 
 
-def _sets(batches, width):
+def _sketches(batches, width):
+    """The texts of nodes, with their sketches."""
     for b in slices(batches, "text"):
         h, o, size = shingle_sets(b.column("text"), width)
+        mine = set_ids(h, o, b.num_rows) == b.column("node").to_numpy(zero_copy_only=False)  # not another text under the same doc_id
         order = np.argsort(o, kind="stable")
         h, at = h[order], np.concatenate([[0], np.cumsum(size)])
-        own = [h[at[i] : at[i + 1]] for i in range(b.num_rows)]
-        yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([sketch(x).tobytes() for x in own], pa.binary()), pa.array([x.tobytes() for x in own], pa.binary())], ["node", "bits", "members"])
+        bits = pa.array([sketch(h[at[i] : at[i + 1]]).tobytes() for i in range(b.num_rows)], pa.binary())
+        yield pa.RecordBatch.from_arrays([b.column("node"), b.column("n"), bits, b.column("text")], ["node", "n", "bits", "text"]).filter(pa.array(mine))
+
+
+def _members(table: pa.Table, text: str, width: int):
+    """The set of each row, in order."""
+    for b in slices(iter(table.combine_chunks().to_batches()), text):
+        h, o, size = shingle_sets(b.column(text), width)
+        h, at = h[np.argsort(o, kind="stable")], np.concatenate([[0], np.cumsum(size)])
+        yield from (h[at[i] : at[i + 1]] for i in range(b.num_rows))
 
 
-def _verify(pairs: pa.Table, pivots: pa.Table, percent: int) -> pa.Table:
+def _verify(pairs: pa.Table, pivots: pa.Table, width: int, percent: int) -> pa.Table:
     """Pairs (node, pivot) whose sets link."""
-    sets = dict(zip(pivots.column("p").to_pylist(), pivots.column("own").to_pylist()))
-    a, b = [], []
-    for node, pivot, x in zip(*(pairs.column(c).to_pylist() for c in ("node", "pivot", "members"))):
-        x, y = np.frombuffer(x, U), np.frombuffer(sets[pivot], U)
-        if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-            continue
+    y = next(_members(pivots, "own", width), np.zeros(0, U))
+    ok = []
+    for x in _members(pairs, "text", width):
         both = np.sort(np.concatenate([x, y]))
         shared = int((both[1:] == both[:-1]).sum())
-        if 100 * shared >= percent * (len(both) - shared):
-            a.append(node)
-            b.append(pivot)
-    return pa.table({"node": pa.array(a, pa.int64()), "pivot": pa.array(b, pa.int64())})
+        ok.append(100 * shared >= percent * (len(both) - shared))
+    return pairs.select(["node", "pivot"]).filter(pa.array(ok, pa.bool_()))
 
 
 def _tile(group: pa.Table, percent: int) -> pa.Table:
@@ -295,18 +294,20 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     found = blobs.groupBy("pid").applyInArrow(_buckets, "bucket long, node long, pivot long")
     buckets = scratch.keep(found.distinct(), "buckets")
 
-    # the sets themselves, of nodes in some bucket only
-    need = buckets.select("node").distinct().join(nodes, "node")
-    sets = docs.join(need, "doc_id").dropDuplicates(["node"]).select("node", "text").mapInArrow(partial(_sets, width=width), "node long, bits binary, members binary")
-    sets = scratch.keep(sets.join(need.select("node", "n"), "node"), "sets")
+    # the texts of nodes in some bucket only: a bitmap of bounded size keeps most others from the shuffle
+    need = scratch.keep(buckets.select("node").distinct().join(nodes, "node"), "need")
+    spot = F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP))
+    words = need.groupBy(F.shiftright(spot, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc_id), {BITMAP}) % 64 as int))")).alias("mask"))
+    likely = docs.withColumn("word", F.shiftright(spot, 6)).join(F.broadcast(words), "word").filter(f"(mask & shiftleft(1L, cast(pmod(xxhash64(doc_id), {BITMAP}) % 64 as int))) != 0")
+    texts = scratch.keep(likely.join(need, "doc_id").select("node", "n", "text").mapInArrow(partial(_sketches, width=width), "node long, n long, bits binary, text string"), "texts")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """Members travel once for each pair, a pivot's once for each part of at most some hundreds of its pairs."""
+        """A node's text travels once for each pair, a pivot's once for each part of some hundreds of its pairs."""
         part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
         many = pairs.groupBy("pivot").agg(F.expr("cast(ceil(count(*) / 256) as int)").alias("parts"))
-        left = pairs.join(many, "pivot").withColumn("part", part).join(sets.select("node", "members"), "node")
-        right = many.select(F.col("pivot").alias("p"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("q")).join(sets.select(F.col("node").alias("p"), F.col("members").alias("own")), "p")
-        return left.select("pivot", "part", "node", "members").groupBy("pivot", "part").cogroup(right.select("p", "q", "own").groupBy("p", "q")).applyInArrow(lambda x, y: _verify(x, y, percent), "node long, pivot long")
+        left = pairs.join(many, "pivot").withColumn("part", part).join(texts.select("node", "text"), "node")
+        right = many.select(F.col("pivot").alias("p"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("q")).join(texts.select(F.col("node").alias("p"), F.col("text").alias("own")), "p")
+        return left.select("pivot", "part", "node", "text").groupBy("pivot", "part").cogroup(right.groupBy("p", "q")).applyInArrow(lambda x, y: _verify(x, y, width, percent), "node long, pivot long").distinct()
 
     first = buckets.filter("node != pivot").groupBy("node").agg(F.min("pivot").alias("pivot"))
     links = scratch.keep(verified(first), "links")
@@ -316,7 +317,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     named = buckets.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
     apart = named.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("s")).filter("x != y").select("bucket", F.expr(f"cast(ceil(s / {TILE}) as int)").alias("tiles"))
     tiles = named.join(apart, "bucket").withColumn("part", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    tiles = tiles.select("bucket", "node", "label", "part", F.least("part", "other").alias("ta"), F.greatest("part", "other").alias("tb")).join(sets.select("node", "n", "bits"), "node")
+    tiles = tiles.select("bucket", "node", "label", "part", F.least("part", "other").alias("ta"), F.greatest("part", "other").alias("tb")).join(texts.select("node", "n", "bits"), "node")
     pairs = tiles.groupBy("bucket", "ta", "tb").applyInArrow(lambda x: _tile(x, percent), "node long, pivot long").distinct()
     pairs = scratch.keep(pairs.join(first, ["node", "pivot"], "left_anti"), "pairs")
     more = verified(pairs)
