@@ -12,14 +12,44 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 
 
+TOKENIZER = "word_bpe_49k.json"
+
+
+def tokenizer_path(name: str = TOKENIZER) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op7_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import personal_data
+
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
+def op8_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality_scores
+
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
+
+
+def op9_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import packed
+
+    return packed(table(spark, sf_dir, "documents"), tokenizer_path(), window=4096)
+
+
 def op10_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .parity import jaccard_components
 
     return jaccard_components(table(spark, sf_dir, "documents"), width=5, percent=80)
 
 
+QUERIES = (op7_pii_crf, op8_line_crf_quality, op9_bm25_packing, op10_parity_join)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op10_parity_join": op10_parity_join}
+    return {f.__name__: f for f in QUERIES}
 
 
 SQL: dict[str, str] = {}
