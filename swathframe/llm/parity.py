@@ -9,12 +9,13 @@ trace in the XOR of their sketches, and one that they do not share changes one c
 a lower bound of the symmetric difference. So linked sets agree in at least k - D cells (pigeonhole), and joining on
 (size band, cell, content) finds every link. k exceeds D by more than the usual number of empty cells, so those need
 no join; a set with more empty cells is dealt out again under other seeds, and under the last also joins on them.
-One-bit cells (a bit sketch of about two bits a shingle, which folds to its half) give the same bound and reject most
+One-bit cells (a bit sketch of one to two bits a shingle, which folds to its half) give the same bound and reject most
 of what the join brings before exact verification.
 
 Equal sets are one node from the start. A group of near copies costs links to one pivot, not all pairs: the first
-round verifies one pivot a node; the second compares, inside a bucket, only sets that are not yet connected, in tiles
-of bounded size.
+round verifies one pivot a node; the second verifies what else may link sets that are not yet connected: other pivots,
+and inside a bucket other members, compared by their bits in tiles of bounded size. Only pairs that pass the bound on bits
+have their texts fetched.
 
 Defined cases: null or blank text has the empty set, n_shingles 0, component_id its own doc_id; a null doc_id takes no
 part in links, component_id null; repeated rows and equal texts share a component; an empty table gives no rows; other
@@ -33,7 +34,9 @@ from pyspark.sql import functions as F
 from .common import Scratch, hash_words, mix, runs, slices, split_words
 
 #: Keys that one group of the bucket join holds about, and sets in a tile of the second round.
-GROUP_KEYS, TILE = 1 << 17, 1024
+GROUP_KEYS, TILE = 1 << 20, 1024
+#: Groups of the bucket join at least, and rows of small buckets that are compared together.
+GROUPS, CHUNK = 64, 1 << 14
 #: Bits of the filter that is broadcast (2 MB at most).
 BITMAP = 1 << 24
 SEEDS = 4
@@ -130,9 +133,9 @@ def keys_of(h: np.ndarray, o: np.ndarray, size: np.ndarray, bands: Bands) -> tup
 
 
 def sketch(h: np.ndarray) -> np.ndarray:
-    """Parity bits of one set, as 64-bit words; a power of two of bits, two a shingle at least."""
+    """Parity bits of one set, as 64-bit words; a power of two of bits, one a shingle at least."""
     m = 64
-    while m < 2 * len(h):
+    while m < len(h):
         m *= 2
     bits = np.bincount((mix(h ^ U(0x27D4EB2F165667C5)) & U(m - 1)).astype(np.int64), minlength=m) & 1
     return np.packbits(bits.astype(np.uint8), bitorder="little").view(U)
@@ -142,7 +145,9 @@ def _sizes(batches, width):
     for b in slices(batches, "text"):
         h, o, size = shingle_sets(b.column("text"), width)
         ids = set_ids(h, o, b.num_rows)
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(size.astype(np.int64)), pa.array(ids, mask=size == 0)], ["doc_id", "n_shingles", "node"])
+        h, at = h[np.argsort(o, kind="stable")], np.concatenate([[0], np.cumsum(size)])
+        bits = [sketch(h[at[i] : at[i + 1]]).tobytes() for i in range(b.num_rows)]
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(size.astype(np.int64)), pa.array(ids, mask=size == 0), pa.array(bits, pa.binary())], ["doc_id", "n_shingles", "node", "bits"])
 
 
 def _blobs(batches, width, percent, groups):
@@ -198,15 +203,12 @@ def _buckets(group: pa.Table) -> pa.Table:
     return pa.table({"bucket": np.repeat(bucket, size)[use], "node": v[use], "pivot": np.repeat(v[start] if len(k) else v, size)[use]})
 
 
-def _sketches(batches, width):
-    """The texts of nodes, with their sketches."""
+def _same(batches, width):
+    """The texts that are their node's (not another text under the same doc_id)."""
     for b in slices(batches, "text"):
-        h, o, size = shingle_sets(b.column("text"), width)
-        mine = set_ids(h, o, b.num_rows) == b.column("node").to_numpy(zero_copy_only=False)  # not another text under the same doc_id
-        order = np.argsort(o, kind="stable")
-        h, at = h[order], np.concatenate([[0], np.cumsum(size)])
-        bits = pa.array([sketch(h[at[i] : at[i + 1]]).tobytes() for i in range(b.num_rows)], pa.binary())
-        yield pa.RecordBatch.from_arrays([b.column("node"), b.column("n"), bits, b.column("text")], ["node", "n", "bits", "text"]).filter(pa.array(mine))
+        h, o, _ = shingle_sets(b.column("text"), width)
+        mine = set_ids(h, o, b.num_rows) == b.column("node").to_numpy(zero_copy_only=False)
+        yield b.select(["node", "text"]).filter(pa.array(mine))
 
 
 def _members(table: pa.Table, text: str, width: int):
@@ -228,33 +230,66 @@ def _verify(pairs: pa.Table, pivots: pa.Table, width: int, percent: int) -> pa.T
     return pairs.select(["node", "pivot"]).filter(pa.array(ok, pa.bool_()))
 
 
-def _tile(group: pa.Table, percent: int) -> pa.Table:
-    """Pairs of a tile between sets that aren't connected yet and whose sketches do not exceed the bound."""
+class Bits:
+    """Sketches of many sets, and which pairs of them may link."""
+
+    def __init__(self, bits: pa.ChunkedArray | pa.Array, size: np.ndarray, bands: Bands):
+        parts = [np.frombuffer(x, U) for x in bits.to_pylist()]
+        self.width = np.array([len(x) for x in parts], np.int64)
+        self.flat = np.concatenate(parts) if parts else np.zeros(0, U)
+        self.at, self.size, self.bands = np.cumsum(self.width) - self.width, size, bands
+
+    def near(self, i: np.ndarray, j: np.ndarray, other: Bits | None = None) -> np.ndarray:
+        """Whether set i of these and set j of these (or the others) differ in no more bits and size than linked sets may."""
+        other = other or self
+        a, b = self.size[i], other.size[j]
+        ok = 100 * np.minimum(a, b) >= self.bands.t * np.maximum(a, b)
+        most = self.bands.differ(a + b)
+        kind = self.width[i] << 32 | other.width[j]
+        for k in np.unique(kind[ok]):
+            w, v = int(k >> 32), int(k & 0xFFFFFFFF)
+            at = np.flatnonzero(ok & (kind == k))
+            step = max(1, (1 << 19) // max(w, v))
+            for p in range(0, len(at), step):
+                part = at[p : p + step]
+                x = self.flat[self.at[i[part]][:, None] + np.arange(w)]
+                y = other.flat[other.at[j[part]][:, None] + np.arange(v)]
+                while x.shape[1] > y.shape[1]:
+                    x = x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :]
+                while y.shape[1] > x.shape[1]:
+                    y = y[:, : y.shape[1] // 2] ^ y[:, y.shape[1] // 2 :]
+                ok[part] = np.bitwise_count(x ^ y).sum(axis=1) <= most[part]
+        return ok
+
+
+def _stars(batches, percent):
+    """The pairs (node, pivot) that pass the bound."""
     bands = Bands(percent)
-    node, part, label, size = (group.column(c).to_numpy() for c in ("node", "part", "label", "n"))
-    bits = [np.frombuffer(x, U) for x in group.column("bits").to_pylist()]
+    for b in batches:
+        x, y = (Bits(b.column(c), b.column(n).to_numpy(zero_copy_only=False), bands) for c, n in (("bits", "n"), ("pivot_bits", "pivot_n")))
+        i = np.arange(b.num_rows)
+        yield b.select(["node", "pivot"]).filter(pa.array(x.near(i, i, y)))
+
+
+def _tile(group: pa.Table, percent: int) -> pa.Table:
+    """Pairs inside the buckets of a group (or between two parts of a large one) of sets that aren't connected yet and pass the bound."""
+    group = group.sort_by([("bucket", "ascending"), ("node", "ascending")])
+    bucket, node, part, label, size = (group.column(c).to_numpy() for c in ("bucket", "node", "part", "label", "n"))
+    bits = Bits(group.column("bits"), size, Bands(percent))
     ta, tb = group.column("ta")[0].as_py(), group.column("tb")[0].as_py()
-    out_a, out_b = [], []
-    widths = np.array([len(x) for x in bits])
-    by_width = {w: (np.flatnonzero(widths == w), np.stack([bits[i] for i in np.flatnonzero(widths == w)])) for w in np.unique(widths)}
-    for i in np.flatnonzero(part == ta):
-        for w, (rows, grid) in by_width.items():
-            ok = (part[rows] == tb) & (label[rows] != label[i]) & (100 * np.minimum(size[rows], size[i]) >= percent * np.maximum(size[rows], size[i]))
-            if ta == tb:
-                ok &= node[rows] > node[i]
-            if not ok.any():
-                continue
-            x, g = bits[i], grid[ok]
-            while len(x) > g.shape[1]:
-                x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-            while g.shape[1] > len(x):
-                g = g[:, : g.shape[1] // 2] ^ g[:, g.shape[1] // 2 :]
-            near = np.bitwise_count(g ^ x).sum(axis=1) <= bands.differ(size[rows][ok] + size[i])
-            hit = node[rows][ok][near]
-            out_a.append(np.maximum(hit, node[i]))
-            out_b.append(np.minimum(hit, node[i]))
-    none = np.zeros(0, np.int64)
-    return pa.table({"node": np.concatenate(out_a or [none]), "pivot": np.concatenate(out_b or [none])})
+    out, i, d = [], np.arange(len(node)), 1
+    while True:
+        i = i[i + d < len(node)]
+        i = i[bucket[i] == bucket[i + d]]
+        if not len(i):
+            break
+        j = i + d
+        ok = (label[i] != label[j]) & ((part[i] == ta) & (part[j] == tb) | (part[i] == tb) & (part[j] == ta))
+        ok[ok] = bits.near(i[ok], j[ok])
+        out.append(np.stack([np.maximum(node[i[ok]], node[j[ok]]), np.minimum(node[i[ok]], node[j[ok]])]))
+        d += 1
+    pairs = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((2, 0), np.int64)
+    return pa.table({"node": pairs[0], "pivot": pairs[1]})
 
 
 def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -280,47 +315,62 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         before = now
 
 
+def fetched(docs: DataFrame, need: DataFrame) -> DataFrame:
+    """node and text of the documents in need (node, doc_id). A broadcast bitmap of bounded size keeps most others from the shuffle."""
+    word = F.shiftright(F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP)), 6)
+    bit = f"shiftleft(1L, cast(pmod(xxhash64(doc_id), {BITMAP}) % 64 as int))"
+    words = need.groupBy(word.alias("word")).agg(F.bit_or(F.expr(bit)).alias("mask"))
+    likely = docs.withColumn("word", word).join(F.broadcast(words), "word").filter(f"(mask & {bit}) != 0")
+    return likely.join(need, "doc_id").select("node", "text")
+
+
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs (doc_id, text)."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "parity")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sizes = scratch.keep(docs.mapInArrow(partial(_sizes, width=width), "doc_id long, n_shingles long, node long"), "sizes")
+    sizes = scratch.keep(docs.mapInArrow(partial(_sizes, width=width), "doc_id long, n_shingles long, node long, bits binary"), "sizes")
     total = sizes.filter("doc_id is not null and node is not null").agg(F.sum("n_shingles")).first()[0] or 0
-    groups = max(1, round(0.6 * total / GROUP_KEYS))
+    groups = max(GROUPS, round(0.6 * total / GROUP_KEYS))
 
     nodes = scratch.keep(sizes.filter("doc_id is not null and node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n")), "nodes")
     blobs = docs.filter("doc_id is not null").mapInArrow(partial(_blobs, width=width, percent=percent, groups=groups), "pid long, blob binary")
     found = blobs.groupBy("pid").applyInArrow(_buckets, "bucket long, node long, pivot long")
     buckets = scratch.keep(found.distinct(), "buckets")
 
-    # the texts of nodes in some bucket only: a bitmap of bounded size keeps most others from the shuffle
-    need = scratch.keep(buckets.select("node").distinct().join(nodes, "node"), "need")
-    spot = F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP))
-    words = need.groupBy(F.shiftright(spot, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc_id), {BITMAP}) % 64 as int))")).alias("mask"))
-    likely = docs.withColumn("word", F.shiftright(spot, 6)).join(F.broadcast(words), "word").filter(f"(mask & shiftleft(1L, cast(pmod(xxhash64(doc_id), {BITMAP}) % 64 as int))) != 0")
-    texts = scratch.keep(likely.join(need, "doc_id").select("node", "n", "text").mapInArrow(partial(_sketches, width=width), "node long, n long, bits binary, text string"), "texts")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        """A node's text travels once for each pair, a pivot's once for each part of some hundreds of its pairs."""
-        part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    # first bound, on bits, of every pair of a node and a pivot
+    bits = buckets.select("node").distinct().join(nodes, "node").join(sizes.select("node", "doc_id", "bits"), ["node", "doc_id"])
+    bits = scratch.keep(bits.dropDuplicates(["node"]).select("node", "doc_id", "n", "bits"), "bits")
+    stars = buckets.filter("node != pivot").select("node", "pivot").distinct()
+    stars = stars.join(bits.select("node", "n", "bits"), "node").join(bits.select(F.col("node").alias("pivot"), F.col("n").alias("pivot_n"), F.col("bits").alias("pivot_bits")), "pivot")
+    stars = scratch.keep(stars.mapInArrow(partial(_stars, percent=percent), "node long, pivot long"), "stars")
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        """The pairs whose sets link. A node's text travels once for each pair, a pivot's once for each part of some hundreds of its pairs."""
+        need = pairs.select(F.explode(F.array("node", "pivot")).alias("node")).distinct().join(bits.select("node", "doc_id"), "node")
+        texts = scratch.keep(fetched(docs, need).mapInArrow(partial(_same, width=width), "node long, text string"), name)
         many = pairs.groupBy("pivot").agg(F.expr("cast(ceil(count(*) / 256) as int)").alias("parts"))
-        left = pairs.join(many, "pivot").withColumn("part", part).join(texts.select("node", "text"), "node")
+        left = pairs.join(many, "pivot").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).join(texts, "node")
         right = many.select(F.col("pivot").alias("p"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("q")).join(texts.select(F.col("node").alias("p"), F.col("text").alias("own")), "p")
         return left.select("pivot", "part", "node", "text").groupBy("pivot", "part").cogroup(right.groupBy("p", "q")).applyInArrow(lambda x, y: _verify(x, y, width, percent), "node long, pivot long").distinct()
 
-    first = buckets.filter("node != pivot").groupBy("node").agg(F.min("pivot").alias("pivot"))
-    links = scratch.keep(verified(first), "links")
-    labels = components(links, scratch, "near")
+    first = stars.groupBy("node").agg(F.min("pivot").alias("pivot"))
+    labels = components(verified(first, "texts"), scratch, "near")
 
-    # second round: sets of a bucket that the first left apart
-    named = buckets.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
+    # second round: what may link sets that the first left apart
+    label = labels.withColumnRenamed("label", "known")
+    named = buckets.filter("node != pivot").select("bucket", "node").join(label, "node", "left").select("bucket", "node", F.coalesce("known", "node").alias("label"))
     apart = named.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("s")).filter("x != y").select("bucket", F.expr(f"cast(ceil(s / {TILE}) as int)").alias("tiles"))
-    tiles = named.join(apart, "bucket").withColumn("part", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    tiles = tiles.select("bucket", "node", "label", "part", F.least("part", "other").alias("ta"), F.greatest("part", "other").alias("tb")).join(texts.select("node", "n", "bits"), "node")
-    pairs = tiles.groupBy("bucket", "ta", "tb").applyInArrow(lambda x: _tile(x, percent), "node long, pivot long").distinct()
-    pairs = scratch.keep(pairs.join(first, ["node", "pivot"], "left_anti"), "pairs")
-    more = verified(pairs)
+    tiles = scratch.keep(named.join(apart, "bucket"), "apart")
+    chunks = max(1, tiles.count() // CHUNK)
+    tiles = tiles.withColumn("part", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    group = F.when(F.col("tiles") == 1, F.pmod("bucket", F.lit(chunks))).otherwise(F.col("bucket"))
+    tiles = tiles.select("bucket", group.alias("chunk"), "node", "label", "part", F.least("part", "other").alias("ta"), F.greatest("part", "other").alias("tb")).join(bits.select("node", "n", "bits"), "node")
+    inside = tiles.groupBy("chunk", "ta", "tb").applyInArrow(lambda x: _tile(x, percent), "node long, pivot long")
+    here, there = label.select("node", F.col("known").alias("la")), label.select(F.col("node").alias("pivot"), F.col("known").alias("lb"))
+    pivots = stars.join(here, "node", "left").join(there, "pivot", "left").filter("coalesce(la, node) != coalesce(lb, pivot)").select("node", "pivot")
+    pairs = scratch.keep(inside.unionByName(pivots).distinct().join(first, ["node", "pivot"], "left_anti"), "pairs")
+    more = verified(pairs, "others")
     labels = components(labels.select("node", F.col("label").alias("pivot")).unionByName(more), scratch, "all")
 
     marked = nodes.join(labels, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
