@@ -21,6 +21,18 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_topk_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"), k=20, every=20, scale=64)
+
+
+def op6_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import round_trip
+
+    return round_trip(table(spark, sf_dir, "pages"))
+
+
 def op7_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import personal_data
 
@@ -45,7 +57,7 @@ def op10_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), width=5, percent=80)
 
 
-QUERIES = (op7_pii_crf, op8_line_crf_quality, op9_bm25_packing, op10_parity_join)
+QUERIES = (op3_topk_tiles, op6_warc_transactions, op7_pii_crf, op8_line_crf_quality, op9_bm25_packing, op10_parity_join)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -54,6 +66,24 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 SQL: dict[str, str] = {}
 
+SQL["op3_topk_tiles"] = r"""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+SQL["op6_warc_transactions"] = r"""
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS b, sha256(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS f FROM p)
+SELECT page_id, b::BIGINT AS payload_bytes, h AS payload_digest,
+  CASE WHEN b >= 100 AND page_id <> f THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN b >= 100 AND page_id <> f THEN f END AS refers_to
+FROM f
+"""
+
 SQL["op10_parity_join"] = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
