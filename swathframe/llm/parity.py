@@ -9,13 +9,14 @@ trace in the XOR of their sketches, and one that they do not share changes one c
 a lower bound of the symmetric difference. So linked sets agree in at least k - D cells (pigeonhole), and joining on
 (size band, cell, content) finds every link. k exceeds D by more than the usual number of empty cells, so those need
 no join; a set with more empty cells is dealt out again under other seeds, and under the last also joins on them.
-One-bit cells (a bit sketch of one to two bits a shingle, which folds to its half) give the same bound and reject most
+One-bit cells (a bit sketch of two to four bits a shingle, which folds to its half) give the same bound and reject most
 of what the join brings before exact verification.
 
-Equal sets are one node from the start. A group of near copies costs links to one pivot, not all pairs: the first
-round verifies one pivot a node; the second verifies what else may link sets that are not yet connected: other pivots,
-and inside a bucket other members, compared by their bits in tiles of bounded size. Only pairs that pass the bound on bits
-have their texts fetched.
+Equal sets are one node from the start. A group of near copies costs links to pivots, not all pairs: a bucket's pivot is
+its member that shares most buckets, and the first round verifies one pivot a node. Further rounds verify what else may
+link sets that are not yet connected: other pivots, and inside a bucket other members, compared by their bits in tiles of
+bounded size. A round puts off a node's candidates beyond its nearest few; rounds follow, with more each, until none is put
+off. Only pairs that pass the bound on bits have their texts fetched.
 
 Defined cases: null or blank text has the empty set, n_shingles 0, component_id its own doc_id; a null doc_id takes no
 part in links, component_id null; repeated rows and equal texts share a component; an empty table gives no rows; other
@@ -37,6 +38,8 @@ from .common import Scratch, hash_words, mix, runs, slices, split_words
 GROUP_KEYS, TILE = 1 << 20, 1024
 #: Groups of the bucket join at least, and rows of small buckets that are compared together.
 GROUPS, CHUNK = 64, 1 << 14
+#: Candidates of a node that the second round verifies from one group; each further round takes FEW times as many.
+FEW = 8
 #: Bits of the filter that is broadcast (2 MB at most).
 BITMAP = 1 << 24
 SEEDS = 4
@@ -133,9 +136,9 @@ def keys_of(h: np.ndarray, o: np.ndarray, size: np.ndarray, bands: Bands) -> tup
 
 
 def sketch(h: np.ndarray) -> np.ndarray:
-    """Parity bits of one set, as 64-bit words; a power of two of bits, one a shingle at least."""
+    """Parity bits of one set, as 64-bit words; a power of two of bits, two a shingle at least."""
     m = 64
-    while m < len(h):
+    while m < 2 * len(h):
         m *= 2
     bits = np.bincount((mix(h ^ U(0x27D4EB2F165667C5)) & U(m - 1)).astype(np.int64), minlength=m) & 1
     return np.packbits(bits.astype(np.uint8), bitorder="little").view(U)
@@ -239,12 +242,12 @@ class Bits:
         self.flat = np.concatenate(parts) if parts else np.zeros(0, U)
         self.at, self.size, self.bands = np.cumsum(self.width) - self.width, size, bands
 
-    def near(self, i: np.ndarray, j: np.ndarray, other: Bits | None = None) -> np.ndarray:
-        """Whether set i of these and set j of these (or the others) differ in no more bits and size than linked sets may."""
+    def near(self, i: np.ndarray, j: np.ndarray, other: Bits | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Whether set i of these and set j of these (or the others) differ in no more bits and size than linked sets may; in how many."""
         other = other or self
         a, b = self.size[i], other.size[j]
         ok = 100 * np.minimum(a, b) >= self.bands.t * np.maximum(a, b)
-        most = self.bands.differ(a + b)
+        most, apart = self.bands.differ(a + b), np.zeros(len(i), np.int64)
         kind = self.width[i] << 32 | other.width[j]
         for k in np.unique(kind[ok]):
             w, v = int(k >> 32), int(k & 0xFFFFFFFF)
@@ -258,8 +261,9 @@ class Bits:
                     x = x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :]
                 while y.shape[1] > x.shape[1]:
                     y = y[:, : y.shape[1] // 2] ^ y[:, y.shape[1] // 2 :]
-                ok[part] = np.bitwise_count(x ^ y).sum(axis=1) <= most[part]
-        return ok
+                apart[part] = np.bitwise_count(x ^ y).sum(axis=1)
+                ok[part] = apart[part] <= most[part]
+        return ok, apart
 
 
 def _stars(batches, percent):
@@ -268,11 +272,12 @@ def _stars(batches, percent):
     for b in batches:
         x, y = (Bits(b.column(c), b.column(n).to_numpy(zero_copy_only=False), bands) for c, n in (("bits", "n"), ("pivot_bits", "pivot_n")))
         i = np.arange(b.num_rows)
-        yield b.select(["node", "pivot"]).filter(pa.array(x.near(i, i, y)))
+        yield b.select(["node", "pivot", "degree"]).filter(pa.array(x.near(i, i, y)[0]))
 
 
-def _tile(group: pa.Table, percent: int) -> pa.Table:
-    """Pairs inside the buckets of a group (or between two parts of a large one) of sets that aren't connected yet and pass the bound."""
+def _tile(group: pa.Table, percent: int, few: int) -> pa.Table:
+    """Pairs inside the buckets of a group (or between two parts of a large one) of sets that aren't connected yet and pass the
+    bound: each node's `few` nearest. more: whether one of the pair has others."""
     group = group.sort_by([("bucket", "ascending"), ("node", "ascending")])
     bucket, node, part, label, size = (group.column(c).to_numpy() for c in ("bucket", "node", "part", "label", "n"))
     bits = Bits(group.column("bits"), size, Bands(percent))
@@ -285,11 +290,21 @@ def _tile(group: pa.Table, percent: int) -> pa.Table:
             break
         j = i + d
         ok = (label[i] != label[j]) & ((part[i] == ta) & (part[j] == tb) | (part[i] == tb) & (part[j] == ta))
-        ok[ok] = bits.near(i[ok], j[ok])
-        out.append(np.stack([np.maximum(node[i[ok]], node[j[ok]]), np.minimum(node[i[ok]], node[j[ok]])]))
+        x, y = i[ok], j[ok]
+        near, apart = bits.near(x, y)
+        out.append(np.stack([np.maximum(node[x], node[y])[near], np.minimum(node[x], node[y])[near], apart[near]]))
         d += 1
-    pairs = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((2, 0), np.int64)
-    return pa.table({"node": pairs[0], "pivot": pairs[1]})
+    pairs = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((3, 0), np.int64)
+    n = pairs.shape[1]
+    ends, other = np.concatenate([pairs[0], pairs[1]]), np.tile(np.arange(n), 2)
+    order = np.lexsort((other, pairs[2][other], ends))
+    start = runs(ends[order])
+    count = np.diff(np.append(start, 2 * n))
+    rank = np.arange(2 * n) - np.repeat(start, count)
+    take, more = np.zeros(n, bool), np.zeros(n, bool)
+    take[other[order][rank < few]] = True
+    more[other[order][np.repeat(count > few, count)]] = True
+    return pa.table({"node": pairs[0][take], "pivot": pairs[1][take], "more": more[take]})
 
 
 def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -338,12 +353,18 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     found = blobs.groupBy("pid").applyInArrow(_buckets, "bucket long, node long, pivot long")
     buckets = scratch.keep(found.distinct(), "buckets")
 
+    # a bucket's pivot: the member with most buckets (of a group of near copies the one that most are copies of)
+    degree = buckets.groupBy("node").agg(F.count("*").alias("degree"))
+    ranked = buckets.select("bucket", "node").join(degree, "node")
+    pivots = ranked.groupBy("bucket").agg(F.max(F.struct("degree", "node")).alias("top")).select("bucket", F.col("top.node").alias("pivot"), F.col("top.degree").alias("degree"))
+    buckets = scratch.keep(buckets.select("bucket", "node").join(pivots, "bucket"), "pivots")
+
     # first bound, on bits, of every pair of a node and a pivot
     bits = buckets.select("node").distinct().join(nodes, "node").join(sizes.select("node", "doc_id", "bits"), ["node", "doc_id"])
     bits = scratch.keep(bits.dropDuplicates(["node"]).select("node", "doc_id", "n", "bits"), "bits")
-    stars = buckets.filter("node != pivot").select("node", "pivot").distinct()
+    stars = buckets.filter("node != pivot").select("node", "pivot", "degree").distinct()
     stars = stars.join(bits.select("node", "n", "bits"), "node").join(bits.select(F.col("node").alias("pivot"), F.col("n").alias("pivot_n"), F.col("bits").alias("pivot_bits")), "pivot")
-    stars = scratch.keep(stars.mapInArrow(partial(_stars, percent=percent), "node long, pivot long"), "stars")
+    stars = scratch.keep(stars.mapInArrow(partial(_stars, percent=percent), "node long, pivot long, degree long"), "stars")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         """The pairs whose sets link. A node's text travels once for each pair, a pivot's once for each part of some hundreds of its pairs."""
@@ -354,24 +375,38 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
         right = many.select(F.col("pivot").alias("p"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("q")).join(texts.select(F.col("node").alias("p"), F.col("text").alias("own")), "p")
         return left.select("pivot", "part", "node", "text").groupBy("pivot", "part").cogroup(right.groupBy("p", "q")).applyInArrow(lambda x, y: _verify(x, y, width, percent), "node long, pivot long").distinct()
 
-    first = stars.groupBy("node").agg(F.min("pivot").alias("pivot"))
-    labels = components(verified(first, "texts"), scratch, "near")
-
-    # second round: what may link sets that the first left apart
-    label = labels.withColumnRenamed("label", "known")
-    named = buckets.filter("node != pivot").select("bucket", "node").join(label, "node", "left").select("bucket", "node", F.coalesce("known", "node").alias("label"))
-    apart = named.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("s")).filter("x != y").select("bucket", F.expr(f"cast(ceil(s / {TILE}) as int)").alias("tiles"))
-    tiles = scratch.keep(named.join(apart, "bucket"), "apart")
-    chunks = max(1, tiles.count() // CHUNK)
-    tiles = tiles.withColumn("part", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    group = F.when(F.col("tiles") == 1, F.pmod("bucket", F.lit(chunks))).otherwise(F.col("bucket"))
-    tiles = tiles.select("bucket", group.alias("chunk"), "node", "label", "part", F.least("part", "other").alias("ta"), F.greatest("part", "other").alias("tb")).join(bits.select("node", "n", "bits"), "node")
-    inside = tiles.groupBy("chunk", "ta", "tb").applyInArrow(lambda x: _tile(x, percent), "node long, pivot long")
-    here, there = label.select("node", F.col("known").alias("la")), label.select(F.col("node").alias("pivot"), F.col("known").alias("lb"))
-    pivots = stars.join(here, "node", "left").join(there, "pivot", "left").filter("coalesce(la, node) != coalesce(lb, pivot)").select("node", "pivot")
-    pairs = scratch.keep(inside.unionByName(pivots).distinct().join(first, ["node", "pivot"], "left_anti"), "pairs")
-    more = verified(pairs, "others")
-    labels = components(labels.select("node", F.col("label").alias("pivot")).unionByName(more), scratch, "all")
+    def compared(few: int):
+        return lambda group: _tile(group, percent, few)
+
+    first = stars.groupBy("node").agg(F.max_by("pivot", F.struct("degree", "pivot")).alias("pivot"))
+    tried = scratch.keep(first, "tried")
+    labels = components(verified(tried, "texts"), scratch, "near")
+
+    # further rounds: what may link sets that are still apart
+    few = FEW
+    while True:
+        known = labels.withColumnRenamed("label", "known")
+        named = buckets.filter("node != pivot").select("bucket", "node").join(known, "node", "left").select("bucket", "node", F.coalesce("known", "node").alias("label"))
+        apart = named.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("s")).filter("x != y").select("bucket", F.expr(f"cast(ceil(s / {TILE}) as int)").alias("tiles"))
+        tiles = scratch.keep(named.join(apart, "bucket"), f"apart{few}")
+        chunks = max(1, tiles.count() // CHUNK)
+        tiles = tiles.withColumn("part", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+        group = F.when(F.col("tiles") == 1, F.pmod("bucket", F.lit(chunks))).otherwise(F.col("bucket"))
+        tiles = tiles.select("bucket", group.alias("chunk"), "node", "label", "part", F.least("part", "other").alias("ta"), F.greatest("part", "other").alias("tb")).join(bits.select("node", "n", "bits"), "node")
+        inside = tiles.groupBy("chunk", "ta", "tb").applyInArrow(compared(few), "node long, pivot long, more boolean")
+        here, there = known.select("node", F.col("known").alias("la")), known.select(F.col("node").alias("pivot"), F.col("known").alias("lb"))
+        others = stars.join(here, "node", "left").join(there, "pivot", "left").filter("coalesce(la, node) != coalesce(lb, pivot)").select(F.greatest("node", "pivot").alias("node"), F.least("node", "pivot").alias("pivot"), F.lit(False).alias("more"))
+        ordered = tried.select(F.greatest("node", "pivot").alias("node"), F.least("node", "pivot").alias("pivot"))
+        pairs = inside.unionByName(others).groupBy("node", "pivot").agg(F.max("more").alias("more")).join(ordered, ["node", "pivot"], "left_anti")
+        pairs = scratch.keep(pairs, f"pairs{few}")
+        count, more = pairs.agg(F.count("*"), F.coalesce(F.bool_or("more"), F.lit(False))).first()
+        if not count:
+            break
+        pairs = pairs.select("node", "pivot")
+        labels = components(labels.select("node", F.col("label").alias("pivot")).unionByName(verified(pairs, f"others{few}")), scratch, f"all{few}")
+        if not more:
+            break
+        tried, few = tried.unionByName(pairs), few * FEW
 
     marked = nodes.join(labels, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
     least = marked.groupBy("label").agg(F.min("doc_id").alias("component_id"))
