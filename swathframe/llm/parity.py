@@ -412,3 +412,12 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     least = marked.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     of = marked.join(least, "label").select("node", "component_id")
     return sizes.join(of, "node", "left").select("doc_id", "n_shingles", F.expr("case when doc_id is not null then coalesce(component_id, doc_id) end").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The row of docs with a component's smallest doc_id, all columns; rows without a doc_id stay; of repeated doc_ids one row stays."""
+    found = jaccard_components(docs, width, percent)
+    kept = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    named = docs.filter("doc_id is not null").join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
+    # the join leaves equal doc_ids together, so that this needs no further exchange
+    return named.dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null"))
