@@ -6,7 +6,7 @@ window greedily, best first; where no whole one fits any more the best is cut, a
 windows of a shard are full but its last. Documents of more than a window give whole windows first.
 
 The tokenizer drops white space and never joins across it, so a text's ids are those of its words; each worker remembers
-the ids of words in a table of bounded size.
+the ids of words' parts in a table of bounded size.
 
 Defined cases: null text is empty and has the end id only; repeated rows and equal doc_ids are packed row by row, told
 apart by row_id; a null doc_id stays null; other columns are ignored; an empty table gives no rows. Texts are never cut
@@ -15,30 +15,49 @@ short: each id of each row is in exactly one piece.
 
 from __future__ import annotations
 
+import os
 import zlib
 from functools import partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices, split_words
 
 WINDOW, END, K1, B = 4096, 2, 1.2, 0.75
-#: Characters of a shard, about; words that a worker remembers.
-SHARD_CHARS, REMEMBERED = 2 << 20, 300_000
+#: Characters of a shard, about; parts that a worker remembers.
+SHARD_CHARS, REMEMBERED = 2 << 20, 400_000
+
+
+#: Words of these characters (ASCII and the letters of Latin-1) need no normalisation but lower case, and split by PARTS.
+PLAIN, PARTS = "^[!-~À-ÖØ-öø-ÿ]+$", "('s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^\\sA-Za-zÀ-ÖØ-öø-ÿ0-9]+)"
+
+
+def _gather(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Indices start[i], ..., start[i] + size[i] - 1 of all i in turn."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
 
 
 class Words:
-    """Token ids of words, remembered."""
+    """Token ids of words, by pre-tokens that a worker remembers.
+
+    A plain word's pre-tokens go to the tokenizer's model one by one; any other word goes through the whole tokenizer.
+    """
 
     held: dict[str, Words] = {}
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
-        self.tokenizer = Tokenizer.from_file(path)
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are parallel already
+        self.whole, self.model = Tokenizer.from_file(path), Tokenizer.from_file(path).model
+        # the visible character that stands for a byte
+        self.byte = {c: ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(c)[0][0] for c in map(chr, range(0xC0, 0x100))}
         self.clear()
 
     def clear(self):
@@ -52,44 +71,73 @@ class Words:
             cls.held[path] = cls(path)
         return cls.held[path]
 
-    def lookup(self, words: list[str]) -> np.ndarray:
-        """Row of each word in the table; row r has ids[start[r]:start[r + 1]]."""
+    def encoded(self, part: str) -> list[int]:
+        if part[0] == "\0":
+            return self.whole.encode(part[1:], add_special_tokens=False).ids
+        if not part.isascii():
+            part = "".join(self.byte.get(c, c) for c in part)
+        return [t.id for t in self.model.tokenize(part)]
+
+    def rows(self, parts: list[str]) -> np.ndarray:
+        """Row of each part in the table; row r has ids[start[r]:start[r + 1]]."""
         index = self.index
-        new = [w for w in words if w not in index]
+        new = [x for x in parts if x not in index]
         if len(index) + len(new) > REMEMBERED and index:
             self.clear()
-            index, new = self.index, words
+            index, new = self.index, parts
         if new:
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+            found = [self.encoded(x) for x in new]
             size = np.fromiter(map(len, found), np.int64, len(found))
-            flat = np.fromiter((x for e in found for x in e), np.uint16, int(size.sum()))
+            flat = np.fromiter(chain.from_iterable(found), np.uint16, int(size.sum()))
             n, rows = len(index), len(index) + len(new) + 1
             if rows > len(self.start):
                 self.start = np.resize(self.start, 2 * rows)
             if self.used + len(flat) > len(self.ids):
                 self.ids = np.resize(self.ids, 2 * (self.used + len(flat)))
             self.ids[self.used : self.used + len(flat)] = flat
-            self.start[n : rows] = self.used + np.concatenate([[0], np.cumsum(size)])
+            self.start[n:rows] = self.used + np.concatenate([[0], np.cumsum(size)])
             self.used += len(flat)
             index.update(zip(new, range(n, rows)))
-        return np.fromiter((index[w] for w in words), np.int64, len(words))
+        return np.fromiter(map(index.__getitem__, parts), np.int64, len(parts))
+
+    def parts(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows of the parts of all words, and each word's first and number of them."""
+        # "<|" may begin a special token, which the whole tokenizer knows
+        plain = pc.and_not(pc.match_substring_regex(words, PLAIN), pc.match_substring(words, "<|"))
+        split = pc.replace_substring_regex(pc.utf8_lower(words.filter(plain)), PARTS, " \\1 ")
+        split = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(split))
+        split = pc.list_flatten(split), pc.list_value_length(split).to_numpy(zero_copy_only=False)
+        plain = plain.to_numpy(zero_copy_only=False)
+        others = pc.binary_join_element_wise("\0", words.filter(pa.array(~plain)), "")
+        coded = pa.concat_arrays([split[0], others]).dictionary_encode()
+        rows = self.rows(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)]
+        count = np.ones(len(words), np.int64)
+        count[plain] = split[1]
+        first = np.empty(len(words), np.int64)
+        first[plain] = np.cumsum(split[1]) - split[1]
+        first[~plain] = len(split[0]) + np.arange(len(others))
+        return rows, first, count
 
 
 def token_ids(texts: pa.Array, path: str) -> list[np.ndarray]:
     """The ids of each text, without the end id."""
     codes, words, owner = split_words(texts)
+    if not len(codes):
+        return [np.zeros(0, np.uint16)] * len(texts)
     table = Words.of(path)
-    rows = table.lookup(words.to_pylist())[codes] if len(codes) else np.zeros(0, np.int64)
+    rows, first, count = table.parts(words)
     size = table.start[rows + 1] - table.start[rows]
-    total = int(size.sum())
-    place = np.repeat(table.start[rows] - (np.cumsum(size) - size), size) + np.arange(total)
-    ids = table.ids[place]
-    at = np.concatenate([[0], np.cumsum(np.bincount(owner, size, len(texts)).astype(np.int64))])
+    flat = table.ids[_gather(table.start[rows], size)]  # ids of the distinct words' parts in turn
+    # a word's parts lie together, so its ids do
+    begin = np.concatenate([[0], np.cumsum(size)])
+    begin, end = begin[first], begin[first + count]
+    ids = flat[_gather(begin[codes], (end - begin)[codes])]
+    at = np.concatenate([[0], np.cumsum(np.bincount(owner, (end - begin)[codes], len(texts)).astype(np.int64))])
     return [ids[at[i] : at[i + 1]] for i in range(len(texts))]
 
 
 def _encode(batches, path):
-    for b in slices(batches, "text"):
+    for b in slices(batches, "text", rows=2048, size=8 << 20):
         ids = [np.append(x, np.uint16(END)).tobytes() for x in token_ids(b.column("text"), path)]
         yield pa.RecordBatch.from_arrays([b.column("shard"), b.column("row_id"), b.column("doc_id"), pa.array(ids, pa.binary())], ["shard", "row_id", "doc_id", "ids"])
 
