@@ -80,8 +80,8 @@ def _tile(queries: pa.Table, shard: pa.Table, k: int) -> pa.Table:
     none = pa.table({n: pa.array([], t) for n, t in zip([x.split()[0] for x in TOPS.split(", ")], (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32(), pa.binary(), pa.binary()))})
     if not queries.num_rows or not shard.num_rows:
         return none
-    q, c = _matrix(queries.column("v")), _matrix(shard.column("v"))
-    row, query, ids = (t.column(n).to_numpy() for t, n in ((queries, "row"), (queries, "id"), (shard, "id")))
+    q, c = _matrix(queries.column("v")), _matrix(shard.column("cv"))
+    row, query, ids = (t.column(n).to_numpy() for t, n in ((queries, "row"), (queries, "id"), (shard, "cid")))
     out_s, out_i = [], []
     for at in range(0, len(q), 256):
         s = product(q[at : at + 256], c)
@@ -130,7 +130,7 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64) ->
     q = v.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("id"), "v", mark.alias("row")).withColumn("qb", F.pmod(F.xxhash64("row", "id"), F.lit(blocks)))
     # each query goes to every shard block (blocks meet, not rows), each candidate to every query block
     q = q.withColumn("sb", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).select("qb", F.col("sb").cast("long").alias("sb"), "row", "id", "v")
-    c = c.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(F.col("qb").cast("long").alias("qb"), "sb", "id", "v")
+    c = c.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(F.col("qb").cast("long").alias("qb"), "sb", F.col("id").alias("cid"), F.col("v").alias("cv"))  # names of their own: a cogroup takes equal columns of both sides for one
     tops = q.groupBy("qb", "sb").cogroup(c.groupBy("qb", "sb")).applyInArrow(lambda a, b: _tile(a, b, k), TOPS)
     slots = shards
     while slots > 1:
