@@ -1,0 +1,194 @@
+"""Terrain surfaces from sparse points: neighbour filters, grids, sampling.
+
+Grids are long tables (survey, row, col, z) beside one row of georeference (survey, x0, y0, res, rows, cols), x0 and y0 at the
+centre of the first cell, rows downward. Neighbour joins go through square buckets, never through a cross join.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+NEIGHBOURS, MADS, FLOOR = 16, 3.0, 0.05
+
+
+def knn(points: DataFrame, k: int, radius: float, key: str = "point_id", z: bool = False) -> DataFrame:
+    """(survey, key, other, dist, rn): the k nearest other points in plan view within a radius, ties by key.
+
+    Points meet in buckets as wide as the radius: a point goes to its own and the eight around it.
+    """
+    bucket = lambda c: F.floor(F.col(c) / radius).cast("long")
+    left = points.select("survey", F.col(key).alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), bucket("x").alias("bx"), bucket("y").alias("by"))
+    near = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
+    right = points.withColumn("s", near).select("survey", F.col(key).alias("b"), F.col("x").alias("bx_"), F.col("y").alias("by_"), *([F.col("z").alias("bz")] if z else []), (bucket("x") + F.col("s.i")).alias("bx"), (bucket("y") + F.col("s.j")).alias("by"))
+    d = F.hypot(F.col("ax") - F.col("bx_"), F.col("ay") - F.col("by_"))
+    pairs = left.join(right, ["survey", "bx", "by"]).filter("a != b").withColumn("dist", d).filter(F.col("dist") <= radius)
+    rank = F.row_number().over(Window.partitionBy("survey", "a").orderBy("dist", "b"))
+    return pairs.withColumn("rn", rank).filter(F.col("rn") <= k).select("survey", F.col("a").alias(key), F.col("b").alias("other"), "dist", "rn", *(["bz"] if z else []))
+
+
+def remove_z_outliers(points: DataFrame, radius: float, k: int = NEIGHBOURS, mads: float = MADS) -> DataFrame:
+    """Points whose height lies within `mads` robust deviations of its neighbours' median; surveys of at most k points and points
+    without neighbours stay as they are."""
+    near = knn(points, k - 1, radius, z=True)
+    middle = near.groupBy("survey", "point_id").agg(F.median("bz").alias("m"))
+    mad = near.join(middle, ["survey", "point_id"]).groupBy("survey", "point_id").agg(F.first("m").alias("m"), F.median(F.abs(F.col("bz") - F.col("m"))).alias("d"))
+    size = points.groupBy("survey").agg(F.count("*").alias("n"))
+    rows = points.join(size, "survey").join(mad, ["survey", "point_id"], "left")
+    ok = (F.col("n") <= k) | F.col("m").isNull() | (F.abs(F.col("z") - F.col("m")) <= mads * (1.4826 * F.col("d") + FLOOR))
+    return rows.filter(ok).select(*points.columns)
+
+
+def plane_surface(grids: DataFrame, z: Column) -> DataFrame:
+    """Every cell of the grids (survey, rows, cols) at height z."""
+    return grids.withColumn("row", F.explode(F.sequence(F.lit(0), F.col("rows") - 1))).withColumn("col", F.explode(F.sequence(F.lit(0), F.col("cols") - 1))).select("survey", "row", "col", z.alias("z"))
+
+
+def sample_surface(points: DataFrame, cells: DataFrame, grids: DataFrame) -> DataFrame:
+    """points (survey, ..., x, y) with z: bilinear between cell centres, clamped at the edges."""
+    g = points.withColumn("_id", F.monotonically_increasing_id()).join(grids, "survey")
+    fx = F.greatest(F.lit(0.0), F.least(F.col("cols") - 1.0, (F.col("x") - F.col("x0")) / F.col("res")))
+    fy = F.greatest(F.lit(0.0), F.least(F.col("rows") - 1.0, (F.col("y0") - F.col("y")) / F.col("res")))
+    g = g.withColumns({"fx": fx, "fy": fy}).withColumns({"c": F.floor("fx"), "r": F.floor("fy")})
+    corner = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1))))
+    w = lambda f, base, o: F.when(o == 1, f - base).otherwise(1 - (f - base))
+    four = g.withColumn("o", corner).withColumn("w", w(F.col("fy"), F.col("r"), F.col("o.i")) * w(F.col("fx"), F.col("c"), F.col("o.j"))).filter("w > 0")
+    four = four.withColumns({"row": (F.col("r") + F.col("o.i")).cast("int"), "col": (F.col("c") + F.col("o.j")).cast("int")})
+    keys = [c for c in points.columns]
+    got = four.join(cells.select("survey", "row", "col", F.col("z").alias("cell_z")), ["survey", "row", "col"])
+    return got.groupBy("_id", *keys).agg((F.sum(F.col("w") * F.col("cell_z")) / F.sum("w")).alias("z")).drop("_id")
+
+
+def flatten(cells: DataFrame, water: DataFrame) -> DataFrame:
+    """Cells in `water` (survey, row, col, level) at the water's level."""
+    return cells.join(water, ["survey", "row", "col"], "left").withColumn("z", F.coalesce("level", "z")).drop("level")
+
+
+def overview(cells: DataFrame, value: str, factor: int = 2) -> DataFrame:
+    """A grid of blocks of factor x factor cells: their mean, empty cells left out."""
+    shrink = lambda c: F.expr(f"cast({c} div {factor} as int)").alias(c)
+    return cells.groupBy("survey", shrink("row"), shrink("col")).agg(F.avg(value).alias(value))
+
+
+def pyramid(cells: DataFrame, value: str, size: int, least: int = 256) -> list[DataFrame]:
+    """Overviews by twos until the longer side is under `least`. Each is made from the one before it."""
+    out = []
+    while size >= least:
+        cells, size = overview(cells, value), -(-size // 2)
+        out.append(cells)
+    return out
+
+
+# ---- dense grids, one survey's at a time ----
+
+
+def triangles(xy: np.ndarray) -> np.ndarray:
+    """Delaunay triangles of distinct points (indices), by insertion with flipping of circumcircles."""
+    n = len(xy)
+    centre, span = xy.mean(axis=0), max(np.ptp(xy, axis=0).max(), 1.0) * 50
+    pts = np.concatenate([(xy - centre), span * np.array([[0.0, 2.0], [-1.8, -1.0], [1.8, -1.0]])])
+    tri = np.array([[n, n + 1, n + 2]])
+
+    def circles(t):
+        a, b, c = pts[t[:, 0]], pts[t[:, 1]], pts[t[:, 2]]
+        d = 2 * (a[:, 0] * (b[:, 1] - c[:, 1]) + b[:, 0] * (c[:, 1] - a[:, 1]) + c[:, 0] * (a[:, 1] - b[:, 1]))
+        d = np.where(np.abs(d) < 1e-300, 1e-300, d)
+        q = [(p**2).sum(axis=1) for p in (a, b, c)]
+        ux = (q[0] * (b[:, 1] - c[:, 1]) + q[1] * (c[:, 1] - a[:, 1]) + q[2] * (a[:, 1] - b[:, 1])) / d
+        uy = (q[0] * (c[:, 0] - b[:, 0]) + q[1] * (a[:, 0] - c[:, 0]) + q[2] * (b[:, 0] - a[:, 0])) / d
+        return np.stack([ux, uy, (a[:, 0] - ux) ** 2 + (a[:, 1] - uy) ** 2], axis=1)
+
+    circle = circles(tri)
+    for i in np.argsort(pts[:n, 0], kind="stable"):
+        hit = (circle[:, 0] - pts[i, 0]) ** 2 + (circle[:, 1] - pts[i, 1]) ** 2 < circle[:, 2] * (1 - 1e-12)
+        bad = tri[hit]
+        edges = np.concatenate([bad[:, [0, 1]], bad[:, [1, 2]], bad[:, [2, 0]]])
+        key = np.sort(edges, axis=1)
+        _, first, count = np.unique(key, axis=0, return_index=True, return_counts=True)
+        rim = edges[first[count == 1]]
+        new = np.column_stack([rim, np.full(len(rim), i)])
+        tri, circle = np.concatenate([tri[~hit], new]), np.concatenate([circle[~hit], circles(new)])
+    return tri[(tri < n).all(axis=1)]
+
+
+def fill_smooth(z: np.ndarray) -> np.ndarray:
+    """Holes (NaN) filled by normalised Gaussian means of doubling width."""
+    out, sigma = z.copy(), 2.0
+    known = np.isfinite(z)
+    if not known.any():
+        return np.zeros_like(z)
+    while not np.isfinite(out).all():
+        w = blurred(known.astype(float), sigma)
+        mean = blurred(np.where(known, z, 0.0), sigma) / np.maximum(w, 1e-300)
+        holes = ~np.isfinite(out) & (w > 1e-6)
+        out[holes] = mean[holes]
+        sigma *= 2
+    return out
+
+
+def blurred(z: np.ndarray, sigma: float) -> np.ndarray:
+    """Separable Gaussian mean with nearest borders."""
+    r = int(4 * sigma + 0.5)
+    k = np.exp(-0.5 * (np.arange(-r, r + 1) / sigma) ** 2)
+    k /= k.sum()
+    for axis in (0, 1):
+        p = np.pad(z, [(r, r) if a == axis else (0, 0) for a in (0, 1)], mode="edge")
+        z = np.apply_along_axis(np.convolve, axis, p, k, mode="valid")
+    return z
+
+
+def median3(z: np.ndarray) -> np.ndarray:
+    p = np.pad(z, 1, mode="edge")
+    return np.median(np.stack([p[i : i + z.shape[0], j : j + z.shape[1]] for i in range(3) for j in range(3)]), axis=0)
+
+
+def interpolated(xyz: np.ndarray, x0: float, y0: float, res: float, rows: int, cols: int, smooth: bool = True, sigma: float = 0.5) -> np.ndarray:
+    """Linear interpolation over the triangles of the points, holes filled, clipped to the 1st and 99th percentile, smoothed."""
+    _, at = np.unique(xyz[:, :2], axis=0, return_index=True)
+    xyz = xyz[np.sort(at)]
+    if len(xyz) < 3:
+        return np.full((rows, cols), xyz[:, 2].mean() if len(xyz) else 0.0)
+    z = np.full((rows, cols), np.nan)
+    for a, b, c in xyz[triangles(xyz[:, :2])]:
+        lo = np.minimum(np.minimum(a, b), c)
+        hi = np.maximum(np.maximum(a, b), c)
+        c0, c1 = max(0, int(np.ceil((lo[0] - x0) / res))), min(cols - 1, int(np.floor((hi[0] - x0) / res)))
+        r0, r1 = max(0, int(np.ceil((y0 - hi[1]) / res))), min(rows - 1, int(np.floor((y0 - lo[1]) / res)))
+        if c1 < c0 or r1 < r0:
+            continue
+        x, y = np.meshgrid(x0 + res * np.arange(c0, c1 + 1), y0 - res * np.arange(r0, r1 + 1))
+        d = (b[1] - c[1]) * (a[0] - c[0]) + (c[0] - b[0]) * (a[1] - c[1])
+        if abs(d) < 1e-12:
+            continue
+        u = ((b[1] - c[1]) * (x - c[0]) + (c[0] - b[0]) * (y - c[1])) / d
+        v = ((c[1] - a[1]) * (x - c[0]) + (a[0] - c[0]) * (y - c[1])) / d
+        ok = (u >= -1e-9) & (v >= -1e-9) & (u + v <= 1 + 1e-9)
+        block = z[r0 : r1 + 1, c0 : c1 + 1]
+        block[ok] = (u * a[2] + v * b[2] + (1 - u - v) * c[2])[ok]
+    if smooth:
+        hull = np.isfinite(z)
+        if hull.any():
+            z[hull] = median3(fill_smooth(z))[hull]
+    z = fill_smooth(z)
+    low, high = np.percentile(xyz[:, 2], [1, 99])
+    return blurred(np.clip(z, low, high), sigma) if smooth else z
+
+
+def build_surface(points: DataFrame, grids: DataFrame, smooth: bool = True) -> DataFrame:
+    """(survey, row, col, z) from points (survey, x, y, z). A survey's points make one grid: a group is a survey, whose size a flight bounds."""
+
+    def grid(key, rows: pa.Table, georef: pa.Table) -> pa.Table:
+        if not georef.num_rows:
+            return pa.table({"survey": pa.array([], georef.schema.field(0).type), "row": pa.array([], pa.int32()), "col": pa.array([], pa.int32()), "z": pa.array([], pa.float64())})
+        g = {c: georef.column(c)[0].as_py() for c in ("x0", "y0", "res", "rows", "cols")}
+        xyz = np.stack([rows.column(c).to_numpy() for c in ("px", "py", "pz")], axis=1) if rows.num_rows else np.zeros((0, 3))
+        z = interpolated(xyz, **g, smooth=smooth)
+        r, c = np.indices(z.shape)
+        return pa.table({"survey": pa.array([key[0].as_py()] * z.size, georef.schema.field("survey_").type), "row": pa.array(r.ravel().astype(np.int32)), "col": pa.array(c.ravel().astype(np.int32)), "z": z.ravel()})
+
+    kind = points.schema["survey"].dataType.simpleString()
+    left = points.select("survey", F.col("x").alias("px"), F.col("y").alias("py"), F.col("z").alias("pz"))
+    right = grids.select(F.col("survey").alias("survey_"), "x0", "y0", "res", "rows", "cols")
+    return left.groupBy("survey").cogroup(right.groupBy("survey_")).applyInArrow(grid, f"survey {kind}, row int, col int, z double")
