@@ -47,8 +47,8 @@ def select_mapping_cameras(shots: DataFrame) -> DataFrame:
 
 def with_selection(shots: DataFrame) -> DataFrame:
     """shots with `selected` off for cameras that are not kept."""
-    kept = select_mapping_cameras(shots).filter("kept").select("survey", F.col("camera_key").alias("kept_key"))
-    joined = shots.join(kept, (shots["survey"] == kept["survey"]) & (shots["camera_key"] == kept["kept_key"]), "left").drop(kept["survey"])
+    kept = select_mapping_cameras(shots).filter("kept").select("survey", "camera_key", F.lit(True).alias("kept_key"))
+    joined = shots.join(kept, ["survey", "camera_key"], "left")
     return joined.withColumn("selected", F.col("selected") & F.col("kept_key").isNotNull()).drop("kept_key")
 
 
