@@ -34,8 +34,8 @@ def query(sql: str | None = None, views: tuple[str, ...] = (), name: str | None
 
 
 def rounded(df: DataFrame, digits: int = 6, *names: str) -> DataFrame:
-    """Doubles (or the named columns) rounded."""
-    return df.select(*(F.round(c, digits).alias(c) if (c in names if names else t == "double") else F.col(c) for c, t in df.dtypes))
+    """Doubles (or the named columns) rounded, without negative zeros."""
+    return df.select(*((F.round(c, digits) + F.lit(0.0)).alias(c) if (c in names if names else t == "double") else F.col(c) for c, t in df.dtypes))
 
 
 # ---- scans ----
@@ -188,7 +188,7 @@ def pose_impute(spark, sf_dir):
 
 @query(
     """WITH a AS (SELECT file, radians(gimbal_pitch + 90) AS t, radians(gimbal_yaw) AS w FROM shots WHERE gimbal_pitch IS NOT NULL AND gimbal_yaw IS NOT NULL)
-SELECT file, round(cos(w), 9) AS x0, round(-sin(w), 9) AS x1, round(-sin(w) * cos(t), 9) AS y0, round(-cos(w) * cos(t), 9) AS y1, round(-sin(t), 9) AS y2, round(sin(w) * sin(t), 9) AS z0, round(cos(w) * sin(t), 9) AS z1, round(-cos(t), 9) AS z2 FROM a""",
+SELECT file, round(cos(w), 9) + 0.0 AS x0, round(-sin(w), 9) + 0.0 AS x1, round(-sin(w) * cos(t), 9) + 0.0 AS y0, round(-cos(w) * cos(t), 9) + 0.0 AS y1, round(-sin(t), 9) + 0.0 AS y2, round(sin(w) * sin(t), 9) + 0.0 AS z0, round(cos(w) * sin(t), 9) + 0.0 AS z1, round(-cos(t), 9) + 0.0 AS z2 FROM a""",
     ("shots",),
 )
 def camera_axes(spark, sf_dir):
