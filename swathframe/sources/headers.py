@@ -112,12 +112,9 @@ def xmp_packet(head: bytes) -> str:
 def xmp_values(packet: str) -> dict[str, object]:
     """prefix:name to text of a packet's attributes and elements (elements win); sequences are lists."""
     out: dict[str, object] = dict(re.findall(r'([\w-]+:[\w-]+)="([^"]*)"', packet))
-    for name, body in re.findall(r"<([\w-]+:[\w-]+)>(.*?)</\1>", packet, re.S):
-        items = re.findall(r"<rdf:li[^>]*>([^<]*)</rdf:li>", body)
-        if items:
-            out[name] = items
-        elif "<" not in body:
-            out[name] = body
+    out.update((k, v) for k, v in re.findall(r"<([\w-]+:[\w-]+)>([^<]*)</\1>", packet) if k != "rdf:li")
+    for name, body in re.findall(r"<([\w-]+:[\w-]+)>\s*<rdf:(?:Seq|Bag)>(.*?)</rdf:(?:Seq|Bag)>", packet, re.S):
+        out[name] = re.findall(r"<rdf:li[^>]*>([^<]*)</rdf:li>", body)
     return out
 
 
