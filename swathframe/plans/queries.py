@@ -429,10 +429,10 @@ _KEYS = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
 
 def _index(name: str):
-    @query(f"SELECT {', '.join(_KEYS)}, round({_INDEX_SQL[name]}, 8) AS value FROM pixels", ("pixels",), name=f"index_{name.lower()}")
+    @query(f"SELECT {', '.join(_KEYS)}, round({_INDEX_SQL[name]}, 8) + 0.0 AS value FROM pixels", ("pixels",), name=f"index_{name.lower()}")
     def one(spark, sf_dir):
         p = view(spark, sf_dir, "pixels")
-        return p.select(*_KEYS, F.round(indices.compute(name, {k: F.col(v) for k, v in _BANDS.items()}), 8).alias("value"))
+        return p.select(*_KEYS, (F.round(indices.compute(name, {k: F.col(v) for k, v in _BANDS.items()}), 8) + F.lit(0.0)).alias("value"))
 
 
 for _name in indices.REGISTRY:
