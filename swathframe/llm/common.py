@@ -6,6 +6,7 @@ Kernels work on slices of bounded bytes, so that a worker's memory does not foll
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -72,6 +73,23 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, rows: int = SLICE_ROWS,
             to = min(max(int(np.searchsorted(ends, before + size, side="right")), at + 1), at + rows)
             yield b.slice(at, to - at)
             at = to
+    settle()
+
+
+def settle() -> None:
+    """Gives a worker's freed memory back: idle workers live on beside busy ones."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def running(flags: np.ndarray) -> np.ndarray:
+    """Running counts of flags from 0, in 32 bits (a slice's bytes fit)."""
+    out = np.zeros(len(flags) + 1, np.int32)
+    np.cumsum(flags, dtype=np.int32, out=out[1:])
+    return out
 
 
 def split_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, split_words
+from .common import running, slices, split_words
 from .quality import lbfgs
 
 BASE = ("email", "ip", "card", "phone")
@@ -87,7 +87,7 @@ CHARS = ("0123456789", "abcdef", "ghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUV
 
 
 def _chars() -> np.ndarray:
-    t = np.zeros((len(CHARS), 256), np.int64)
+    t = np.zeros((len(CHARS), 256), np.uint8)
     for i, chars in enumerate(CHARS):
         t[i, [ord(c) for c in chars]] = 1
     return t
@@ -105,7 +105,7 @@ def shapes(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     off = off - off[0]
     count = []
     for t in TABLE:
-        c = np.concatenate([[0], np.cumsum(t[data])])
+        c = running(t[data])
         count.append(c[off[1:]] - c[off[:-1]])
     digit, hexa, small, big, at, dot, dash, paren, quote, sign, plus, other = count
     bare = pc.ascii_lower(pc.ascii_trim(words.cast(pa.string()), "\"'`.,;:=()[]{}<>!?"))

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, split_words
+from .common import running, slices, split_words
 
 #: Labelled documents that the fit uses at most; score where nothing is labelled; steps and penalty of the fit.
 FIT_ROWS, FLAT, STEPS, RIDGE = 3000, 0.5, 80, 1.0
@@ -28,7 +28,7 @@ CLASSES = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "01234567
 
 
 def _tables() -> np.ndarray:
-    t = np.zeros((len(CLASSES) + 1, 256), np.int64)
+    t = np.zeros((len(CLASSES) + 1, 256), np.uint8)
     for i, chars in enumerate(CLASSES):
         t[i, [ord(c) for c in chars]] = 1
     t[-1] = (np.arange(256) & 0xC0) != 0x80  # starts of code points
@@ -49,7 +49,7 @@ def line_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     off = off - off[0]
     sums = []
     for t in TABLES:
-        c = np.concatenate([[0], np.cumsum(t[data])])
+        c = running(t[data])
         sums.append(c[off[1:]] - c[off[:-1]])
     upper, lower, digit, symbol, shout, stop, blank, chars = (x.astype(float) for x in sums)
     codes, vocabulary, owner = split_words(lines)

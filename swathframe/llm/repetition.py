@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, split_words
+from .common import running, slices, split_words
 
 #: Words of a repeat that counts; most covered share of the words; most words of one repeat.
 MIN_REPEAT, MAX_COVERED, MAX_LONGEST = 5, 0.4, 50
@@ -114,7 +114,7 @@ def measures(texts: pa.Array) -> dict[str, np.ndarray]:
     per = lambda w=None: np.bincount(owner, w, m).astype(np.int64)
     sizes = pc.utf8_length(words).to_numpy(zero_copy_only=False) if n else np.zeros(0)
     off = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + m + 1].astype(np.int64)
-    sums = np.concatenate([[0], np.cumsum(SYMBOLS[np.frombuffer(texts.buffers()[2] or b"", np.uint8)[off[0] : off[-1]]])])
+    sums = running(SYMBOLS[np.frombuffer(texts.buffers()[2] or b"", np.uint8)[off[0] : off[-1]]]).astype(np.int64)
     lines = pc.split_pattern(texts, "\n")
     doc = np.repeat(np.arange(m), pc.list_value_length(lines).to_numpy(zero_copy_only=False))
     lines = lines.flatten()
