@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.camera import project
+from ..functions.camera import distorted, to_camera
 from ..functions.scalars import rms
 
 #: Error of a point that can't be projected.
@@ -23,9 +23,13 @@ def observation_errors(observations: DataFrame, points: DataFrame, images: DataF
     points: point_id, x, y, z. images: image_id, camera_id, r (nine), t (three). cameras: camera_id, lens (intrinsics).
     """
     rows = observations.join(images, "image_id").join(cameras, "camera_id").join(points, "point_id")
-    u, v = project(F.col("lens"), F.col("r"), F.col("t"), F.col("x"), F.col("y"), F.col("z"))
-    err = F.hypot(u - F.col("u"), v - F.col("v"))
-    return rows.select("point_id", "image_id", "p2d_idx", F.when(err.isNotNull() & ~F.isnan(err) & (err < float("inf")), err).otherwise(LOST).alias("err"))
+    # in steps, each of columns, so that no expression holds another's text many times
+    p = to_camera(F.col("r"), F.col("t"), F.col("x"), F.col("y"), F.col("z"))
+    rows = rows.select("point_id", "image_id", "p2d_idx", "u", "v", "lens", *(c.alias(f"p{i}") for i, c in enumerate(p)))
+    rows = rows.withColumns({"nx": F.try_divide("p0", "p2"), "ny": F.try_divide("p1", "p2")})
+    pu, pv = distorted(F.col("lens"), F.col("nx"), F.col("ny"))
+    rows = rows.withColumn("err", F.when(F.col("p2") > 0, F.hypot(pu - F.col("u"), pv - F.col("v"))))
+    return rows.select("point_id", "image_id", "p2d_idx", F.when(F.col("err") < float("inf"), F.nanvl("err", F.lit(LOST))).otherwise(LOST).alias("err"))
 
 
 def reproj_stats(obs: DataFrame, exclude: DataFrame | None = None, by: list[str] | None = None) -> DataFrame:
