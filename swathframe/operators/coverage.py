@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.camera import border_points, focal_px, ground_point
+from ..functions.camera import LEAST_DOWN, RANGE_FACTOR, border_points, camera_axes, focal_px, ground_point
 from ..functions.scalars import wrap_angle
 
 LEAST_HEIGHT, ASSUMED_HEIGHT, LOW_OVERLAP = 5.0, 50.0, 2
@@ -61,11 +61,15 @@ def footprint_vertices(poses: DataFrame, samples: int = 5) -> DataFrame:
 def footprints(poses: DataFrame, samples: int = 5) -> DataFrame:
     """(survey, file, polygon, box): polygon is an array of (x, y); made in place, without an exchange."""
 
-    def point(b):
-        x, y = ground_point(*(F.col(c) for c in ("e", "n", "h", "yaw", "pitch", "focal", "width", "height")), b["u"], b["v"])
-        return F.struct(x.alias("x"), y.alias("y"))
-
-    p = poses.withColumn("polygon", F.transform(border_points(F.col("width"), F.col("height"), samples), point))
+    # in steps, so that each vertex computes its direction and reach once
+    c = F.col
+    p = poses.withColumn("axes", camera_axes(c("yaw"), c("pitch")))
+    fx, fy = (lambda b: (b["u"] - c("width") / 2.0) / c("focal")), (lambda b: (b["v"] - c("height") / 2.0) / c("focal"))
+    along = lambda b, i: fx(b) * c("axes.x")[i] + fy(b) * c("axes.y")[i] + c("axes.z")[i]
+    p = p.withColumn("ways", F.transform(border_points(c("width"), c("height"), samples), lambda b: F.struct(along(b, 0).alias("x"), along(b, 1).alias("y"), F.least(along(b, 2), F.lit(-LEAST_DOWN)).alias("z"))))
+    p = p.withColumn("reach", F.transform("ways", lambda d: F.struct((c("h") / -d["z"] * d["x"]).alias("x"), (c("h") / -d["z"] * d["y"]).alias("y"))))
+    p = p.withColumn("reach", F.transform("reach", lambda q: F.struct(q["x"].alias("x"), q["y"].alias("y"), F.least(F.lit(1.0), RANGE_FACTOR * c("h") / F.greatest(F.hypot(q["x"], q["y"]), F.lit(1e-12))).alias("k"))))
+    p = p.withColumn("polygon", F.transform("reach", lambda q: F.struct((c("e") + q["x"] * q["k"]).alias("x"), (c("n") + q["y"] * q["k"]).alias("y"))))
     side = lambda f, c: f(F.transform("polygon", lambda q: q[c]))
     return p.select("survey", "file", "datetime", "polygon", side(F.array_min, "x").alias("x0"), side(F.array_min, "y").alias("y0"), side(F.array_max, "x").alias("x1"), side(F.array_max, "y").alias("y1"))
 
@@ -76,28 +80,40 @@ def survey_bounds(prints: DataFrame, max_size: int = 2048) -> DataFrame:
     return b.withColumn("cell", F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin")) / max_size)
 
 
-def inside(polygon: Column, x: Column, y: Column) -> Column:
-    """Whether a polygon (closed by its first vertex) holds a point, by the crossings of a ray."""
+def crossings(polygon: Column, y: Column) -> Column:
+    """Where a horizontal line crosses a polygon (closed by its first vertex), from left to right: an even number of places."""
     n = F.size(polygon)
-    cross = lambda a, b: F.when((a["y"] > y) != (b["y"] > y), F.when(x < (b["x"] - a["x"]) * (y - a["y"]) / (b["y"] - a["y"]) + a["x"], 1).otherwise(0)).otherwise(0)
-    return F.aggregate(F.sequence(F.lit(1), n), F.lit(0), lambda acc, i: acc + cross(F.element_at(polygon, i), F.element_at(polygon, F.pmod(i, n) + 1))) % 2 == 1
+
+    def place(i):
+        a, b = F.element_at(polygon, i), F.element_at(polygon, F.pmod(i, n) + 1)
+        return F.when((a["y"] > y) != (b["y"] > y), (b["x"] - a["x"]) * (y - a["y"]) / (b["y"] - a["y"]) + a["x"])
+
+    return F.array_sort(F.array_compact(F.transform(F.sequence(F.lit(1), n), place)))
+
+
+def span(first: Column, last: Column) -> Column:
+    """Whole numbers from first to last; none if last is smaller."""
+    return F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
 
 
 def coverage_grid(prints: DataFrame, bounds: DataFrame, exact: bool = True) -> DataFrame:
     """(survey, row, col, n): footprints that hold each cell's centre; rows count down from ymax. exact=False counts boxes.
 
-    A survey's bounds are one row; cells are counted where their footprint is before the exchange.
+    A survey's bounds are one row. A footprint emits, for each row of its box, the cells between the row's crossings with it; cells are
+    counted where their footprint is before the exchange.
     """
     f = prints.join(bounds, "survey")
     lo = lambda edge: F.greatest(F.lit(0), F.ceil(edge / F.col("cell") - 0.5).cast("int"))
     hi = lambda edge: F.floor(edge / F.col("cell") - 0.5).cast("int")
-    c0, c1 = lo(F.col("x0") - F.col("xmin")), hi(F.col("x1") - F.col("xmin"))
-    r0, r1 = lo(F.col("ymax") - F.col("y1")), hi(F.col("ymax") - F.col("y0"))
-    span = lambda a, b: F.when(b >= a, F.sequence(a, b)).otherwise(F.array().cast("array<int>"))
-    cells = f.withColumn("row", F.explode(span(r0, r1))).withColumn("col", F.explode(span(c0, c1)))
+    rows = f.withColumn("row", F.explode(span(lo(F.col("ymax") - F.col("y1")), hi(F.col("ymax") - F.col("y0")))))
     if exact:
-        x, y = F.col("xmin") + (F.col("col") + 0.5) * F.col("cell"), F.col("ymax") - (F.col("row") + 0.5) * F.col("cell")
-        cells = cells.filter(inside(F.col("polygon"), x, y))
+        at = rows.withColumn("xs", crossings(F.col("polygon"), F.col("ymax") - (F.col("row") + 0.5) * F.col("cell")))
+        first = lambda k: lo(F.col("xs")[2 * k] - F.col("xmin"))
+        last = lambda k: F.ceil((F.col("xs")[2 * k + 1] - F.col("xmin")) / F.col("cell") - 0.5).cast("int") - 1
+        pairs = F.transform(F.sequence(F.lit(0), (F.size("xs") / 2).cast("int") - 1), lambda k: span(first(k), last(k)))
+        cells = at.filter(F.size("xs") >= 2).withColumn("col", F.explode(F.flatten(pairs)))
+    else:
+        cells = rows.withColumn("col", F.explode(span(lo(F.col("x0") - F.col("xmin")), hi(F.col("x1") - F.col("xmin")))))
     return cells.groupBy("survey", "row", "col").agg(F.count("*").alias("n"))
 
 
