@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .grids import labels_of
+
 # Share of frames that make a cell a candidate; a body's least cells and area; most density against land; shore
 # ring in metres and least points in it; percentile of its level; most rise inside and most drop at the shore; automatic switch.
 VOTE, LEAST_CELLS, LEAST_AREA, EMPTY, RING, LEAST_SHORE, LEVEL, RAISED, DROP, AUTO = 0.5, 4, 100.0, 0.15, 4.0, 5, 0.25, 1.5, 3.0, 0.05
@@ -29,25 +31,6 @@ def point_density(points: DataFrame, cells: DataFrame) -> DataFrame:
     return rows.join(land, "survey")
 
 
-def labels_of(mask: np.ndarray) -> np.ndarray:
-    """Components of a mask under eight neighbours: 0 outside, else 1, 2, ... in the order of their first cells."""
-    label = np.where(mask, np.arange(1, mask.size + 1).reshape(mask.shape), 0)
-    while True:
-        p = np.pad(label, 1)
-        big = np.iinfo(p.dtype).max
-        p = np.where(p > 0, p, big)
-        new = np.min(np.stack([p[i : i + mask.shape[0], j : j + mask.shape[1]] for i in range(3) for j in range(3)]), axis=0)
-        new = np.where(mask, new, 0)
-        flat = np.concatenate([[0], np.arange(1, mask.size + 1)])
-        flat[label[mask]] = np.minimum(flat[label[mask]], new[mask])
-        jump = np.where(mask, flat[new], 0)
-        if (jump == label).all():
-            break
-        label = jump
-    names = np.unique(label[mask])
-    return np.where(mask, np.searchsorted(names, label) + 1, 0)
-
-
 def label_cells(cells: DataFrame) -> DataFrame:
     """(survey, row, col, label) of candidate cells. A group is one survey's candidates, which a flight bounds."""
 

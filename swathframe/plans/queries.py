@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import camera, geodesy, indices, scalars
-from ..operators import coverage, mosaic, observations, radiometry, scan, sfm, surface, water
+from ..operators import coverage, grids, mosaic, observations, radiometry, scan, sfm, surface, water
 from .scratch import Rounds
 from .views import view, with_views
 
@@ -246,6 +246,13 @@ def coverage_palette(spark, sf_dir):
     return _grid(spark, sf_dir).select("survey", "row", "col", c[0].alias("red"), c[1].alias("green"))
 
 
+@query()
+def coverage_gaps(spark, sf_dir):
+    """Areas, gaps and low overlap of whole survey areas, holes and bridged gaps included."""
+    grid = _grid(spark, sf_dir).withColumn("cell", F.lit(10.0))
+    return coverage.coverage_stats(grids.area_cells(grid, 60.0, 20.0))
+
+
 @query()
 def forward_overlap(spark, sf_dir):
     return coverage.forward_overlap(coverage.footprints(coverage.build_poses(view(spark, sf_dir, "shots"))))

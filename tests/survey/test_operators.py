@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from swathframe.errors import AlignmentError, InputError, ProjectError
-from swathframe.operators import coverage, mosaic, radiometry, scan, sfm, surface, water
+from swathframe.operators import coverage, grids, mosaic, radiometry, scan, sfm, surface
 from swathframe.plans.options import MosaicOptions, snapped
 from swathframe.plans.scratch import Rounds
 from swathframe.plans.workspace import Project
@@ -33,11 +33,37 @@ def test_surface_keeps_planes(spark):
 
 def test_labels():
     mask = np.array([[1, 0, 0, 1], [0, 1, 0, 1], [0, 0, 0, 0], [1, 1, 1, 1]], bool)
-    assert water.labels_of(mask).tolist() == [[1, 0, 0, 2], [0, 1, 0, 2], [0, 0, 0, 0], [3, 3, 3, 3]]
+    assert grids.labels_of(mask).tolist() == [[1, 0, 0, 2], [0, 1, 0, 2], [0, 0, 0, 0], [3, 3, 3, 3]]
     snake = np.zeros((9, 9), bool)
     snake[::2] = True
     snake[1::4, 8] = snake[3::4, 0] = True
-    assert water.labels_of(snake).max() == 1
+    assert grids.labels_of(snake).max() == 1
+
+
+def test_discs():
+    r = np.random.default_rng(8)
+    mask = r.random((30, 40)) < 0.03
+    i, j = np.nonzero(mask)
+    y, x = np.indices(mask.shape)
+    for radius in (1.0, 1.5, 3.7, 9.0):
+        near = (np.hypot(y[..., None] - i, x[..., None] - j) <= radius).any(axis=-1)
+        assert (grids.dilated(mask, radius) == near).all() and (grids.eroded(~mask, radius) == ~near).all()
+
+
+def test_survey_area(spark):
+    ring = np.ones((7, 7), bool)
+    ring[2:5, 2:5] = False
+    assert grids.filled(ring).all()
+    split = np.zeros((20, 40), bool)
+    split[5:15, 2:18] = split[5:15, 21:38] = True
+    assert grids.survey_area(split, 4.0)[6:14, 18:21].all() and not grids.survey_area(split, 1.0)[:, 19].any()
+    notch = np.ones((20, 20), bool)
+    notch[:3, 8:11] = False
+    assert not grids.survey_area(notch, 4.0)[0, 9]
+    i, j = np.nonzero(split)
+    cells = spark.createDataFrame([(1, int(a), int(b), 3, 2.0) for a, b in zip(i, j)], "survey long, row int, col int, n long, cell double")
+    s = coverage.coverage_stats(grids.area_cells(cells, 8.0, 4.0)).first()
+    assert s.gap_area_m2 >= 8 * 3 * 4 and s.survey_area_m2 == s.gap_area_m2 + split.sum() * 4 and s.overlap_median == 3
 
 
 def test_overlap():
