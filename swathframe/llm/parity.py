@@ -37,7 +37,7 @@ from .common import Scratch, hash_words, mix, runs, slices, split_words
 #: Keys that one group of the bucket join holds about, and sets in a tile of the second round.
 GROUP_KEYS, TILE = 1 << 20, 1024
 #: Groups of the bucket join at least, and rows of small buckets that are compared together.
-GROUPS, CHUNK = 64, 1 << 14
+GROUPS, CHUNK = 64, 1 << 11
 #: Candidates of a node that the second round verifies from one group; each further round takes FEW times as many.
 FEW = 8
 #: Bits of the filter that is broadcast (2 MB at most).
