@@ -30,7 +30,7 @@ from .common import slices, split_words
 
 WINDOW, END, K1, B = 4096, 2, 1.2, 0.75
 #: Characters of a shard, about; parts that a worker remembers.
-SHARD_CHARS, REMEMBERED = 2 << 20, 400_000
+SHARD_CHARS, REMEMBERED = 2 << 20, 300_000
 
 
 #: Words of these characters (ASCII and the letters of Latin-1) need no normalisation but lower case, and split by PARTS.
@@ -55,7 +55,8 @@ class Words:
         from tokenizers.pre_tokenizers import ByteLevel
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are parallel already
-        self.whole, self.model = Tokenizer.from_file(path), Tokenizer.from_file(path).model
+        self.whole = Tokenizer.from_file(path)
+        self.model = self.whole.model
         # the visible character that stands for a byte
         self.byte = {c: ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(c)[0][0] for c in map(chr, range(0xC0, 0x100))}
         self.clear()
