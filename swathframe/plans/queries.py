@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import camera, geodesy, indices, scalars
 from ..operators import coverage, grids, mosaic, observations, radiometry, scan, sfm, surface, water
+from ..sources import exports
 from .scratch import Rounds
 from .views import view, with_views
 
@@ -720,6 +721,65 @@ def dedupe_warnings(spark, sf_dir):
     return s.select("survey", F.size(scalars.merged_warnings(F.col("a"), F.col("b"))).cast("long").alias("kinds"))
 
 
+# ---- exports, pairs, samples ----
+
+
+@query("SELECT image_id, printf('%s,%.4f,%.4f,%.4f,%.6f,%.6f,%.6f', name, cx, cy, cz, 0.0, 0.0, 0.0) AS line FROM posed", ("posed",))
+def camera_csv(spark, sf_dir):
+    p = view(spark, sf_dir, "posed")
+    nadir = F.array(*(F.lit(v) for v in (1.0, 0.0, 0.0, 0.0, -1.0, 0.0, 0.0, 0.0, -1.0)))
+    return p.select("image_id", exports.camera_csv_line(F.col("name"), F.col("cx"), F.col("cy"), F.col("cz"), nadir).alias("line"))
+
+
+@query("SELECT file, round(lon, 8) AS lon, round(lat, 8) AS lat FROM shots WHERE lon IS NOT NULL", ("shots",))
+def raster_corner(spark, sf_dir):
+    """The upper left corner of a raster that begins at a shot's projected place is the shot's place."""
+    s = view(spark, sf_dir, "shots").filter("lon is not null")
+    x, y = geodesy.forward(F.col("lon"), F.col("lat"), 5186)
+    c = s.select("file", x.alias("x"), y.alias("y")).select("file", exports.corners_lonlat(F.col("x"), F.col("y"), F.lit(0.5), F.lit(10), F.lit(20), 5186)[0].alias("c"))
+    return rounded(c.select("file", "c.lon", "c.lat"), 8)
+
+
+@query(
+    """WITH d AS (SELECT a.survey, a.image_id AS p, b.image_id AS q, sqrt(pow(a.cx - b.cx, 2) + pow(a.cy - b.cy, 2)) AS dist FROM posed a JOIN posed b ON a.survey = b.survey AND a.image_id <> b.image_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY survey, p ORDER BY dist, q) AS rn FROM d WHERE dist <= 150)
+SELECT DISTINCT survey, least(p, q) AS a, greatest(p, q) AS b FROM r WHERE rn <= 4""",
+    ("posed",),
+)
+def spatial_pairs(spark, sf_dir):
+    p = view(spark, sf_dir, "posed").select("survey", "image_id", F.col("cx").alias("x"), F.col("cy").alias("y"))
+    return sfm.spatial_pairs(p, 4, 150.0)
+
+
+@query(
+    """WITH p AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, greatest(0, least(1, nir * 2)) AS p FROM pixels)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(floor(CASE WHEN p <= 0.35 THEN 140 + 76 * (p - 0) / (0.35 - 0) WHEN p <= 0.55 THEN 216 + 30 * (p - 0.35) / (0.55 - 0.35) WHEN p <= 0.7 THEN 246 - 101 * (p - 0.55) / (0.7 - 0.55) ELSE 145 - 119 * (p - 0.7) / (1 - 0.7) END + 0.5) AS INTEGER) AS red FROM p""",
+    ("pixels",),
+)
+def index_colors(spark, sf_dir):
+    p = view(spark, sf_dir, "pixels")
+    return p.select(*_KEYS, indices.ramp_color(F.col("nir"), 0.0, 0.5, "vegetation")[0].alias("red"))
+
+
+@query("SELECT survey, list_sort(list(DISTINCT model))[1] AS first, count(DISTINCT model) AS n FROM shots GROUP BY survey", ("shots",))
+def sorted_distinct(spark, sf_dir):
+    s = view(spark, sf_dir, "shots").groupBy("survey").agg(F.collect_set("model").alias("m"))
+    return s.select("survey", scalars.sorted_ids(F.col("m"))[0].alias("first"), F.size("m").cast("long").alias("n"))
+
+
+@query("SELECT survey, bool_or(NOT has) AS lacks FROM (SELECT s.survey, m.model, count(t.event_id) > 0 AS has FROM (SELECT DISTINCT survey FROM shots) s CROSS JOIN (SELECT DISTINCT model FROM shots) m LEFT JOIN shots t ON t.survey = s.survey AND t.model = m.model GROUP BY ALL) GROUP BY survey", ("shots",))
+def lacking_models(spark, sf_dir):
+    s = view(spark, sf_dir, "shots")
+    full = [r.model for r in s.select("model").distinct().collect()]  # the few models of all surveys
+    return s.groupBy("survey").agg(F.collect_set("model").alias("have")).select("survey", scalars.lacks(F.array(*map(F.lit, full)), F.col("have")).alias("lacks"))
+
+
+@query()
+def hashed_sample(spark, sf_dir):
+    e = view(spark, sf_dir, "errors").withColumn("key", F.concat_ws(":", "point_id", "l_orderkey", "p2d_idx"))
+    return observations.hashed_sample(e, "key", 20, by="image_id")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

@@ -175,3 +175,29 @@ def test_live_coverage(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {(r.row, r.col, r.n) for r in spark.sql("select * from live").collect()} == {(1, 2, 2), (0, 0, 1)}
+
+
+def test_exports(spark):
+    from swathframe.sources import exports
+
+    rows = spark.createDataFrame([(2, 1.5, 2.5, 3.5, 255, 0, 1), (1, 0.5, 0.25, -1.0, 9, 8, 7)], "point_id long, x double, y double, z double, red int, green int, blue int")
+    xyz, rgb = exports.ply_points(exports.ply_bytes(rows))
+    assert xyz.tolist() == [[0.5, 0.25, -1.0], [1.5, 2.5, 3.5]] and rgb.tolist() == [[9, 8, 7], [255, 0, 1]]
+    grid = spark.createDataFrame([(0, 1, 2.5), (1, 0, 3.5)], "row int, col int, z double")
+    p = headers.tiff_pixels(exports.grid_tiff(grid, "z", 2, 2, 0.0, 10.0, 1.0, 5186))
+    assert p[0, 1] == 2.5 and p[1, 0] == 3.5 and np.isnan(p[0, 0])
+
+
+def test_outlines():
+    from swathframe.sources import exports
+
+    mask = np.array([[1, 1, 0], [1, 1, 0], [0, 0, 1]], bool)
+    area = lambda ring: abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:]))) / 2
+    rings = exports.outlines(mask, 100.0, 50.0, 2.0)
+    assert [area(r) for r in rings] == [16.0, 4.0] and all(r[0] == r[-1] for r in rings) and [len(r) for r in rings] == [5, 5]
+    holed = np.ones((5, 5), bool)
+    holed[2, 2] = False
+    assert [area(r) for r in exports.outlines(holed, 0.0, 0.0, 1.0)] == [25.0]
+    bend = np.array([[1, 1, 1], [1, 0, 0], [1, 1, 1]], bool)
+    assert [area(r) for r in exports.outlines(bend, 0.0, 0.0, 1.0)] == [7.0]
+    assert exports.png_bytes(np.zeros((2, 3), np.uint8))[:4] == b"\x89PNG"
