@@ -12,6 +12,10 @@ no join; a set with more empty cells is dealt out again under other seeds, and u
 One-bit cells (a bit sketch of two to four bits a shingle, which folds to its half) give the same bound and reject most
 of what the join brings before exact verification.
 
+A key that very many sets share (a passage, a group of near copies) meets in no single task: a task that sees it often deals
+its sets out to salted groups and tells the key's own group by a mark; all of them then name the bucket after the key, so
+that its members are one bucket again, as rows.
+
 Equal sets are one node from the start. A group of near copies costs links to pivots, not all pairs: a bucket's pivot is
 its member that shares most buckets, and the first round verifies one pivot a node. Further rounds verify what else may
 link sets that are not yet connected: other pivots, and inside a bucket other members, compared by their bits in tiles of
@@ -43,6 +47,8 @@ FEW = 8
 #: Bits of the filter that is broadcast (2 MB at most).
 BITMAP = 1 << 24
 SEEDS = 4
+#: Sets of a slice that make a key hot, parts that a hot key's sets are dealt out to, and the node that marks such a key.
+HOT, SALTS, MARK = 64, 32, np.iinfo(np.int64).min
 U = np.uint64
 
 
@@ -153,8 +159,29 @@ def _sizes(batches, width):
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(size.astype(np.int64)), pa.array(ids, mask=size == 0), pa.array(bits, pa.binary())], ["doc_id", "n_shingles", "node", "bits"])
 
 
+def _packed(gid: np.ndarray, node: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
+    """Rows (gid, blob) of keys and their nodes: in a blob, the nodes, how many keys each has, the keys."""
+    order = np.lexsort((node, gid))
+    gid, node, keys = gid[order], node[order], keys[order].astype(np.uint32)
+    starts, out = runs(gid), []
+    for i, j in zip(starts, np.append(starts[1:], len(gid))):
+        r = runs(node[i:j])
+        many = np.diff(np.append(r, j - i)).astype(np.uint32)
+        out.append(np.array([len(r)], np.uint32).tobytes() + node[i:j][r].tobytes() + many.tobytes() + keys[i:j].tobytes())
+    return pa.RecordBatch.from_arrays([pa.array(gid[starts], pa.int64()), pa.array(out, pa.binary())], ["gid", "blob"])
+
+
+def _unpacked(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    keys, nodes = [], []
+    for blob in blobs:
+        m = int(np.frombuffer(blob, np.uint32, 1)[0])
+        nodes.append(np.repeat(np.frombuffer(blob, np.int64, m, 4), np.frombuffer(blob, np.uint32, m, 4 + 8 * m)))
+        keys.append(np.frombuffer(blob, np.uint32, offset=4 + 12 * m))
+    return np.concatenate(keys), np.concatenate(nodes)
+
+
 def _blobs(batches, width, percent, groups):
-    """Rows (pid, blob): the keys of the task's distinct sets that go to a group, packed."""
+    """The keys of the task's distinct sets, by the group that a key goes to; sets of a key that is hot here, by salted groups."""
     bands, seen = Bands(percent), set()
     for b in slices(batches, "text"):
         h, o, size = shingle_sets(b.column("text"), width)
@@ -166,30 +193,35 @@ def _blobs(batches, width, percent, groups):
                 new[i] = True
         use = new[o]
         keys, sets = keys_of(h[use], o[use], np.where(new, size, 0), bands)
-        pid = ((keys >> U(32)) * U(groups) >> U(32)).astype(np.int64)
-        order = np.argsort(pid * len(size) + sets)
-        keys, sets, pid = keys[order].astype(np.uint32), sets[order], pid[order]
-        starts = runs(pid)
-        out = []
-        for i, j in zip(starts, np.append(starts[1:], len(pid))):
-            r = runs(sets[i:j])
-            many = np.diff(np.append(r, j - i)).astype(np.uint32)
-            out.append(np.array([len(r)], np.uint32).tobytes() + ids[sets[i:j][r]].tobytes() + many.tobytes() + keys[i:j].tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(pid[starts], pa.int64()), pa.array(out, pa.binary())], ["pid", "blob"])
-
-
-def _buckets(group: pa.Table) -> pa.Table:
-    """Members of each key that several sets have, once for each list of members."""
-    keys, nodes = [], []
-    for blob in group.column("blob").to_pylist():
-        m = int(np.frombuffer(blob, np.uint32, 1)[0])
-        nodes.append(np.repeat(np.frombuffer(blob, np.int64, m, 4), np.frombuffer(blob, np.uint32, m, 4 + 8 * m)))
-        keys.append(np.frombuffer(blob, np.uint32, offset=4 + 12 * m))
-    keys, nodes = np.concatenate(keys), np.concatenate(nodes)
+        gid, node = ((keys >> U(32)) * U(groups) >> U(32)).astype(np.int64), ids[sets]
+        order = np.argsort(keys)
+        start = runs(keys[order])
+        count = np.diff(np.append(start, len(keys)))
+        hot = np.zeros(len(keys), bool)
+        hot[order] = np.repeat(count >= HOT, count)
+        mark = order[start[count >= HOT]]  # one entry of each hot key
+        told = gid[mark]
+        gid[hot] += groups * (1 + (node[hot].view(U) % U(SALTS)).astype(np.int64))
+        yield _packed(np.concatenate([gid, told]), np.concatenate([node, np.full(len(mark), MARK)]), np.concatenate([keys, keys[mark]]))
+
+
+def _buckets(group: pa.Table, groups: int) -> pa.Table:
+    """(bucket, node): members of each key that several sets have, once for each list of members; all members of hot keys."""
+    gid = group.column("gid")[0].as_py()
+    keys, nodes = _unpacked(group.column("blob").to_pylist())
+    named = lambda k: mix(k.astype(U) | U(gid % groups << 32)).view(np.int64)
+    if gid >= groups:
+        return pa.table({"bucket": named(keys), "node": nodes})
+    marked = np.unique(keys[nodes == MARK])
+    mine = nodes != MARK
+    keys, nodes = keys[mine], nodes[mine]
+    hot = np.isin(keys, marked)
+    out_bucket, out_node = [named(keys[hot])], [nodes[hot]]
+    keys, nodes = keys[~hot], nodes[~hot]
     order = np.argsort(keys, kind="stable")
     k = keys[order]
     same = k[1:] == k[:-1]
-    several = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+    several = np.concatenate([same, [False]]) | np.concatenate([[False], same]) if len(k) else np.zeros(0, bool)
     k, v = k[several], nodes[order][several]
     order = np.lexsort((v, k))
     k, v = k[order], v[order]
@@ -197,13 +229,15 @@ def _buckets(group: pa.Table) -> pa.Table:
     k, v = k[first], v[first]
     start = runs(k)
     size = np.diff(np.append(start, len(k)))
-    bucket = mix(np.add.reduceat(mix(v.view(U)), start) + size.astype(U)).view(np.int64) if len(k) else np.zeros(0, np.int64)
-    _, pick = np.unique(bucket, return_index=True)
-    pick = pick[size[pick] > 1]
-    take = np.zeros(len(start), bool)
-    take[pick] = True
-    use = np.repeat(take, size)
-    return pa.table({"bucket": np.repeat(bucket, size)[use], "node": v[use], "pivot": np.repeat(v[start] if len(k) else v, size)[use]})
+    if len(k):
+        bucket = mix(np.add.reduceat(mix(v.view(U)), start) + size.astype(U)).view(np.int64)
+        _, pick = np.unique(bucket, return_index=True)
+        take = np.zeros(len(start), bool)
+        take[pick[size[pick] > 1]] = True
+        use = np.repeat(take, size)
+        out_bucket.append(np.repeat(bucket, size)[use])
+        out_node.append(v[use])
+    return pa.table({"bucket": np.concatenate(out_bucket), "node": np.concatenate(out_node)})
 
 
 def _same(batches, width):
@@ -349,8 +383,8 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     groups = max(GROUPS, round(0.6 * total / GROUP_KEYS))
 
     nodes = scratch.keep(sizes.filter("doc_id is not null and node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n")), "nodes")
-    blobs = docs.filter("doc_id is not null").mapInArrow(partial(_blobs, width=width, percent=percent, groups=groups), "pid long, blob binary")
-    found = blobs.groupBy("pid").applyInArrow(_buckets, "bucket long, node long, pivot long")
+    blobs = docs.filter("doc_id is not null").mapInArrow(partial(_blobs, width=width, percent=percent, groups=groups), "gid long, blob binary")
+    found = blobs.groupBy("gid").applyInArrow(lambda group: _buckets(group, groups), "bucket long, node long")
     buckets = scratch.keep(found.distinct(), "buckets")
 
     # a bucket's pivot: the member with most buckets (of a group of near copies the one that most are copies of)

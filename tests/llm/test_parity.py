@@ -86,6 +86,16 @@ def test_more_rounds(spark, monkeypatch):
     assert result(parity.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))) == {(i, *v) for i, v in brute(rows).items()}
 
 
+def test_hot_keys(spark, monkeypatch):
+    """Keys that are hot in some tasks only, and salted groups, lose no link."""
+    monkeypatch.setattr(parity, "GROUPS", 3)
+    r = random.Random(11)
+    passage = " ".join(f"p{i}" for i in range(80))
+    rows = [(i, passage + " " + " ".join(f"t{i % 40}_{j if r.random() > 0.04 else r.random()}" for j in range(25))) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert result(parity.jaccard_components(df)) == {(i, *v) for i, v in brute(rows).items()}
+
+
 def test_bounds():
     """Sketches bound the symmetric difference from below; linked sets share a key."""
     r = np.random.default_rng(5)
