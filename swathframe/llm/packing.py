@@ -1,10 +1,14 @@
 """Lexical retrieval packing: sequences of bounded length filled with documents that share words.
 
-Texts become token ids (a public tokenizer's, then an end id), dealt evenly over shards of bounded size. Every shard keeps
-a BM25 inverted index over its documents' ids. A seed document asks the index for its unused neighbours, and these fill its
+Texts become token ids (a public tokenizer's, then an end id) and are sorted by which of their ids weighted sampling picks
+(the BM25 weight in the whole corpus is the chance, so that documents which share telling ids lie together). The sorted
+documents are cut into shards of bounded size. Every shard keeps a BM25 inverted index over its documents' ids, with the
+corpus' document frequencies and mean length. A seed document asks the index for its unused neighbours, and these fill its
 window greedily, best first; where no whole one fits any more the best is cut, and its rest seeds the next window. So all
 windows of a shard are full but its last. Documents of more than a window give whole windows first.
 
+A seed does not search other shards than its own: that finds every neighbour but grows with the square of the corpus.
+
 The tokenizer drops white space and never joins across it, so a text's ids are those of its words; each worker remembers
 the ids of words' parts in a table of bounded size.
 
@@ -19,18 +23,22 @@ import os
 import zlib
 from functools import partial
 from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, split_words
+from .common import Scratch, mix, settle, slices, split_words
 
 WINDOW, END, K1, B = 4096, 2, 1.2, 0.75
 #: Characters of a shard, about; parts that a worker remembers.
 SHARD_CHARS, REMEMBERED = 2 << 20, 300_000
+#: Shards of a partition, about; ids picked for a document's place.
+SHARDS_A_PART, LEVELS = 4, 3
 
 
 #: Words of these characters (ASCII and the letters of Latin-1) need no normalisation but lower case, and split by PARTS.
@@ -140,22 +148,75 @@ def token_ids(texts: pa.Array, path: str) -> list[np.ndarray]:
 def _encode(batches, path):
     for b in slices(batches, "text", rows=2048, size=8 << 20):
         ids = [np.append(x, np.uint16(END)).tobytes() for x in token_ids(b.column("text"), path)]
-        yield pa.RecordBatch.from_arrays([b.column("shard"), b.column("row_id"), b.column("doc_id"), pa.array(ids, pa.binary())], ["shard", "row_id", "doc_id", "ids"])
+        chars = pc.add(pc.fill_null(pc.utf8_length(b.column("text")), 0).cast(pa.int64()), 8)
+        yield pa.RecordBatch.from_arrays([b.column("row_id"), b.column("doc_id"), chars, pa.array(ids, pa.binary())], ["row_id", "doc_id", "chars", "ids"])
+
+
+class Corpus(NamedTuple):
+    """Number and mean length of the pieces of a corpus, and in how many of them each id is."""
+
+    n: int
+    mean: float
+    df: np.ndarray
+
+
+def _rests(ids: pa.Array, window: int) -> list[np.ndarray]:
+    """What whole windows leave of each document."""
+    ids = [np.frombuffer(x, np.uint16) for x in ids.to_pylist()]
+    return [x[len(x) // window * window :] for x in ids]
+
+
+def _terms(pieces: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Piece, id and frequency of the distinct ids of each piece in turn."""
+    flat = np.concatenate(pieces).astype(np.int64) if pieces else np.zeros(0, np.int64)
+    pair, tf = np.unique(np.repeat(np.arange(len(pieces)), [len(p) for p in pieces]) << 16 | flat, return_counts=True)
+    return pair >> 16, pair & 0xFFFF, tf
+
+
+def _counts(batches, window):
+    """Documents and summed length of pieces by id; under id -1 of all pieces."""
+    df, n, size = np.zeros(1 << 16, np.int64), 0, 0
+    for b in slices(batches, "ids"):
+        pieces = [p for p in _rests(b.column("ids"), window) if len(p)]
+        df += np.bincount(_terms(pieces)[1], minlength=1 << 16)
+        n, size = n + len(pieces), size + sum(map(len, pieces))
+    term = np.flatnonzero(df)
+    yield pa.RecordBatch.from_arrays([pa.array(np.append(term, -1)), pa.array(np.append(df[term], n)), pa.array(np.append(0 * term, size))], ["term", "n", "size"])
+
+
+def _keyed(batches, window, corpus):
+    """Adds each document's place: ids picked with their BM25 weights as chances, the same pick of equal ids."""
+    for b in slices(batches, "ids"):
+        pieces = _rests(b.column("ids"), window)
+        piece, term, tf = _terms(pieces)
+        key = np.zeros(len(pieces), np.int64)
+        if len(piece):
+            weight, start = _bm25(corpus, term, tf, np.array([len(p) for p in pieces])[piece]), np.flatnonzero(np.diff(piece, prepend=-1))
+            for level in range(LEVELS):
+                chance = (mix(term + ((level + 1) << 32)) >> np.uint64(11)).astype(np.float64) + 0.5
+                order = np.lexsort((-np.log(chance / (1 << 53)) / weight, piece))
+                key[piece[start]] = key[piece[start]] << 16 | term[order[start]]
+        yield pa.RecordBatch.from_arrays([pa.array(key), *b.columns], ["key", *b.schema.names])
+
+
+def _bm25(corpus: Corpus, term: np.ndarray, tf: np.ndarray, size: np.ndarray) -> np.ndarray:
+    df = corpus.df[term]
+    return np.log(1 + (corpus.n - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / max(corpus.mean, 1)))
 
 
 class Index:
-    """BM25 postings of pieces (arrays of ids)."""
+    """BM25 postings of pieces (arrays of ids); corpus: what they are of (none: they are all)."""
 
-    def __init__(self, pieces: list[np.ndarray]):
+    def __init__(self, pieces: list[np.ndarray], corpus: Corpus | None = None):
         n = len(pieces)
         size = np.array([len(p) for p in pieces], np.int64)
         flat = np.concatenate(pieces).astype(np.int64) if n else np.zeros(0, np.int64)
         pair, tf = np.unique(flat * n + np.repeat(np.arange(n), size), return_counts=True) if n else (flat, flat)
         self.n, self.piece, term = n, pair % max(n, 1), pair // max(n, 1)
         self.start = np.searchsorted(term, np.arange(int(term.max(initial=0)) + 2))
-        df = np.diff(self.start)[term] if n else term
-        norm = K1 * (1 - B + B * size / max(size.mean(), 1)) if n else size
-        self.weight = np.log(1 + (n - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + norm[self.piece]) if n else tf
+        if n and corpus is None:
+            corpus = Corpus(n, size.mean(), np.diff(self.start))
+        self.weight = _bm25(corpus, term, tf, size[self.piece]) if n else tf
         order = np.argsort(self.piece, kind="stable")  # terms of each piece
         self.terms, self.at = term[order], np.searchsorted(self.piece[order], np.arange(n + 1))
 
@@ -167,7 +228,7 @@ class Index:
         return np.bincount(self.piece[at], self.weight[at], self.n)
 
 
-def fill(docs: list[np.ndarray], window: int = WINDOW) -> list[list[tuple[int, int, int]]]:
+def fill(docs: list[np.ndarray], window: int = WINDOW, corpus: Corpus | None = None) -> list[list[tuple[int, int, int]]]:
     """Sequences of pieces (document, start, length)."""
     out, start = [], []
     for d, ids in enumerate(docs):
@@ -175,7 +236,7 @@ def fill(docs: list[np.ndarray], window: int = WINDOW) -> list[list[tuple[int, i
         out += [[(d, s, window)] for s in range(0, whole, window)]
         start.append(whole)
     pool = [d for d, ids in enumerate(docs) if len(ids) > start[d]]
-    index = Index([docs[d][start[d] :] for d in pool])
+    index = Index([docs[d][start[d] :] for d in pool], corpus)
     begin = [start[d] for d in pool]
     left = np.array([len(docs[d]) - start[d] for d in pool], np.int64)
     seeds, i, seed = np.argsort(-left, kind="stable"), 0, None
@@ -218,13 +279,12 @@ def fill(docs: list[np.ndarray], window: int = WINDOW) -> list[list[tuple[int, i
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padded_to long, row_id long"
 
 
-def _pack(group: pa.Table, window: int) -> pa.Table:
-    shard = group.column("shard")[0].as_py()
+def _pack(shard: int, group: pa.Table, window: int, corpus: Corpus) -> pa.RecordBatch:
     group = group.sort_by("row_id")
     ids = [np.frombuffer(x, np.uint16) for x in group.column("ids").to_pylist()]
     doc_id, row_id = group.column("doc_id").to_pylist(), group.column("row_id").to_pylist()
     rows = []
-    for s, pieces in enumerate(fill(ids, window)):
+    for s, pieces in enumerate(fill(ids, window, corpus)):
         size = sum(n for _, _, n in pieces)
         offset = 0
         for d, start, n in pieces:
@@ -232,14 +292,44 @@ def _pack(group: pa.Table, window: int) -> pa.Table:
             rows.append((doc_id[d], start, n, crc, len(ids[d]), shard << 32 | s, offset, size if size & (size - 1) == 0 else window, row_id[d]))
             offset += n
     names = [x.split()[0] for x in SCHEMA.split(", ")]
-    return pa.table({n: pa.array([r[i] for r in rows], pa.int64()) for i, n in enumerate(names)})
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(len(names))], names)
+
+
+def _shards(batches, window, corpus, shard_chars):
+    """Consecutive documents of a partition, packed shard by shard."""
+    shard, held, chars = TaskContext.get().partitionId() << 11, [], 0
+    for b in batches:
+        at, ends = 0, np.cumsum(b.column("chars").to_numpy())
+        while at < b.num_rows:
+            before = ends[at - 1] if at else 0
+            to = min(int(np.searchsorted(ends, before + shard_chars - chars)) + 1, b.num_rows)
+            held.append(b.slice(at, to - at))
+            chars += int(ends[to - 1] - before)
+            at = to
+            if chars >= shard_chars:
+                yield _pack(shard, pa.Table.from_batches(held), window, corpus)
+                shard, held, chars = shard + 1, [], 0
+    if held:
+        yield _pack(shard, pa.Table.from_batches(held), window, corpus)
+    settle()
 
 
 def packed(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFrame:
     """Pieces of docs (doc_id, text) by sequence; tokenizer: path of a tokenizer file of fewer than 65,536 ids."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    chars = docs.agg(F.sum(F.coalesce(F.length("text"), F.lit(0)) + 8)).first()[0] or 0
-    shards = max(1, -(-chars // SHARD_CHARS))
-    work = docs.withColumn("row_id", F.monotonically_increasing_id()).withColumn("shard", F.pmod(F.xxhash64("row_id", "doc_id"), F.lit(shards)))
-    coded = work.mapInArrow(partial(_encode, path=tokenizer), "shard long, row_id long, doc_id long, ids binary")
-    return coded.groupBy("shard").applyInArrow(lambda group: _pack(group, window), SCHEMA)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("row_id", F.monotonically_increasing_id())
+    coded = "row_id long, doc_id long, chars long, ids binary"
+    work = Scratch(docs.sparkSession, "packing").keep(docs.mapInArrow(partial(_encode, path=tokenizer), coded), "coded")
+    # at most 65,536 ids
+    found = work.select("ids").mapInArrow(partial(_counts, window=window), "term long, n long, size long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("size").alias("size")).collect()
+    df, n, size = np.zeros(1 << 16, np.int64), 0, 0
+    for r in found:
+        if r.term < 0:
+            n, size = r.n, r.size
+        else:
+            df[r.term] = r.n
+    corpus = Corpus(n, size / max(n, 1), df)
+    chars = work.agg(F.sum("chars")).first()[0] or 0
+    keyed = work.mapInArrow(partial(_keyed, window=window, corpus=corpus), f"key long, {coded}")
+    # row_id: equal keys (exact copies) may be many
+    near = keyed.repartitionByRange(max(1, -(-chars // (SHARD_CHARS * SHARDS_A_PART))), "key", "row_id").sortWithinPartitions("key", "row_id")
+    return near.mapInArrow(partial(_shards, window=window, corpus=corpus, shard_chars=SHARD_CHARS), SCHEMA)

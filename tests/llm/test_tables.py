@@ -80,6 +80,18 @@ def test_pieces(odd, none, odd_rows):
         assert [r.offset for r in pieces] == np.cumsum([0, *(r.length for r in pieces)])[:-1].tolist() and sum(r.length for r in pieces) <= 256
 
 
+def test_near_copies_share_a_shard(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_CHARS", 20_000)
+    r = np.random.default_rng(4)
+    words = ["".join(map(chr, r.integers(97, 123, 5))) for _ in range(3000)]
+    texts = [" ".join(words[i] for i in r.integers(0, 3000, 80)) for _ in range(300)]
+    docs = spark.createDataFrame([(i, texts[i % 300] + (" tail" if i >= 300 else "")) for i in range(600)], "doc_id long, text string").repartition(5, "doc_id")
+    rows = packing.packed(docs, TOKENIZER, window=256).collect()
+    shard = {x.doc_id: x.sequence_id >> 32 for x in rows}
+    assert len(shard) == 600 and len(set(shard.values())) > 10
+    assert sum(shard[i] == shard[i + 300] for i in range(300)) > 180  # dealt at random: a tenth or less
+
+
 # ---- mixing ----
 
 

@@ -266,6 +266,16 @@ def test_fill_prefers_neighbours_and_keeps_all():
     assert first[0][0] % 2 == first[1][0] % 2
 
 
+def test_index_takes_the_statistics_of_the_corpus():
+    r = np.random.default_rng(1)
+    docs = [r.integers(0, 20, n).astype(np.uint16) for n in (5, 9, 14, 30, 3, 8)]
+    size = np.array([len(d) for d in docs])
+    corpus = packing.Corpus(6, size.mean(), np.array([sum(t in d for d in docs) for t in range(20)]))
+    part, whole = packing.Index(docs[:3], corpus), packing.Index(docs)
+    for i in range(3):
+        assert np.allclose(part.scores(i), whole.scores(i)[:3])
+
+
 # ---- licences ----
 
 MIT = """/* Copyright (c) 2020 Jo
