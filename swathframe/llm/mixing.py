@@ -3,8 +3,9 @@ r"""Soft-membership mixing: document rates by which a corpus meets target token
 A naive Bayes classifier is learned from a labelled table: word counts of at most FIT_ROWS labelled documents, taken in the
 order of a hash of doc_id, over the VOCABULARY most frequent words. It predicts every document's posterior over the domains
 (soft: log odds grow with the root of the number of known words). With tokens t and posteriors p, nonnegative rates w shall give
-expected domain totals sum(w t p_k) = T_k. Projected gradient descent on the squared differences, each step over the whole
-table at once: only the K totals reach the driver, never a document's row. Everything else is DataFrame operations.
+expected domain totals sum(w t p_k) = T_k. Projected gradient descent on the squared differences, then where it stalls or a
+domain is off its own target, projected Newton steps, each step over the whole table at once: only sums by domain reach the
+driver, never a document's row. Everything else is DataFrame operations.
 
 Tokens are words `[^\x20\x09-\x0D]+`. Defined cases: null and blank texts have no tokens and the prior as posterior; a domain without
 documents can't be reached and leaves a residual; repeated rows are fitted row by row; without labelled rows all documents
@@ -20,8 +21,10 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 FIT_ROWS, VOCABULARY, SMOOTH = 4000, 2000, 0.1
-#: Steps at most; relative residual that is enough; steps between written tables.
-STEPS, ENOUGH, EVERY = 40, 1e-3, 8
+#: Steps at most; residuals that are enough, of all domains together and of each to its own target; steps between written tables.
+STEPS, ENOUGH, ENOUGH_EACH, EVERY = 40, 1e-3, 0.01, 8
+#: Parts of a Newton step that are tried.
+PARTS = (1.0, 0.5, 0.25, 0.1, 0.02)
 SPACE = "[\\x20\\x09-\\x0D]+"
 
 
@@ -65,28 +68,58 @@ def _dot(k: int, c) -> F.Column:
     return sum((F.col(f"p{i}") * float(c[i]) for i in range(k)), F.lit(0.0))
 
 
+def _sums(members: DataFrame, k: int, columns: dict[str, F.Column]) -> dict[str, np.ndarray]:
+    """Token sums by domain, weighted by each column."""
+    row = members.agg(*(F.sum(c * F.col("n_tokens") * F.col(f"p{i}")).alias(f"{n}_{i}") for n, c in columns.items() for i in range(k))).first()
+    return {n: np.array([row[f"{n}_{i}"] or 0.0 for i in range(k)]) for n in columns}
+
+
 def rates(members: DataFrame, targets: np.ndarray, scratch: Scratch, floor: float = 0.0) -> DataFrame:
     """members with the column `rate`: projected gradient on sum_k (sum(rate * n_tokens * p_k) - targets_k)^2 from rates of 1.
 
     A step moves a rate by the gradient over n_tokens (the metric in which long and short documents of a domain move alike),
-    as far as is best along the unprojected line, then projects on rates >= floor.
+    as far as is best along the unprojected line, then projects on rates >= floor. Where that stalls, or has met the targets
+    together but not each, Newton steps in each domain's own scale follow, over the rows that are free to move.
     """
     k = len(targets)
-    gram = members.agg(*(F.sum(F.col("n_tokens") * F.col(f"p{i}") * F.col(f"p{j}")).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k))).first()
-    g = np.array([[gram[f"g{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)])
+    g = _sums(members, k, {f"{i}": F.col(f"p{i}") for i in range(k)})
+    g = np.array([g[f"{i}"] for i in range(k)])
     now, scale, best = members.withColumn("rate", F.lit(max(1.0, floor))), max(float(np.abs(targets).sum()), 1.0), None
+
+    def moved(c) -> F.Column:
+        return F.greatest(F.lit(float(floor)), F.col("rate") - _dot(k, c))
+
     for step in range(STEPS):
-        total = now.agg(*(F.sum(F.col("rate") * F.col("n_tokens") * F.col(f"p{i}")).alias(f"t{i}") for i in range(k))).first()
-        r = np.array([total[f"t{i}"] or 0.0 for i in range(k)]) - targets
+        r = _sums(now, k, {"t": F.col("rate")})["t"] - targets
         off = float(np.abs(r).sum()) / scale
         if off <= ENOUGH or (best is not None and off >= best * 0.999 and step > 10):
             break
         best = off if best is None else min(best, off)
         down = g @ r
-        length = float(r @ down) / max(float(down @ down), 1e-300)
-        now = now.withColumn("rate", F.greatest(F.lit(float(floor)), F.col("rate") - _dot(k, length * r)))
+        now = now.withColumn("rate", moved(float(r @ down) / max(float(down @ down), 1e-300) * r))
         if step % EVERY == EVERY - 1:
             now = scratch.keep(now, f"rates{step}")
+
+    # each domain in its own scale
+    own = 1 / np.maximum(targets, ENOUGH * scale / k)
+    r = _sums(now, k, {"t": F.col("rate")})["t"] - targets
+    for step in range(STEPS):
+        if np.all(np.abs(r) * own <= ENOUGH_EACH):
+            break
+        free = ((F.col("rate") > float(floor)) | (_dot(k, own * own * r) < 0)).cast("double")
+        some = _sums(now, k, {f"{i}": free * F.col(f"p{i}") for i in range(k)})
+        ways = []
+        for m in (np.array([some[f"{i}"] for i in range(k)]), g):
+            c = own * np.linalg.lstsq(own[:, None] * m * own, own * r, rcond=1e-12)[0]
+            ways += [part * c for part in PARTS]
+        found = _sums(now, k, {f"w{i}": moved(c) for i, c in enumerate(ways)})
+        off = [float(np.sum(((found[f"w{i}"] - targets) * own) ** 2)) for i in range(len(ways))]
+        way = int(np.argmin(off))
+        if not off[way] < 0.999 * float(np.sum((r * own) ** 2)):
+            break  # what is left can't be reached
+        now, r = now.withColumn("rate", moved(ways[way])), found[f"w{way}"] - targets
+        if step % EVERY == EVERY - 1:
+            now = scratch.keep(now, f"newton{step}")
     return now
 
 

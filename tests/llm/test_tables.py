@@ -122,6 +122,21 @@ def test_rates_meet_targets(spark):
     assert min(x.rate for x in far) == 0.0
 
 
+@pytest.mark.parametrize("shares, floor", [((0.7, 0.2, 0.09, 0.01), 0.0), ((0.9, 0.09, 0.009, 0.001), 0.0), ((0.7, 0.2, 0.09, 0.01), 1.0)])
+def test_each_small_domain_meets_its_target(spark, shares, floor):
+    from swathframe.llm.common import Scratch
+
+    kind = np.repeat(range(4), np.round(np.array(shares) * 2000).astype(int))
+    p = np.where(np.arange(4) == kind[:, None], 0.97, 0.01)
+    df = spark.createDataFrame([(i, i, 100, *map(float, x)) for i, x in enumerate(p)], "row long, doc_id long, n_tokens long, p0 double, p1 double, p2 double, p3 double")
+    own = 100 * p.sum(0)
+    share = (own / own.sum()) ** 0.7
+    share /= share.sum()
+    targets = share * (own.sum() if floor < 1 else max(own / share))
+    w = np.array([x.rate for x in mixing.rates(df, targets, Scratch(spark, "t"), floor).orderBy("row").collect()])
+    assert w.min() >= floor and (100 * w) @ p == pytest.approx(targets, rel=0.011)
+
+
 def test_posteriors_and_totals(spark):
     rows = [(i, " ".join(f"{'ab'[i % 2]}{(i * 7 + j) % 11}" for j in range(20 + i))) for i in range(60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
