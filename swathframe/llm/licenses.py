@@ -76,8 +76,8 @@ RULES = (
     ("Unlicense", "UnlicenseGrant"),
     ("{kind}", "SpdxTag"),
 )
-#: Every known sentence has one of these.
-ANCHORS = "spdx|gnu|mpl|apache|unlicen|licen[sc]e|licen[sc]ing|permission|redistribution|copyright|\\(c\\)|warrant|liable|public domain|rights reserved|creative commons|cc0|see the gnu|copy of the|hope that"
+#: Every known sentence has one of these; single words, which no line wraps.
+ANCHORS = "spdx|gnu|mpl|apache|unlicen|licen[sc]e|licen[sc]ing|permission|redistribution|copyright|\\(c\\)|warrant|liable|provided|unencumbered|reserved|creative|cc0|\\bcc\\b"
 
 KNOWN = [(name, re.compile(p)) for name, p in SENTENCES]
 PARSED_RULES = [(name, [(x.rstrip("?"), x.endswith("?")) for x in rule.split()]) for name, rule in RULES]

@@ -310,6 +310,27 @@ def test_licences(text, names, rest):
         assert 0 <= s < e <= len(text)
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        "Released under CC BY 4.0.",
+        "This work is available under CC-BY-SA 4.0.",
+        "Distributed under a Creative\nCommons BY 4.0.",
+        "This is free and unencumbered software released into the public\ndomain.",
+        "// This is free and unencumbered software released into the public\n// domain.",
+        "Creative\nCommons Zero.",
+        "All rights\nreserved.",
+        "The software is provided as is and with all faults.",
+    ],
+)
+def test_the_prefilter_changes_no_result(text, monkeypatch):
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1], "text": [text]})
+    got = next(licenses._rows([batch])).to_pylist()
+    monkeypatch.setattr(licenses, "ANCHORS", "")
+    monkeypatch.setattr(licenses, "ANCHOR", re.compile(""))
+    assert got == next(licenses._rows([batch])).to_pylist() and got[0]["n_sentences"] == 1
+
+
 def test_every_sentence_has_an_anchor():
     for name, pattern in licenses.SENTENCES:
         plain = re.sub(r"\(\?:|\(\?P<\w+>|[()?\\]", "", pattern)
