@@ -82,13 +82,15 @@ ANCHORS = "spdx|gnu|mpl|apache|unlicen|licen[sc]e|licen[sc]ing|permission|redist
 KNOWN = [(name, re.compile(p)) for name, p in SENTENCES]
 PARSED_RULES = [(name, [(x.rstrip("?"), x.endswith("?")) for x in rule.split()]) for name, rule in RULES]
 BREAK = re.compile(r"(?:[.!?;:]+(?=[\s\"')\]]|$)|\n\s*\n)")
+#: As BREAK, but not at colons ("SPDX-License-Identifier: MIT").
+END = re.compile(r"(?:[.!?;]+(?=[\s\"')\]]|$)|\n\s*\n)")
 ANCHOR = re.compile(ANCHORS, re.I)
 
 
 def normalised(sentence: str) -> str:
     s = sentence.lower().replace("licence", "license")
     s = re.sub(r"(?m)^\s*(?://+|#+|\*+|;+|--+|/\*+|<!--)\s?", " ", s)
-    s = re.sub(r"[\"'`“”‘’,;:!?*|#&$%]|\*/|-->", " ", s)
+    s = re.sub(r"\*/|-->|[\"'`“”‘’,;:!?*|#&$%]", " ", s)
     return re.sub(r"\s+", " ", s).strip(" .-")
 
 
@@ -100,31 +102,39 @@ def identified(sentence: str) -> tuple[str, dict] | None:
     return None
 
 
-def sentences(text: str, start: int, end: int):
+def sentences(text: str, start: int, end: int, ends: re.Pattern = BREAK):
     """(start, end) of the sentences of text[start:end]."""
     at = start
-    for m in BREAK.finditer(text, start, end):
+    for m in ends.finditer(text, start, end):
         yield at, m.end()
         at = m.end()
     if at < end:
         yield at, end
 
 
+def _known(text: str, start: int, end: int, wrapped: bool):
+    """Known sentences of text[start:end], of wrapped ones only those; where a colon's parts are unknown, the unbroken sentence."""
+    for s, e in sentences(text, start, end, END):
+        none = True
+        for x, y in sentences(text, s, e):
+            if (not wrapped or "\n" in text[x:y].strip()) and (found := identified(text[x:y])):
+                yield x, y, *found
+                none = False
+        if none and ":" in text[s:e] and (not wrapped or "\n" in text[s:e].strip()) and (found := identified(text[s:e])):
+            yield s, e, *found
+
+
 def known_sentences(text: str) -> list[tuple[int, int, str, dict]]:
     """Known sentences in order: those of single lines first, then those that lines wrap."""
     out, at = [], 0
     for line in text.split("\n"):
         if ANCHOR.search(line):
-            for s, e in sentences(text, at, at + len(line)):
-                if found := identified(text[s:e]):
-                    out.append((s, e, *found))
+            out += _known(text, at, at + len(line), False)
         at += len(line) + 1
     taken = [*((s, e) for s, e, _, _ in out), (len(text), len(text))]
     at = 0
     for start, end in taken:  # what lies between sentences found so far
-        for s, e in sentences(text, at, start):
-            if "\n" in text[s:e].strip() and (found := identified(text[s:e])):
-                out.append((s, e, *found))
+        out += _known(text, at, start, True)
         at = end
     return sorted(out, key=lambda x: x[:3])
 

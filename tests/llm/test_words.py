@@ -310,6 +310,22 @@ def test_licences(text, names, rest):
         assert 0 <= s < e <= len(text)
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("SPDX-License-Identifier: MIT", "MIT"),
+        ("// SPDX-License-Identifier: Apache-2.0\nint x;", "APACHE-2.0"),
+        ("/* SPDX-License-Identifier: BSD-3-Clause */", "BSD-3-CLAUSE"),
+        ("Licensed under the Apache License, Version 2.0. You may obtain a copy of the License at: https://example.org/l", "Apache-2.0"),
+        ("License: Released under the MIT License.", "MIT"),
+    ],
+)
+def test_colons_inside_known_sentences(text, want):
+    named, rest = licenses.licences(licenses.known_sentences(text))
+    assert [x for x, _, _ in named] == [want] and rest == []
+    assert not text.endswith("/l") or named[0][2] == len(text)
+
+
 @pytest.mark.parametrize(
     "text",
     [
