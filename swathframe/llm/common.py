@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows and text bytes that one kernel call handles at most (a single longer text is a slice of its own).
 SLICE_ROWS, SLICE_BYTES = 1024, 6 << 20
@@ -25,10 +26,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's spark.checkpoint.dir; a temporary one only where none is set."""
+    """The folder that driver and executors share: the session's spark.checkpoint.dir. A temporary one where none is set, but only if all runs in one process."""
     sc = spark.sparkContext
     have = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not have:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         have = tempfile.mkdtemp(prefix="swathframe-")
         sc.setCheckpointDir(have)
     return have.rstrip("/")
@@ -63,6 +66,32 @@ class Scratch:
             pass
 
 
+def renamed(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """df with its columns named c0, c1, ... by place, and the new name of each old one; toDF(*names) names them back.
+
+    So no column of a caller, whatever its name, meets a name that an operator uses.
+    """
+    names = [f"c{i}" for i in range(len(df.columns))]
+    return df.toDF(*names), dict(zip(df.columns, names))
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, share: int = 1000) -> DataFrame:
+    """left.join(right, key, "left") for a stored left and a right of one row a key, where many rows of left may share a key.
+
+    Keys that hold over 1/share of left's rows, of which there are fewer than `share`, meet their right rows by broadcast; null keys
+    stay where they are; the rest is shuffled by key.
+    """
+    total = left.count()
+    if not total:
+        return left.join(right, key, "left")
+    hot = left.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n_left")).filter(F.col("n_left") * share > total).select(key)
+    few = F.broadcast(right.join(F.broadcast(hot), key, "left_semi"))
+    rest = left.filter(F.col(key).isNotNull()).join(F.broadcast(hot), key, "left_anti").join(right, key, "left")
+    missing = left.filter(F.col(key).isNull()).select("*", *(F.lit(None).cast(f.dataType).alias(f.name) for f in right.schema if f.name != key))
+    most = left.join(F.broadcast(hot), key, "left_semi").join(few, key, "left")
+    return rest.unionByName(most).unionByName(missing)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Consecutive parts of the batches, bounded in rows and text bytes."""
     for b in batches:

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, hash_words, mix, runs, slices, split_words
+from .common import Scratch, hash_words, mix, renamed, runs, slices, split_words, spread_join
 
 #: Keys that one group of the bucket join holds about, and sets in a tile of the second round.
 GROUP_KEYS, TILE = 1 << 20, 1024
@@ -431,13 +431,11 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
         here, there = known.select("node", F.col("known").alias("la")), known.select(F.col("node").alias("pivot"), F.col("known").alias("lb"))
         others = stars.join(here, "node", "left").join(there, "pivot", "left").filter("coalesce(la, node) != coalesce(lb, pivot)").select(F.greatest("node", "pivot").alias("node"), F.least("node", "pivot").alias("pivot"), F.lit(False).alias("more"))
         ordered = tried.select(F.greatest("node", "pivot").alias("node"), F.least("node", "pivot").alias("pivot"))
-        pairs = inside.unionByName(others).groupBy("node", "pivot").agg(F.max("more").alias("more")).join(ordered, ["node", "pivot"], "left_anti")
-        pairs = scratch.keep(pairs, f"pairs{few}")
-        count, more = pairs.agg(F.count("*"), F.coalesce(F.bool_or("more"), F.lit(False))).first()
-        if not count:
-            break
-        pairs = pairs.select("node", "pivot")
-        labels = components(labels.select("node", F.col("label").alias("pivot")).unionByName(verified(pairs, f"others{few}")), scratch, f"all{few}")
+        offered = scratch.keep(inside.unionByName(others).groupBy("node", "pivot").agg(F.max("more").alias("more")), f"offered{few}")
+        more = offered.agg(F.coalesce(F.bool_or("more"), F.lit(False))).first()[0]  # of all pairs, those tried before too
+        pairs = scratch.keep(offered.select("node", "pivot").join(ordered, ["node", "pivot"], "left_anti"), f"pairs{few}")
+        if not pairs.isEmpty():
+            labels = components(labels.select("node", F.col("label").alias("pivot")).unionByName(verified(pairs, f"others{few}")), scratch, f"all{few}")
         if not more:
             break
         tried, few = tried.unionByName(pairs), few * FEW
@@ -445,13 +443,16 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     marked = nodes.join(labels, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
     least = marked.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     of = marked.join(least, "label").select("node", "component_id")
-    return sizes.join(of, "node", "left").select("doc_id", "n_shingles", F.expr("case when doc_id is not null then coalesce(component_id, doc_id) end").alias("component_id"))
+    # equal texts share a node, and texts without words have none
+    return spread_join(sizes.select("doc_id", "n_shingles", "node"), of, "node").select("doc_id", "n_shingles", F.expr("case when doc_id is not null then coalesce(component_id, doc_id) end").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The row of docs with a component's smallest doc_id, all columns; rows without a doc_id stay; of repeated doc_ids one row stays."""
-    found = jaccard_components(docs, width, percent)
-    kept = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.filter("doc_id is not null").join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
+    work, names = renamed(docs)
+    me, text = names["doc_id"], names["text"]
+    found = jaccard_components(work.select(F.col(me).alias("doc_id"), F.col(text).alias("text")), width, percent)
+    kept = found.filter("doc_id = component_id").select(F.col("doc_id").alias("kept")).distinct()
+    named = work.filter(F.col(me).isNotNull()).join(kept, F.col(me) == F.col("kept"), "left_semi")
     # the join leaves equal doc_ids together, so that this needs no further exchange
-    return named.dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null"))
+    return named.dropDuplicates([me]).unionByName(work.filter(F.col(me).isNull())).toDF(*docs.columns)
