@@ -15,7 +15,9 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left
 from functools import lru_cache, partial
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -23,14 +25,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import running, slices, split_words
+from .common import renamed, running, slices, split_words
 from .quality import lbfgs
 
 BASE = ("email", "ip", "card", "phone")
 LABELS = ("outside", *BASE, "secret")
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: Only whole runs of digits can begin or end a part, which makes this linear.
+IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -61,7 +64,7 @@ def fixed_spans(text: str) -> list[tuple[str, int, int]]:
     if not DIGITS.search(text):
         return out
     for m in IP.finditer(text):
-        if all(len(x.lstrip("0")) < 4 and int(x) <= 255 for x in m.group().split(".")):
+        if all(len(x) < 4 and int(x or 0) <= 255 for x in (p.lstrip("0") for p in m.group().split("."))):
             out.append(("ip", *m.span()))
     for m in CARD.finditer(text):
         d = m.group().replace(" ", "").replace("-", "")
@@ -322,12 +325,15 @@ def emissions(words: pa.Array, codes: np.ndarray, owner: np.ndarray, model: dict
     return e
 
 
-EDGE = re.compile(r"^[^0-9A-Za-z+(]+|[^0-9A-Za-z)]+$")
+#: What is not part of a value at its begin, and (backwards) at its end.
+BEFORE, AFTER = re.compile(r"[^0-9A-Za-z+(]*"), re.compile(r"[^0-9A-Za-z)]*")
 
 
 def added_spans(text: str, labels: np.ndarray, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Runs of equally labelled words, without punctuation around them, that touch no base span and hold a digit or @."""
     out, places, i = [], [m.span() for m in WORD.finditer(text)], 0
+    base = sorted((s, e) for _, s, e in base)
+    starts, reach = [s for s, _ in base], list(accumulate((e for _, e in base), max))
     while i < len(labels):
         j = i + 1
         while labels[i] and j < len(labels) and labels[j] == labels[i]:
@@ -335,9 +341,9 @@ def added_spans(text: str, labels: np.ndarray, base: list[tuple[str, int, int]])
         if labels[i]:
             start, end = places[i][0], places[j - 1][1]
             piece = text[start:end]
-            head, tail = EDGE.match(piece), EDGE.search(piece, 1)
-            start, end = start + (head.end() if head else 0), end - (len(piece) - tail.start() if tail and tail.end() == len(piece) else 0)
-            if end > start and re.search("[0-9@]", text[start:end]) and not any(s < end and start < t for _, s, t in base):
+            start, end = start + BEFORE.match(piece).end(), end - min(AFTER.match(piece[::-1]).end(), len(piece) - 1)
+            before = bisect_left(starts, end)  # base spans that begin before this one ends
+            if end > start and re.search("[0-9@]", text[start:end]) and not (before and reach[before - 1] > start):
                 out.append((LABELS[labels[i]], start, end))
         i = j
     return out
@@ -390,20 +396,22 @@ def redact(text: str, spans) -> str:
     return "".join(out) + text[at:]
 
 
-def _redact(batches, model):
-    for b in slices(batches, "text"):
-        texts = b.column("text").to_pylist()
-        for i, (_, spans) in enumerate(find_spans(b.column("text"), model)):
+def _redact(batches, model, text):
+    for b in slices(batches, text):
+        texts = b.column(text).to_pylist()
+        for i, (_, spans) in enumerate(find_spans(b.column(text), model)):
             if spans:
                 texts[i] = redact(texts[i], spans)
-        i = b.schema.get_field_index("text")
-        yield b.set_column(i, "text", pa.array(texts, pa.string()))
+        i = b.schema.get_field_index(text)
+        yield b.set_column(i, text, pa.array(texts, pa.string()))
 
 
 def redacted(docs: DataFrame) -> DataFrame:
     """docs with personal data in `text` replaced; a column n_chars follows the text's new length; all else as it was."""
-    work = docs.select(*(F.col(f"`{c}`").cast("string" if c == "text" else docs.schema[c].dataType).alias(c) for c in docs.columns))
-    out = work.mapInArrow(partial(_redact, model=fitted()), work.schema)
-    if "n_chars" in out.columns:
-        out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text")).cast(docs.schema["n_chars"].dataType))
-    return out
+    work, names = renamed(docs)
+    text, size = names["text"], names.get("n_chars")
+    work = work.withColumn(text, F.col(text).cast("string"))
+    out = work.mapInArrow(partial(_redact, model=fitted(), text=text), work.schema)
+    if size:
+        out = out.withColumn(size, F.when(F.col(text).isNull(), F.col(size)).otherwise(F.char_length(text)).cast(work.schema[size].dataType))
+    return out.toDF(*docs.columns)
