@@ -1,7 +1,7 @@
 r"""Soft-membership mixing: document rates by which a corpus meets target token weights of domains.
 
 A naive Bayes classifier is learned from a labelled table: word counts of at most FIT_ROWS labelled documents, taken in the
-order of a hash of doc_id, over the VOCABULARY most frequent words. It predicts every document's posterior over the domains
+order of a hash of doc_id, over each domain's VOCABULARY most frequent words (vocabulary=None: all of them). It predicts every document's posterior over the domains
 (soft: log odds grow with the root of the number of known words). With tokens t and posteriors p, nonnegative rates w shall give
 expected domain totals sum(w t p_k) = T_k. Projected gradient descent on the squared differences, then where it stalls or a
 domain is off its own target, projected Newton steps, each step over the whole table at once: only sums by domain reach the
@@ -15,10 +15,10 @@ belong to the one domain "unknown"; an empty table gives no rows. Rates are neve
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, renamed
 
 FIT_ROWS, VOCABULARY, SMOOTH = 4000, 2000, 0.1
 #: Steps at most; residuals that are enough, of all domains together and of each to its own target; steps between written tables.
@@ -33,8 +33,8 @@ def _words(docs: DataFrame, *keep: str) -> DataFrame:
     return docs.select(*keep, F.explode_outer(F.split(F.col("text"), SPACE)).alias("word"))
 
 
-def learned(docs: DataFrame, labels: DataFrame, scratch: Scratch, rows: int = FIT_ROWS, size: int = VOCABULARY) -> tuple[list[str], list[float], DataFrame]:
-    """Domains, their log priors, and the table (word, l0, l1, ...) of at most `size` words' log likelihoods."""
+def learned(docs: DataFrame, labels: DataFrame, scratch: Scratch, rows: int = FIT_ROWS, size: int | None = VOCABULARY) -> tuple[list[str], list[float], DataFrame]:
+    """Domains, their log priors, and the table (word, l0, l1, ...) of log likelihoods: of each domain's `size` most frequent words, None: of all words."""
     chosen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("domain").cast("string").alias("domain")).filter("doc_id is not null and domain is not null")
     chosen = chosen.groupBy("doc_id").agg(F.min("domain").alias("domain")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     chosen = scratch.keep(chosen, "chosen")
@@ -44,17 +44,22 @@ def learned(docs: DataFrame, labels: DataFrame, scratch: Scratch, rows: int = FI
     # bounded by `rows` ids: broadcast
     words = _words(docs.join(F.broadcast(chosen), "doc_id"), "domain").filter("word <> ''")
     counts = words.groupBy("word").agg(F.count("*").alias("n"), *(F.count_if(F.col("domain") == d).alias(f"n{k}") for k, d in enumerate(domains)))
-    top = scratch.keep(counts.orderBy(F.desc("n"), "word").limit(size), "vocabulary")
+    if size is not None and share:
+        counts = scratch.keep(counts, "counts")
+        by = counts.select("word", F.posexplode(F.array(*(F.col(f"n{k}") for k in range(len(domains))))).alias("k", "here")).filter("here > 0")
+        by = by.withColumn("place", F.row_number().over(Window.partitionBy("k").orderBy(F.desc("here"), "word")))  # the sample's words: bounded
+        counts = counts.join(by.filter(F.col("place") <= size).select("word").distinct(), "word", "left_semi")
+    top = scratch.keep(counts, "vocabulary")
     total = top.agg(F.count("*").alias("v"), *(F.sum(f"n{k}").alias(f"n{k}") for k in range(len(domains)))).first()
     like = [(F.log(F.col(f"n{k}") + SMOOTH) - float(np.log((total[f"n{k}"] or 0) + SMOOTH * max(total["v"], 1)))).alias(f"l{k}") for k in range(len(domains))]
     return domains, prior, top.select("word", *like)
 
 
-def posteriors(docs: DataFrame, domains: list[str], prior: list[float], words: DataFrame) -> DataFrame:
-    """row, doc_id, n_tokens and p0, p1, ... of every row of docs (row, doc_id, text)."""
+def posteriors(docs: DataFrame, domains: list[str], prior: list[float], words: DataFrame, few: bool = True) -> DataFrame:
+    """row, doc_id, n_tokens and p0, p1, ... of every row of docs (row, doc_id, text). few: whether `words` is bounded."""
     k = range(len(domains))
-    # at most VOCABULARY words: broadcast; a text's words are in one task, so that partial sums leave one row a text
-    known = _words(docs, "row", "doc_id").join(F.broadcast(words), "word", "left")
+    # at most VOCABULARY words a domain: broadcast; a text's words are in one task, so that partial sums leave one row a text
+    known = _words(docs, "row", "doc_id").join(F.broadcast(words) if few else words, "word", "left")
     sums = known.groupBy("row", "doc_id").agg(F.count_if(F.col("word") != '').alias("n_tokens"), F.count("l0").alias("known"), *(F.sum(f"l{i}").alias(f"s{i}") for i in k))
     score = [F.lit(prior[i]) + F.coalesce(F.col(f"s{i}") / F.sqrt(F.col("known")), F.lit(0.0)) if len(domains) > 1 else F.lit(0.0) for i in k]
     sums = sums.withColumn("known", F.greatest("known", F.lit(1))).select("row", "doc_id", "n_tokens", *(x.alias(f"s{i}") for i, x in enumerate(score)))
@@ -123,7 +128,7 @@ def rates(members: DataFrame, targets: np.ndarray, scratch: Scratch, floor: floa
     return now
 
 
-def mixed(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, temper: float = 0.7, budget: float | None = None, floor: float = 0.0) -> tuple[DataFrame, list[str]]:
+def mixed(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, temper: float = 0.7, budget: float | None = None, floor: float = 0.0, vocabulary: int | None = VOCABULARY) -> tuple[DataFrame, list[str]]:
     """(row, doc_id, n_tokens, p0, ..., rate) of every row of docs (row, doc_id, text), and the domains' names.
 
     labels: doc_id, domain. weights: target share of each domain's tokens; none: the domains' own shares to the power
@@ -131,8 +136,8 @@ def mixed(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None =
     domain's target is under floor times its own tokens.
     """
     scratch = Scratch(docs.sparkSession, "mixing")
-    domains, prior, words = learned(docs, labels, scratch)
-    members = scratch.keep(posteriors(docs, domains, prior, words), "members")
+    domains, prior, words = learned(docs, labels, scratch, size=vocabulary)
+    members = scratch.keep(posteriors(docs, domains, prior, words, vocabulary is not None), "members")
     k = range(len(domains))
     own = members.agg(*(F.sum(F.col("n_tokens") * F.col(f"p{i}")).alias(f"t{i}") for i in k)).first()
     own = np.array([own[f"t{i}"] or 0.0 for i in k])
@@ -159,9 +164,11 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
 
 def resampled(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     """Rows of docs, each as often as its rate says: its whole part, and once more by a hash with the rest as probability."""
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())
-    found, _ = mixed(numbered(docs), labels, **how)
+    work, names = renamed(docs)
+    # numbered once and stored: a second evaluation might number otherwise
+    rows = Scratch(docs.sparkSession, "numbered").keep(work.withColumn("row", F.monotonically_increasing_id()), "rows")
+    found, _ = mixed(rows.select("row", F.col(names["doc_id"]).cast("long").alias("doc_id"), F.col(names["text"]).cast("string").alias("text")), labels, **how)
     chance = F.pmod(F.xxhash64("row", "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    copies = found.select(F.col("row").alias("_row"), (F.floor(F.col("rate") + 1e-9) + (chance < F.col("rate") - F.floor(F.col("rate") + 1e-9)).cast("long")).cast("int").alias("_copies"))
-    out = rows.join(copies, "_row").filter("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return out.select(*docs.columns)
+    copies = found.select("row", (F.floor(F.col("rate") + 1e-9) + (chance < F.col("rate") - F.floor(F.col("rate") + 1e-9)).cast("long")).cast("int").alias("copies"))
+    out = rows.join(copies, "row").filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return out.select(*work.columns).toDF(*docs.columns)
