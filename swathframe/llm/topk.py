@@ -1,7 +1,7 @@
 """Exact inner-product search by tiled matrix products.
 
 Components are quantised to floor(scale * x). Queries and candidates are packed into blocks by a hash of their id, as many
-blocks as their counts ask for, so a block's rows are bounded. Every query block meets every shard block: one matrix product
+blocks as their counts ask for, so a block's rows and bytes are bounded. Every query block meets every shard block: one matrix product
 a tile and a partial selection of each query's k best in it. The tiles' lists merge in a tree of bounded fan-in, block by
 block, so neither a query's candidates nor the whole result ever meet in one task.
 
@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of a query block and of a shard block; lists that one merge takes.
-QUERY_ROWS, SHARD_ROWS, FAN_IN = 2048, 16384, 8
+#: Rows of a query block at least and of a shard block; bytes that a query block may have beyond; lists that one merge takes.
+QUERY_ROWS, SHARD_ROWS, QUERY_BYTES, FAN_IN = 2048, 16384, 16 << 20, 8
 
 
 def _matrix(lists: pa.ChunkedArray) -> np.ndarray:
@@ -29,7 +29,7 @@ def _matrix(lists: pa.ChunkedArray) -> np.ndarray:
     lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
     size = np.diff(lists.offsets.to_numpy())
     flat = lists.flatten().to_numpy(zero_copy_only=False)
-    out = np.zeros((len(size), int(size.max(initial=0))), np.int64)
+    out = np.zeros((len(size), int(size.max(initial=0))), flat.dtype)
     if len(size) and (size == out.shape[1]).all():
         return flat.reshape(out.shape)
     out[np.arange(out.shape[1])[None, :] < size[:, None]] = flat
@@ -46,7 +46,7 @@ def product(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     if top < 1 << 53:
         return (q.astype(float) @ c.astype(float).T).astype(np.int64)
     if top < 1 << 62:
-        return q @ c.T
+        return q.astype(np.int64) @ c.astype(np.int64).T
     whole = q.astype(object) @ c.astype(object).T  # LOWEST stays free
     return np.clip(whole, LOWEST + 1, NONE).astype(np.int64)
 
@@ -123,8 +123,13 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64) ->
     usable = "vec_id is not null and v is not null and not exists(v, x -> x is null or isnan(x) or abs(x) = double('infinity'))"
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).filter(usable)
     v = v.select("vec_id", F.expr(f"transform(v, x -> cast(floor({scale} * x) as bigint))").alias("v"))
-    n, nq = v.agg(F.count("*"), F.count_if(F.col("vec_id") % every == 0)).first()
-    shards, blocks = max(1, -(-n // SHARD_ROWS)), max(1, -(-nq // QUERY_ROWS))
+    most = F.max(F.expr("aggregate(v, 0L, (a, x) -> greatest(a, x, -1 - x))"))
+    n, nq, dim, most = v.agg(F.count("*"), F.count_if(F.col("vec_id") % every == 0), F.max(F.size("v")), most).first()
+    # rows travel in the narrowest type, and queries in blocks as large as memory allows: each block reads all candidates
+    width, kind = next((w, t) for w, t, top in ((2, "smallint", 1 << 15), (4, "int", 1 << 31), (8, "bigint", 1 << 64)) if (most or 0) < top)
+    v = v.withColumn("v", F.col("v").cast(f"array<{kind}>"))
+    rows = max(QUERY_ROWS, QUERY_BYTES // (width * max(dim or 1, 1)))
+    shards, blocks = max(1, -(-n // SHARD_ROWS)), max(1, -(-nq // rows))
     mark = F.monotonically_increasing_id()
     c = v.select(F.col("vec_id").alias("id"), "v", mark.alias("row")).select("id", "v", F.pmod(F.xxhash64("id", "row"), F.lit(shards)).alias("sb"))
     q = v.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("id"), "v", mark.alias("row")).withColumn("qb", F.pmod(F.xxhash64("row", "id"), F.lit(blocks)))
