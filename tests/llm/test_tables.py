@@ -1,13 +1,15 @@
 """Operators over odd tables and empty ones; those across rows against brute force."""
 
+import gzip
 import hashlib
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
-from swathframe.llm import licenses, mixing, packing, pii, quality, queries, repetition, tokencount, topk, warc
+from swathframe.llm import licenses, mixing, packing, parity, pii, quality, queries, repetition, tokencount, topk, warc
 
 TOKENIZER, PIECES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
@@ -49,6 +51,54 @@ def test_whole_rows_stay(odd, none, labels):
     assert {r.doc_id for r in out.select("doc_id").collect()} == {r.doc_id for r in odd.select("doc_id").collect()}
 
 
+CLASHES = ["_score", "_kept", "_row", "_copy", "score", "kept", "row", "copies", "copy", "rate", "n_tokens", "p0", "node", "component_id", "word", "mask", "c0", "c1", "a.b", "a`b", "label", "domain", "h"]
+
+
+def test_columns_of_any_name_stay(spark, labels):
+    """Every stage that returns documents keeps other columns, whatever their names, with their values."""
+    texts = [f"The river number {i} runs by the old garden, mail a{i}@b.example." for i in range(8)] + [None]
+    rows = [(*(f"{c}{i}" for c in CLASHES), i, t, len(t or "")) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, [*CLASHES, "doc_id", "text", "n_chars"]).select(*(f"`{c.replace('`', '``')}`" for c in CLASHES[:9]), "doc_id", "text", *(f"`{c.replace('`', '``')}`" for c in CLASHES[9:]), "n_chars")
+    domains = labels.selectExpr("doc_id", "if(quality = 1, 'a', 'b') as domain")
+    stages = [lambda d: quality.keep_good(d, labels, threshold=0.0), lambda d: parity.one_of_each(d), pii.redacted, lambda d: mixing.resampled(d, domains, floor=1.0)]
+    for stage in stages:
+        out = stage(docs)
+        assert out.columns == docs.columns
+        found = [dict(zip(out.columns, r)) for r in out.collect()]
+        assert {r["doc_id"] for r in found} == set(range(9))
+        assert all(r[c] == f"{c}{r['doc_id']}" for r in found for c in CLASHES)
+
+
+def test_null_ids_are_not_held_out(spark, labels):
+    docs = spark.createDataFrame([(None, "a"), (1, "b")], "doc_id long, text string")
+    rows = quality.quality_scores(docs, labels).collect()
+    assert all(isinstance(r.held_out, bool) and r.predicted in (0, 1) for r in rows) and len(rows) == 2
+
+
+def test_shared_folder_is_asked_for(spark, monkeypatch):
+    from swathframe.llm import common
+
+    class Context:
+        master = "spark://host:7077"
+        getConf = staticmethod(lambda: {})
+        getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(ValueError):
+        common.shared_dir(type("S", (), {"sparkContext": Context}))
+
+
+def test_spread_join(spark):
+    """A key of many rows, null keys and unknown keys: as a left join."""
+    left = spark.createDataFrame([(1 if i % 3 else (i if i % 2 else None), i) for i in range(300)], "k long, v int")
+    right = spark.createDataFrame([(k, f"r{k}") for k in range(0, 200)], "k long, name string")
+    from swathframe.llm.common import spread_join
+
+    order = lambda df: sorted((str(r.k), r.v, str(r.name)) for r in df.select("k", "v", "name").collect())
+    for share in (2, 1000):
+        assert order(spread_join(left, right, "k", share)) == order(left.join(right, "k", "left"))
+    assert spread_join(left.limit(0), right, "k").count() == 0
+
+
 def test_quality_without_labels(odd, labels):
     assert {r.score for r in quality.quality_scores(odd, labels.filter("false")).collect()} == {quality.FLAT}
 
@@ -204,7 +254,7 @@ def test_nested_captures_and_payloads(spark, tmp_path):
     pages = spark.createDataFrame([(1, "http://a.example/p", "<p>one</p>" * 20), (2, "http://a.example/q", "<p>one</p>" * 20)], "page_id long, url string, html string")
     warc.write(pages, str(tmp_path / "w"))
     records = warc.read(spark, str(tmp_path / "w"), payload=True)
-    assert sorted(r.record_type for r in records.collect()) == ["metadata", "metadata", "request", "request", "response", "revisit"]
+    assert sorted(r.record_type for r in records.collect() if r.record_type != "warcinfo") == ["metadata", "metadata", "request", "request", "response", "revisit"]
     assert bytes(records.filter("record_type = 'response'").first().payload) == b"<p>one</p>" * 20
     found = {r.metadata.page_id: r for r in warc.captures(records).collect()}
     assert found[1].original is None and found[2].original.page_id == 1
@@ -212,8 +262,46 @@ def test_nested_captures_and_payloads(spark, tmp_path):
 
 
 def test_bad_archive():
-    with pytest.raises(ValueError):
-        list(warc.parsed(b"not an archive"))
+    record = b"WARC/1.1\r\nWARC-Type: resource\r\nContent-Length: 50\r\n\r\nshort"
+    for data in (b"not an archive", record, gzip.compress(record), gzip.compress(b"x" * 9000)[:-12], b"WARC/1.1\r\nno end"):
+        with pytest.raises(ValueError):
+            list(warc.parsed(data))
+
+
+def test_members_and_long_headers():
+    """A gzip member each record, padding between members, one member of all, plain files; a header of 100 KiB before a payload."""
+    head = b"HTTP/1.1 200 OK\r\nX-Long: " + b"y" * 102_400 + b"\r\nContent-Length: 160\r\n\r\n"
+    blocks = [head + b"p" * 160, b"no header", b"", b"\r\n\r\n" + bytes(3_000_000), b"a\r\n\r\nWARC/1.1"]
+    records = [b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <%d>\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (i, len(b), b) for i, b in enumerate(blocks)]
+    whole = b"".join(records)
+    for data in (b"".join(gzip.compress(r) for r in records), b"\0\0".join(gzip.compress(r) for r in records) + b"\0", gzip.compress(whole), whole):
+        assert [b for _, b in warc.parsed(data)] == blocks
+    rows = [warc._row(f, b) for f, b in warc.parsed(whole)]
+    assert (rows[0][6], rows[0][8], rows[0][9]) == (160, 160, hashlib.sha256(b"p" * 160).hexdigest())
+    assert [r[8] for r in rows] == [160, 9, 0, 3_000_000, 8]
+    batches = list(warc._parse(iter([pa.record_batch({"content": [whole]})]), True))
+    assert sum(b.num_rows for b in batches) == 5
+
+
+def test_files_are_bounded_and_records_are_members(spark, tmp_path, monkeypatch):
+    pages = [[f"WARC/1.1\r\nContent-Length: 1000\r\n\r\n{np.random.default_rng(i).bytes(500).hex()}"] * 3 for i in range(40)]
+    monkeypatch.setattr(warc, "FILE_BYTES", 10_000)
+    files = [b.column("value")[0].as_py() for b in warc._files(iter([pa.record_batch({"records": pages})]))]
+    assert len(files) > 5 and all(len(f) < 13_000 for f in files)
+    kinds = [[f.get("warc-type") for f, _ in warc.parsed(data)] for data in files]
+    assert all(k[0] == "warcinfo" and set(k[1:]) == {None} for k in kinds) and sum(len(k) - 1 for k in kinds) == 120
+    d = zlib.decompressobj(31)
+    assert d.decompress(files[0]).startswith(b"WARC/1.1\r\nWARC-Type: warcinfo") and d.unused_data[:2] == b"\x1f\x8b"
+
+
+def test_one_payload_of_many_pages(spark):
+    """Ten thousand equal payloads: one response. No task of the join gets all of them."""
+    same = spark.range(10_000).selectExpr("id as page_id", "concat('http://h.example/', id) as url", "if(id < 9000, repeat('same payload ', 20), concat('page ', id, repeat(' text', 30))) as html")
+    rows = warc.round_trip(same.repartition(8)).collect()
+    assert len(rows) == 10_000
+    revisits = [r for r in rows if r.record_type == "revisit"]
+    assert len(revisits) == 8999 and {r.refers_to for r in revisits} == {0} and {r.payload_bytes for r in revisits} == {260}
+    assert all(r.refers_to is None for r in rows if r.record_type == "response")
 
 
 # ---- queries ----

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -94,9 +95,12 @@ def test_repetition_verdicts():
 # ---- personal data ----
 
 
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+
+
 def spans(text):
     out = [("email", *m.span()) for m in pii.EMAIL.finditer(text)]
-    out += [("ip", *m.span()) for m in pii.IP.finditer(text) if all(int(x) <= 255 for x in m.group().split("."))]
+    out += [("ip", *m.span()) for m in IP.finditer(text) if all(int(x) <= 255 for x in m.group().split("."))]
     for m in pii.CARD.finditer(text):
         d = re.sub("[ -]", "", m.group())
         if 13 <= len(d) <= 19 and pii.luhn(d):
@@ -115,6 +119,67 @@ def test_fixed_spans_cards():
     assert pii.fixed_spans(text) == spans(text) and [s[0] for s in pii.fixed_spans(text)] == ["ip", "card", "card", "phone"]
 
 
+@pytest.mark.parametrize("text", ["7" * 1_000_000, "1.2." * 250_000, "0" * 999_990 + ".0.0.0", "a@" * 400_000, "4 " * 60_000, "+1" * 400_000, "x1" + "!" * 800_000 + "2", "9" * 300_000 + "." * 300_000])
+def test_long_runs_are_linear(text):
+    began = time.time()
+    pii.find_spans(pa.array([text]), pii.fitted())
+    assert time.time() - began < 8  # quadratic patterns take many minutes
+
+
+def test_spans_that_touch_base_spans():
+    """The quick test of touching spans against all pairs."""
+    r = np.random.default_rng(6)
+    for _ in range(200):
+        words = ["".join(r.choice(list("a1!("), int(r.integers(1, 6)))) for _ in range(12)]
+        text, labels = " ".join(words), r.integers(0, 3, 12)
+        cut = sorted(r.choice(len(text), 6, replace=False).tolist())
+        base = [("ip", cut[0], cut[1]), ("card", cut[1], cut[4]), ("phone", cut[2], cut[3])]
+        every = pii.added_spans(text, labels, [])
+        assert pii.added_spans(text, labels, base) == [x for x in every if not any(s < x[2] and x[1] < t for _, s, t in base)]
+        for kind, s, e in every:
+            assert text[s] in "a1(" and text[e - 1] in "a1"
+
+
+#: Written by hand, in shapes of their own: values between {kind: and }.
+BY_HAND = """
+Please reach Maria at {email:maria.lopez@uni-bonn.example.de} before Friday.
+Our office moved; ring {phone:(415) 555-2671} for directions.
+ssh to {ip:192.168.17.4} and restart the daemon
+{email:sales+eu@shop.example.org} handles all European orders
+The invoice was paid with card {card:4539578763621486} on Monday.
+export API_KEY={secret:9f86d081884c7d659a2feaa0c55ad015}
+My mobile: {phone:+44 (207) 946-0123}, evenings only.
+Server {ip:10.20.30.40} answered in 35 ms, the other one never did.
+password = {secret:c3fcd3d76192e4007dfb496cca67e13b}
+Visa {card:4916338506082832} was declined twice.
+The meeting is at 10:30 in room 204 of building 7.
+In 1998 the town had 45210 inhabitants and 3 schools.
+Version 2.4.1 fixes 17 bugs that users reported since March.
+He scored 31 points in 42 minutes, a record for the 2019 season.
+Chapter 12 covers pages 310 to 355 of the second edition.
+The token ring network was retired long ago.
+You will need a password for this page, ask the host.
+She said the secret of good bread is time.
+Write down the address and call a taxi.
+Temperatures fell from 21.5 to 9.8 degrees overnight.
+"""
+
+
+def test_rows_written_by_hand():
+    """Every value is found whole, and the rest of these lines is left alone."""
+    for line in BY_HAND.strip().split("\n"):
+        text, want, at = "", [], 0
+        for m in re.finditer(r"\{(\w+):([^}]*)\}", line):
+            text += line[at : m.start()]
+            want.append((m[1], len(text), len(text) + len(m[2])))
+            text, at = text + m[2], m.end()
+        text += line[at:]
+        found = pii.find_spans(pa.array([text]), pii.fitted())[0][1]
+        covered = lambda s, e: any(x <= s and e <= y for _, x, y in found)
+        assert all(covered(s, e) for _, s, e in want), (text, found)
+        assert all(any(s < y and x < e for _, s, e in want) for _, x, y in found), (text, found)
+
+
 def test_viterbi_is_exact():
     """Pruned decoding gives the best path's score on random fields."""
     r = np.random.default_rng(2)
@@ -180,6 +245,95 @@ def test_lbfgs():
     assert x == pytest.approx(np.full(3, 3.0), abs=1e-4)
 
 
+def plain_features(lines):
+    """Own features of a text's lines, word by word and character by character."""
+    out, seen = [], set()
+    for line in lines:
+        words = WORD.findall(line)
+        count = lambda chars: sum(c in chars for c in line)
+        upper, lower = sum("A" <= c <= "Z" for c in line), sum("a" <= c <= "z" for c in line)
+        symbol, shout, n, w, letters = count("#*$%&|<>"), count("!?"), max(len(line), 1), max(len(words), 1), max(upper + lower, 1)
+        again = float(bool(words) and line in seen)
+        seen.add(line)
+        out.append([
+            (symbol / n) ** 0.5, symbol / n, (upper / letters) ** 0.5, upper / letters, (shout / n) ** 0.5, count("0123456789") / n, count(",.;:") / w, 1 - len(set(words)) / w, again,
+            np.log1p(len(words)) / 4, len(line) / w / 10, float(line[-1:] in (".", "!", "?") and line != ""), float(not words), float(symbol / w > 0.2), float(shout / w > 0.2), float(upper / letters > 0.6),
+        ])
+    return np.array(out)
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(alphabet="aB1#!. \né", max_size=40)), min_size=1, max_size=5))
+def test_line_features(texts):
+    x, doc, weight = quality.line_features(pa.array(texts, pa.string()))
+    at = 0
+    for d, t in enumerate(texts):
+        lines = (t or "").split("\n")
+        own, n = plain_features(lines), len(lines)
+        got = x[at : at + n]
+        none = np.zeros((1, quality.OWN))
+        assert (doc[at : at + n] == d).all() and weight[at : at + n].tolist() == [len(y) + 1 for y in lines]
+        assert got[:, : quality.OWN] == pytest.approx(own)
+        assert got[:, quality.OWN : 2 * quality.OWN] == pytest.approx(np.concatenate([none, own[:-1]]))
+        assert got[:, 2 * quality.OWN : 3 * quality.OWN] == pytest.approx(np.concatenate([own[1:], none]))
+        assert got[:, -3:].tolist() == [[float(i == 0), float(i == n - 1), 1.0] for i in range(n)]
+        at += n
+    assert at == len(x)
+
+
+def planted(r, docs=300):
+    """Documents of plain and of junk lines, their labels, and which lines are plain. Bad ones have a plain beginning or end."""
+    words = ["river", "garden", "the", "of", "stone", "walks", "under", "light", "and", "Morning"]
+    plain = lambda: " ".join(r.choice(words) for _ in range(r.integers(4, 14))).capitalize() + "."
+    junk = lambda: " ".join(r.choice(words).upper() + r.choice(["!!", "###", " |", "$$$"]) for _ in range(r.integers(4, 14)))
+    texts, labels, lines = [], [], []
+    for i in range(docs):
+        good = [True] * int(r.integers(2, 7))
+        if i % 3 == 0:
+            bad = [False] * int(r.integers(7, 14))
+            good = good[:3] + bad if i % 2 else bad + good[:3]
+        texts.append("\n".join(plain() if g else junk() for g in good))
+        labels.append(int(all(good)))
+        lines.append(good)
+    return texts, np.array(labels), lines
+
+
+def test_lines_of_one_document_differ():
+    """Only documents are labelled, yet plain lines of bad documents are told from their junk."""
+    r = np.random.default_rng(8)
+    texts, labels, _ = planted(r)
+    x, doc, weight = quality.line_features(pa.array(texts))
+    model = quality.fit(x, doc, labels, weight)
+    texts, labels, lines = planted(r)
+    x, doc, weight = quality.line_features(pa.array(texts))
+    p, moves, _ = quality.marginals(x @ model["w"], model["a"], quality.Chains(doc, len(texts)))
+    assert ((p > 0.5) == np.concatenate(lines)).mean() > 0.95
+    mixed = np.array([np.ptp(p[doc == d]) > 0.5 for d in range(len(texts))])
+    assert mixed[labels == 0].mean() > 0.9 and mixed[labels == 1].mean() < 0.05
+    assert moves[0, 1] + moves[1, 0] > 0.02 * moves.sum()
+    score = quality.score_texts(pa.array(texts), model)
+    assert ((score >= 0.3) == (labels == 1)).mean() > 0.98
+    want = [float(np.average(p[doc == d], weights=weight[doc == d]) ** model["power"]) for d in range(len(texts))]
+    assert score == pytest.approx(want)
+
+
+def test_shift_keeps_the_bounds():
+    r = np.random.default_rng(9)
+    doc, labels = np.sort(np.concatenate([np.arange(20), r.integers(0, 20, 100)])), np.arange(20) % 2
+    e, a, weight = r.normal(0, 2, 120), r.normal(0, 1, (2, 2)), r.integers(1, 50, 120).astype(float)
+    shift = quality.bounded_shift(e, a, doc, weight, labels)
+    share = quality.shares(quality.marginals(e + shift[doc], a, quality.Chains(doc, 20))[0], doc, weight, 20)
+    assert (share[labels == 1] >= quality.GOOD_LEAST - 1e-9).all() and (share[labels == 0] <= quality.BAD_MOST + 1e-9).all()
+    assert (shift[labels == 1] >= 0).all() and (shift[labels == 0] <= 0).all() and (shift == 0).any()
+
+
+def test_lines_of_the_fit_are_bounded():
+    long = "\n".join(f"line {i}" for i in range(5000))
+    rows = next(quality._lines(iter([pa.record_batch({"label": pa.array([1, 0], pa.int32()), "text": [long, "a\nb"]})]))).to_pylist()
+    size = 4 * (len(quality.line_features(pa.array(["a"]))[0][0]) + 1)
+    assert [len(x["lines"]) // size for x in rows] == [quality.FIT_LINES, 2]
+
+
 def test_quality_scores_odd_texts():
     good = ["The house stands by the river.\nIt has a garden, and trees."] * 20
     bad = ["###&&& %%% ***\n$$$ ### |||", "BUY!! NOW!! FREE!!\nCLICK!! HERE!!"] * 10
