@@ -14,8 +14,10 @@ belong to the one domain "unknown"; an empty table gives no rows. Rates are neve
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, renamed
@@ -46,9 +48,8 @@ def learned(docs: DataFrame, labels: DataFrame, scratch: Scratch, rows: int = FI
     counts = words.groupBy("word").agg(F.count("*").alias("n"), *(F.count_if(F.col("domain") == d).alias(f"n{k}") for k, d in enumerate(domains)))
     if size is not None and share:
         counts = scratch.keep(counts, "counts")
-        by = counts.select("word", F.posexplode(F.array(*(F.col(f"n{k}") for k in range(len(domains))))).alias("k", "here")).filter("here > 0")
-        by = by.withColumn("place", F.row_number().over(Window.partitionBy("k").orderBy(F.desc("here"), "word")))  # the sample's words: bounded
-        counts = counts.join(by.filter(F.col("place") <= size).select("word").distinct(), "word", "left_semi")
+        first = [counts.filter(f"n{k} > 0").orderBy(F.desc(f"n{k}"), "word").limit(size).select("word") for k in range(len(domains))]
+        counts = counts.join(F.broadcast(reduce(DataFrame.unionByName, first).distinct()), "word", "left_semi")
     top = scratch.keep(counts, "vocabulary")
     total = top.agg(F.count("*").alias("v"), *(F.sum(f"n{k}").alias(f"n{k}") for k in range(len(domains)))).first()
     like = [(F.log(F.col(f"n{k}") + SMOOTH) - float(np.log((total[f"n{k}"] or 0) + SMOOTH * max(total["v"], 1)))).alias(f"l{k}") for k in range(len(domains))]
