@@ -12,8 +12,8 @@ no join; a set with more empty cells is dealt out again under other seeds, and u
 One-bit cells (a bit sketch of two to four bits a shingle, which folds to its half) give the same bound and reject most
 of what the join brings before exact verification.
 
-A key that very many sets share (a passage, a group of near copies) meets in no single task: a task that sees it often deals
-its sets out to salted groups and tells the key's own group by a mark; all of them then name the bucket after the key, so
+A key that very many sets share (a passage, a group of near copies) meets in no single task: a task that sees it often, in a
+slice of texts or in all that it reads, deals its sets out to salted groups and tells the key's own group by a mark; all of them then name the bucket after the key, so
 that its members are one bucket again, as rows.
 
 Equal sets are one node from the start. A group of near copies costs links to pivots, not all pairs: a bucket's pivot is
@@ -47,8 +47,9 @@ FEW = 8
 #: Bits of the filter that is broadcast (2 MB at most).
 BITMAP = 1 << 24
 SEEDS = 4
-#: Sets of a slice that make a key hot, parts that a hot key's sets are dealt out to, and the node that marks such a key.
-HOT, SALTS, MARK = 64, 32, np.iinfo(np.int64).min
+#: Sets of a slice, and of a task, that make a key hot; keys that a task counts at most (that changes cost, not results);
+#: parts that a hot key's sets are dealt out to, and the node that marks such a key.
+HOT, HOT_TASK, TALLY, SALTS, MARK = 64, 256, 1 << 17, 32, np.iinfo(np.int64).min
 U = np.uint64
 
 
@@ -180,9 +181,30 @@ def _unpacked(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(keys), np.concatenate(nodes)
 
 
-def _blobs(batches, width, percent, groups):
+class Tally:
+    """Which keys a task has met often: counts of those that several sets of a slice have, the rarest dropped when they get many."""
+
+    def __init__(self, often: int = HOT_TASK):
+        self.count: dict[int, int] = {}
+        self.often, self.hot = often, np.zeros(0, U)
+
+    def met(self, keys: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """Whether each of a slice's distinct keys is hot by now."""
+        several, new = count > 1, []
+        for k, n in zip(keys[several].tolist(), count[several].tolist()):
+            total = self.count[k] = self.count.get(k, 0) + n
+            if total >= self.often:
+                new.append(k)
+        self.hot = np.union1d(self.hot, np.array(new, U))
+        least = 2
+        while len(self.count) > TALLY:
+            self.count, least = {k: n for k, n in self.count.items() if n > least}, 2 * least
+        return (count >= HOT) | np.isin(keys, self.hot)
+
+
+def _blobs(batches, width, percent, groups, often):
     """The keys of the task's distinct sets, by the group that a key goes to; sets of a key that is hot here, by salted groups."""
-    bands, seen = Bands(percent), set()
+    bands, seen, tally = Bands(percent), set(), Tally(often)
     for b in slices(batches, "text"):
         h, o, size = shingle_sets(b.column("text"), width)
         ids = set_ids(h, o, b.num_rows)
@@ -197,9 +219,9 @@ def _blobs(batches, width, percent, groups):
         order = np.argsort(keys)
         start = runs(keys[order])
         count = np.diff(np.append(start, len(keys)))
-        hot = np.zeros(len(keys), bool)
-        hot[order] = np.repeat(count >= HOT, count)
-        mark = order[start[count >= HOT]]  # one entry of each hot key
+        often, hot = tally.met(keys[order[start]], count), np.zeros(len(keys), bool)
+        hot[order] = np.repeat(often, count)
+        mark = order[start[often]]  # one entry of each hot key
         told = gid[mark]
         gid[hot] += groups * (1 + (node[hot].view(U) % U(SALTS)).astype(np.int64))
         yield _packed(np.concatenate([gid, told]), np.concatenate([node, np.full(len(mark), MARK)]), np.concatenate([keys, keys[mark]]))
@@ -383,7 +405,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     groups = max(GROUPS, round(0.6 * total / GROUP_KEYS))
 
     nodes = scratch.keep(sizes.filter("doc_id is not null and node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n")), "nodes")
-    blobs = docs.filter("doc_id is not null").mapInArrow(partial(_blobs, width=width, percent=percent, groups=groups), "gid long, blob binary")
+    blobs = docs.filter("doc_id is not null").mapInArrow(partial(_blobs, width=width, percent=percent, groups=groups, often=HOT_TASK), "gid long, blob binary")
     found = blobs.groupBy("gid").applyInArrow(lambda group: _buckets(group, groups), "bucket long, node long")
     buckets = scratch.keep(found.distinct(), "buckets")
 
