@@ -118,3 +118,30 @@ def test_one_of_each(spark, odd, odd_rows):
     want = {i for i, (_, c) in brute([(r[0], r[1]) for r in odd_rows if r[0] is not None]).items() if i == c}
     ids = [r.doc_id for r in kept.collect()]
     assert sorted(i for i in ids if i is not None) == sorted(want) and ids.count(None) == 2
+
+
+def test_tally():
+    """Keys that come often in a slice or in all slices are hot from then on, and the table of counts stays bounded."""
+    tally, one = parity.Tally(), lambda *k: np.array(k, np.uint64)
+    assert tally.met(one(1, 2, 3), np.array([parity.HOT, 10, 1])).tolist() == [True, False, False]
+    rounds = [tally.met(one(2, 3), np.array([10, 1])).tolist() for _ in range(parity.HOT_TASK // 10 + 1)]
+    assert rounds[0] == [False, False] and rounds[-1] == [True, False]
+    assert tally.met(one(2), np.array([1])).tolist() == [True]
+    tally.met(np.arange(10, 10 + 2 * parity.TALLY, dtype=np.uint64), np.full(2 * parity.TALLY, 2))
+    assert len(tally.count) <= parity.TALLY
+
+
+def test_keys_hot_in_a_task(spark, monkeypatch):
+    """A key that no slice has often, but a task has, loses no link."""
+    monkeypatch.setattr(parity, "HOT_TASK", 6)
+    monkeypatch.setattr(parity, "GROUPS", 3)
+    r = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(80)]
+    rows = []
+    for i in range(60):
+        words = list(base) if i % 2 else [f"v{i}_{k}" for k in range(80)]
+        words[int(r.integers(80))] = f"x{i}"
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in parity.jaccard_components(docs).collect()}
+    assert got == brute(rows)
