@@ -123,6 +123,54 @@ def distorted(c: Column, x: Column, y: Column) -> tuple[Column, Column]:
     return c["fx"] * dx + c["cx"], c["fy"] * dy + c["cy"]
 
 
+def undistorted(c: Column, u: Column, v: Column, rounds: int = 20) -> Column:
+    """Struct x, y of a pixel's normalised image coordinates: the inverse of distorted(), by fixed-point steps."""
+    x0, y0 = (u - c["cx"]) / c["fx"], (v - c["cy"]) / c["fy"]
+
+    def step(p, _):
+        x, y = p["x"], p["y"]
+        q = x * x + y * y
+        radial = 1.0 + q * (c["k1"] + q * (c["k2"] + q * c["k3"]))
+        dx, dy = 2.0 * c["p1"] * x * y + c["p2"] * (q + 2.0 * x * x), c["p1"] * (q + 2.0 * y * y) + 2.0 * c["p2"] * x * y
+        return F.struct(((x0 - dx) / radial).alias("x"), ((y0 - dy) / radial).alias("y"))
+
+    plain = (c["k1"] == 0) & (c["k2"] == 0) & (c["k3"] == 0) & (c["p1"] == 0) & (c["p2"] == 0)
+    return F.aggregate(F.when(plain, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(1), F.lit(rounds))), F.struct(x0.alias("x"), y0.alias("y")), step)
+
+
+def centre(r: Column, t: Column) -> list[Column]:
+    """Where the camera stands."""
+    return [-(r[i] * t[0] + r[3 + i] * t[1] + r[6 + i] * t[2]) for i in range(3)]
+
+
+def once(value: Column, f) -> Column:
+    """f of a value that is made once, however often f names it (through an array of one)."""
+    return F.transform(F.array(value), f)[0]
+
+
+def pixel(c: Column, r: Column, t: Column, x: Column, y: Column, z: Column) -> Column:
+    """Struct u, v of project()."""
+    p = to_camera(r, t, x, y, z)
+    return once(
+        F.struct(*(a.alias(n) for a, n in zip(p, ("x", "y", "z")))),
+        lambda p: once(
+            F.struct(F.when(p["z"] > 0, F.try_divide(p["x"], p["z"])).alias("x"), F.when(p["z"] > 0, F.try_divide(p["y"], p["z"])).alias("y")),
+            lambda q: F.struct(*(a.alias(n) for a, n in zip(distorted(c, q["x"], q["y"]), ("u", "v")))),
+        ),
+    )
+
+
+def ray(c: Column, r: Column, u: Column, v: Column) -> Column:
+    """Unit direction in the world (array of three) of a pixel's ray."""
+    sized = once(undistorted(c, u, v), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"), F.sqrt(p["x"] * p["x"] + p["y"] * p["y"] + 1.0).alias("size")))
+    return once(sized, lambda p: F.array(*((r[i] * p["x"] + r[3 + i] * p["y"] + r[6 + i]) / p["size"] for i in range(3))))
+
+
+def on_plane(c: list[Column], d: Column, z: Column) -> list[Column]:
+    """Where a ray from c meets the level z; null if it does not point down."""
+    return [F.when(d[2] < -1e-9, c[i] + (z - c[2]) / d[2] * d[i]) for i in range(2)] + [F.when(d[2] < -1e-9, z)]
+
+
 def project(c: Column, r: Column, t: Column, x: Column, y: Column, z: Column) -> tuple[Column, Column]:
     """Pixel of a world point; null behind the camera."""
     p = to_camera(r, t, x, y, z)

@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 from ..errors import InputError, ProjectError
 from ..functions import geodesy, indices
 from ..functions.scalars import version_parts
-from ..operators import coverage, mosaic, observations, scan, sfm, surface
+from ..operators import coverage, mosaic, observations, rays, scan, sfm, surface
 from ..streaming.events import Reporter
-from .options import MosaicOptions, PreviewOptions
+from .options import GridOptions, PreviewOptions, gridded, refuse
 
 EDITS_VERSION, REPORT_VERSION = 1, 1
 EDITS = {"version": EDITS_VERSION, "deleted_points": [], "max_reproj_error_px": None, "tiepoints": [], "gcps": []}
@@ -175,6 +175,51 @@ class Project:
         rows = rows.withColumns({"u": u, "v": v}).filter(in_image(F.col("u"), F.col("v"), F.col("width"), F.col("height")))
         return rows.select("image_id", "name", "u", "v", F.hypot(F.col("u") - F.col("width") / 2, F.col("v") - F.col("height") / 2).alias("from_centre")).orderBy("from_centre", "image_id")
 
+    def camera(self, image: str) -> DataFrame:
+        """The posed image of a name with its lens and size, one row; KeyError where there is none."""
+        r = self.reconstruction()
+        found = r["images"].filter(F.col("has_pose") & (F.col("name") == image)).join(r["cameras"], "camera_id").limit(1)
+        if found.isEmpty():
+            raise KeyError(image)
+        return found
+
+    def ground_to_image(self, image: str, points: DataFrame) -> DataFrame:
+        """points (x, y, z) with their pixel u, v in an image; null behind the camera, outside of the frame as it falls."""
+        from ..functions.camera import project
+
+        one = self.camera(image).select("lens", "r", "t")
+        u, v = project(F.col("lens"), F.col("r"), F.col("t"), F.col("x"), F.col("y"), F.col("z"))
+        return points.crossJoin(F.broadcast(one)).select(*points.columns, u.alias("u"), v.alias("v"))  # one row beside each point
+
+    def image_rays(self, image: str, pixels: DataFrame) -> DataFrame:
+        """pixels (u, v) with the camera's centre ox, oy, oz and the unit direction dx, dy, dz of their rays."""
+        from ..functions.camera import centre, ray
+
+        one = self.camera(image).select("lens", F.array(*centre(F.col("r"), F.col("t"))).alias("o"), "r")
+        both = pixels.crossJoin(F.broadcast(one)).withColumn("d", ray(F.col("lens"), F.col("r"), F.col("u"), F.col("v")))  # one row beside each pixel
+        return both.select(*pixels.columns, *(F.col(k)[i].alias(f"{k}{c}") for k in "od" for i, c in enumerate("xyz")))
+
+    def image_to_ground(self, image: str, pixels: DataFrame, z: float | None = None) -> DataFrame:
+        """pixels (pixel_id, u, v) with x, y, z: where their rays meet the level z, or without one the workspace's surface."""
+        from ..functions.camera import on_plane
+
+        found = self.image_rays(image, pixels)
+        if z is not None:
+            x, y, level = on_plane([F.col("ox"), F.col("oy"), F.col("oz")], F.array("dx", "dy", "dz"), F.lit(float(z)))
+            return found.select("pixel_id", x.alias("x"), y.alias("y"), level.alias("z"))
+        if not self.store.exists("tables/surface"):
+            raise ProjectError("the workspace has no surface", "not_rendered")
+        cells, grid = self.store.table("surface"), self.store.get("surface")
+        grids = self.spark.createDataFrame([("", *(grid[c] for c in ("x0", "y0", "res", "rows", "cols")))], "survey string, x0 double, y0 double, res double, rows int, cols int")
+        met = rays.on_surface(found.withColumn("survey", F.lit("")).withColumnRenamed("pixel_id", "ray_id"), cells.withColumn("survey", F.lit("")), grids)
+        return met.select(F.col("ray_id").alias("pixel_id"), "x", "y", "z")
+
+    def set_surface(self, cells: DataFrame, x0: float, y0: float, res: float, rows: int, cols: int) -> None:
+        """Keeps a surface (row, col, z; x0, y0 at the first cell's centre, rows downward) for rays and rendering."""
+        refuse(not res > 0 or rows < 1 or cols < 1, "a surface has cells")
+        self.store.write("surface", cells.select("row", "col", "z"))
+        self.store.put("surface", {"x0": float(x0), "y0": float(y0), "res": float(res), "rows": int(rows), "cols": int(cols)})
+
     # ---- edits ----
 
     def edits(self) -> dict:
@@ -234,12 +279,33 @@ class Project:
 
     # ---- products ----
 
-    def render(self, samples: DataFrame, channels: list[str], temperature: float, options: MosaicOptions | None = None, report: Reporter | None = None) -> DataFrame:
-        """Mosaic of samples (survey, row, col, view, r, channels) under seam weights; options are remembered."""
-        options = (options or MosaicOptions()).checked()
+    def look(self, tile: float = 64.0) -> DataFrame:
+        """(row, col, view, u, v, r, x, y) of every cell of the surface in every photo that shows it: what a mosaic is sampled by."""
+        r, grid = self.reconstruction(), self.store.get("surface")
+        if grid is None:
+            raise ProjectError("the workspace has no surface", "not_rendered")
+        cells = self.store.table("surface").select(F.lit("").alias("survey"), "row", "col", (F.lit(grid["x0"]) + F.col("col") * grid["res"]).alias("x"), (F.lit(grid["y0"]) - F.col("row") * grid["res"]).alias("y"), "z")
+        level = F.lit(cells.agg(F.median("z")).first()[0])
+        images = r["images"].filter("has_pose").join(r["cameras"], "camera_id").select(F.lit("").alias("survey"), "image_id", "width", "height", "lens", "r", "t")
+        return rays.looks(cells, rays.views(images, level), tile)
+
+    def render_photos(self, photos: DataFrame, channels: list[str], temperature: float, tile: float = 64.0, report: Reporter | None = None) -> DataFrame:
+        """Mosaic of the surface's cells from photos (view: the image_id, prow, pcol and channels)."""
+        seen = rays.sampled(self.look(tile), photos.withColumn("survey", F.lit("")), channels)
+        return self.render(seen, channels, temperature, report=report)
+
+    def render(self, samples: DataFrame, channels: list[str], temperature: float, options: GridOptions | None = None, native_gsd: float = 1.0, report: Reporter | None = None) -> DataFrame:
+        """Mosaic of samples (survey, view, r, channels) under seam weights. Samples have row and col, or x and y that the options' grid
+        takes; options and grid are remembered."""
+        document = (options or GridOptions()).stored()
+        if "row" in samples.columns:
+            refuse(options is not None, "samples with rows and columns have their grid already")
+        else:
+            document["grid"] = (options or GridOptions()).georeference(samples, native_gsd)
+            samples = gridded(samples, document["grid"])
         (report or Reporter()).stage("mosaic", "seams")
         out = self.store.write("mosaic", mosaic.blend(mosaic.with_seam_weights(samples, F.lit(float(temperature))), channels))
-        self.store.put("render", options.stored())
+        self.store.put("render", document)
         return out
 
     def mosaic(self) -> DataFrame:
