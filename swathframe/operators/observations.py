@@ -8,8 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.camera import distorted, to_camera
+from ..functions.camera import once, pixel
 from ..functions.scalars import rms
+from .quantiles import quantile
 
 #: Error of a point that can't be projected.
 LOST = 1e6
@@ -23,13 +24,8 @@ def observation_errors(observations: DataFrame, points: DataFrame, images: DataF
     points: point_id, x, y, z. images: image_id, camera_id, r (nine), t (three). cameras: camera_id, lens (intrinsics).
     """
     rows = observations.join(images, "image_id").join(cameras, "camera_id").join(points, "point_id")
-    # in steps, each of columns, so that no expression holds another's text many times
-    p = to_camera(F.col("r"), F.col("t"), F.col("x"), F.col("y"), F.col("z"))
-    rows = rows.select("point_id", "image_id", "p2d_idx", "u", "v", "lens", *(c.alias(f"p{i}") for i, c in enumerate(p)))
-    rows = rows.withColumns({"nx": F.try_divide("p0", "p2"), "ny": F.try_divide("p1", "p2")})
-    pu, pv = distorted(F.col("lens"), F.col("nx"), F.col("ny"))
-    rows = rows.withColumn("err", F.when(F.col("p2") > 0, F.hypot(pu - F.col("u"), pv - F.col("v"))))
-    return rows.select("point_id", "image_id", "p2d_idx", F.when(F.col("err") < float("inf"), F.nanvl("err", F.lit(LOST))).otherwise(LOST).alias("err"))
+    err = once(pixel(F.col("lens"), F.col("r"), F.col("t"), F.col("x"), F.col("y"), F.col("z")), lambda p: F.hypot(p["u"] - F.col("u"), p["v"] - F.col("v")))
+    return rows.select("point_id", "image_id", "p2d_idx", once(err, lambda e: F.when(e < float("inf"), F.nanvl(e, F.lit(LOST))).otherwise(LOST)).alias("err"))
 
 
 def reproj_stats(obs: DataFrame, exclude: DataFrame | None = None, by: list[str] | None = None) -> DataFrame:
@@ -38,7 +34,14 @@ def reproj_stats(obs: DataFrame, exclude: DataFrame | None = None, by: list[str]
         obs = obs.join(exclude.select("point_id").distinct(), "point_id", "left_anti")
     e = F.col("err")
     zero = lambda c, n: F.coalesce(c, F.lit(0.0)).alias(n)
-    return obs.groupBy(*(by or [])).agg(F.count_distinct("point_id").alias("num_points"), F.count("*").alias("num_observations"), zero(F.avg(e), "mean_px"), zero(F.sqrt(F.avg(e * e)), "rmse_px"), zero(F.percentile(e, F.lit(0.95)), "p95_px"), zero(F.max(e), "max_px"))
+    sums = [F.count("*").alias("num_observations"), zero(F.avg(e), "mean_px"), zero(F.sqrt(F.avg(e * e)), "rmse_px")]
+    if by:
+        return obs.groupBy(*by).agg(F.count_distinct("point_id").alias("num_points"), *sums, zero(F.percentile(e, F.lit(0.95)), "p95_px"), zero(F.max(e), "max_px"))
+    # of all rows: three results of one row each, none of which gathers the errors in a task
+    points = obs.select("point_id").distinct().agg(F.count("point_id").alias("num_points"))
+    high = quantile(obs, "err", 0.95, "p").select(zero(F.col("p"), "p95_px"))
+    whole = points.crossJoin(F.broadcast(obs.agg(*sums, zero(F.max(e), "max_px")))).crossJoin(F.broadcast(high))
+    return whole.select("num_points", "num_observations", "mean_px", "rmse_px", "p95_px", "max_px")
 
 
 def filter_large_errors(obs: DataFrame, most: float, protect: DataFrame | None = None) -> DataFrame:
@@ -64,8 +67,8 @@ def point_errors(obs: DataFrame) -> DataFrame:
 
 
 def worst_points(obs: DataFrame, top: int = 300) -> DataFrame:
-    """The points of largest error, ties by id: a bounded report."""
-    return point_errors(obs).orderBy(F.desc("error_px"), "point_id").limit(top)
+    """The points of largest error (to nine digits, since sums differ beyond with the order of rows), ties by id: a bounded report."""
+    return point_errors(obs).orderBy(F.desc(F.round("error_px", 9)), "point_id").limit(top)
 
 
 def per_image(obs: DataFrame, images: DataFrame | None = None) -> DataFrame:
@@ -101,7 +104,7 @@ def error_histogram(obs: DataFrame) -> DataFrame:
 
 def hashed_sample(rows: DataFrame, key: str, most: int, by: str | None = None, seed: int = 0) -> DataFrame:
     """At most `most` rows (of each group `by`) in the order of a hash of their key: the same on every run and partitioning."""
-    order = [F.xxhash64(F.col(key), F.lit(seed)), F.col(key)]
+    order = [F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), F.col(key)]
     if by is None:
         return rows.orderBy(*order).limit(most)
     return rows.withColumn("_rn", F.row_number().over(Window.partitionBy(by).orderBy(*order))).filter(F.col("_rn") <= most).drop("_rn")
@@ -110,7 +113,7 @@ def hashed_sample(rows: DataFrame, key: str, most: int, by: str | None = None, s
 def map_points(obs: DataFrame, top: int = 300, most: int = 15000) -> DataFrame:
     """All of the worst points and a hashed sample of the others."""
     points = point_errors(obs)
-    worst = points.orderBy(F.desc("error_px"), "point_id").limit(top)
+    worst = points.orderBy(F.desc(F.round("error_px", 9)), "point_id").limit(top)
     rest = points.join(worst.select("point_id"), "point_id", "left_anti")
     return worst.unionByName(hashed_sample(rest, "point_id", most - top))
 

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import quantile
+
 #: Share of the full scale from which a pixel counts as saturated.
 SATURATED = 0.98
 MODES = ("auto", "dls", "dls+panel", "panel", "radiance")
@@ -48,15 +50,15 @@ def reflectance_factors(flight: DataFrame, panels: DataFrame, modes: DataFrame)
     return rows.select("survey", "capture", "band", factor.alias("factor"))
 
 
-def gain_round(rows: DataFrame, prior: float) -> DataFrame:
+def gain_round(rows: DataFrame, prior: float, keep) -> DataFrame:
     """One round of the gain solver on (point, capture, v, g, w): new g (centred) and w."""
     p = Window.partitionBy("point")
     m = rows.withColumn("m", F.sum(F.col("w") * (F.col("v") + F.col("g"))).over(p) / F.sum("w").over(p))
     gains = m.groupBy("capture").agg((F.sum(F.col("w") * (F.col("m") - F.col("v"))) / (F.sum("w") + prior)).alias("g"))
     mean = gains.agg(F.avg("g").alias("mean"))
     gains = gains.crossJoin(F.broadcast(mean)).select("capture", (F.col("g") - F.col("mean")).alias("g"))  # one row beside each gain
-    d = m.drop("g").join(gains, "capture").withColumn("d", F.col("v") + F.col("g") - F.col("m"))
-    scale = d.agg(F.greatest(F.lit(0.02), 1.4826 * F.median(F.abs("d"))).alias("s"))
+    d = keep(m.drop("g").join(gains, "capture").select("point", "capture", "v", "g", (F.col("v") + F.col("g") - F.col("m")).alias("d"), F.abs(F.col("v") + F.col("g") - F.col("m")).alias("off")))
+    scale = quantile(d, "off", 0.5, "m").select(F.greatest(F.lit(0.02), 1.4826 * F.col("m")).alias("s"))
     z = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("d") / (4.685 * F.col("s"))))
     return d.crossJoin(F.broadcast(scale)).select("point", "capture", "v", "g", F.pow(1 - z * z, 2).alias("w"))
 
@@ -68,7 +70,7 @@ def solve_capture_gains(values: DataFrame, keep, prior: float = 2.0, rounds: int
     """
     rows = values.withColumn("k", F.count("*").over(Window.partitionBy("point"))).filter("k >= 2").select("point", "capture", "v", F.lit(0.0).alias("g"), F.lit(1.0).alias("w"))
     for _ in range(rounds):
-        rows = keep(gain_round(rows, prior))
+        rows = keep(gain_round(rows, prior, keep))
     return rows.groupBy("capture").agg(F.first("g").alias("gain"))
 
 
