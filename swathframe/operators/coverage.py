@@ -1,13 +1,11 @@
 """Poses, footprints and coverage of surveys.
 
 Poses follow the order of shots in a survey; footprints are ground polygons of the frame's border; coverage counts footprints
-in square cells. Counting joins nothing: a footprint emits the cells of its own box and keeps those whose centre it holds.
+in square cells. Counting joins nothing: a footprint emits the ends of the spans of cells whose centre it holds.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,12 +40,13 @@ def build_poses(shots: DataFrame) -> DataFrame:
     whole = Window.partitionBy("survey")
     rel = F.min(F.when(F.col("rel_alt").isNull(), 0).otherwise(1)).over(whole) == 1
     alt = F.coalesce("abs_alt", F.lit(0.0))
-    height = F.greatest(F.lit(LEAST_HEIGHT), F.when(rel, F.col("rel_alt")).otherwise(alt - F.min(alt).over(whole) + ASSUMED_HEIGHT))
-    rows = track_yaw(shots).withColumn("h", height).join(gimbal_offset(shots), "survey", "left")
+    height = F.when(rel, F.col("rel_alt")).otherwise(alt - F.min(alt).over(whole) + ASSUMED_HEIGHT)
+    rows = track_yaw(shots).withColumn("over", height).withColumns({"h": F.greatest(F.lit(LEAST_HEIGHT), F.col("over")), "rel": rel}).join(gimbal_offset(shots), "survey", "left")
     yaw = F.col("gimbal_yaw") - F.coalesce("yaw_offset", F.lit(0.0))
     return rows.select(
         "survey", "file", "datetime", "e", "n", "h", F.coalesce(yaw, F.col("track")).alias("yaw"), F.coalesce("gimbal_pitch", F.lit(-90.0)).alias("pitch"), "width", "height",
         focal_px(F.col("focal_35mm"), F.col("width"), F.col("height")).alias("focal"), F.col("gimbal_yaw").isNull().alias("yaw_assumed"), F.coalesce(F.col("focal_35mm") <= 0, F.lit(True)).alias("focal_assumed"),
+        (~F.col("rel")).alias("height_assumed"), (F.col("over") < LEAST_HEIGHT).alias("low"), "yaw_offset",
     )
 
 
@@ -96,25 +95,31 @@ def span(first: Column, last: Column) -> Column:
     return F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
 
 
-def coverage_grid(prints: DataFrame, bounds: DataFrame, exact: bool = True) -> DataFrame:
+def coverage_grid(prints: DataFrame, bounds: DataFrame, exact: bool = True, few: bool = False) -> DataFrame:
     """(survey, row, col, n): footprints that hold each cell's centre; rows count down from ymax. exact=False counts boxes.
 
-    A survey's bounds are one row. A footprint emits, for each row of its box, the cells between the row's crossings with it; cells are
-    counted where their footprint is before the exchange.
+    A survey's bounds are one row (few: known to be so few surveys that they fit a broadcast). A footprint emits, for each row of its
+    box, the two ends of each span between the row's crossings with it, so that work grows with outlines and not with areas; running
+    sums along a row turn ends into counts.
     """
-    f = prints.join(bounds, "survey")
+    f = prints.join(F.broadcast(bounds) if few else bounds, "survey")
     lo = lambda edge: F.greatest(F.lit(0), F.ceil(edge / F.col("cell") - 0.5).cast("int"))
     hi = lambda edge: F.floor(edge / F.col("cell") - 0.5).cast("int")
     rows = f.withColumn("row", F.explode(span(lo(F.col("ymax") - F.col("y1")), hi(F.col("ymax") - F.col("y0")))))
+    ends = lambda a, b: F.struct(a.alias("first"), (b + 1).alias("after"))
     if exact:
-        at = rows.withColumn("xs", crossings(F.col("polygon"), F.col("ymax") - (F.col("row") + 0.5) * F.col("cell")))
-        first = lambda k: lo(F.col("xs")[2 * k] - F.col("xmin"))
-        last = lambda k: F.ceil((F.col("xs")[2 * k + 1] - F.col("xmin")) / F.col("cell") - 0.5).cast("int") - 1
-        pairs = F.transform(F.sequence(F.lit(0), (F.size("xs") / 2).cast("int") - 1), lambda k: span(first(k), last(k)))
-        cells = at.filter(F.size("xs") >= 2).withColumn("col", F.explode(F.flatten(pairs)))
+        at = rows.withColumn("xs", crossings(F.col("polygon"), F.col("ymax") - (F.col("row") + 0.5) * F.col("cell"))).filter(F.size("xs") >= 2)
+        side = lambda i: F.ceil((F.col("xs")[i] - F.col("xmin")) / F.col("cell") - 0.5).cast("int")
+        spans = F.transform(F.sequence(F.lit(0), (F.size("xs") / 2).cast("int") - 1), lambda k: ends(F.greatest(F.lit(0), side(2 * k)), side(2 * k + 1) - 1))
+        spans = at.select("survey", "row", F.inline(spans))
     else:
-        cells = rows.withColumn("col", F.explode(span(lo(F.col("x0") - F.col("xmin")), hi(F.col("x1") - F.col("xmin")))))
-    return cells.groupBy("survey", "row", "col").agg(F.count("*").alias("n"))
+        spans = rows.select("survey", "row", F.inline(F.array(ends(lo(F.col("x0") - F.col("xmin")), hi(F.col("x1") - F.col("xmin"))))))
+    # each end of a span changes the count; rows are dealt out once, for the sums at a place and for the running sums
+    change = lambda c, d: F.struct(F.col(c).alias("col"), F.lit(d).alias("d"))
+    changes = spans.filter("after > first").select("survey", "row", F.inline(F.array(change("first", 1), change("after", -1)))).repartition("survey", "row")
+    line = Window.partitionBy("survey", "row").orderBy("col")
+    runs = changes.groupBy("survey", "row", "col").agg(F.sum("d").alias("d")).select("survey", "row", F.col("col").alias("first"), F.sum("d").over(line).alias("n"), F.lead("col").over(line).alias("after"))
+    return runs.filter("n > 0").select("survey", "row", F.explode(F.sequence(F.col("first"), F.col("after") - 1)).alias("col"), "n")
 
 
 def coverage_stats(area: DataFrame, least: int = LOW_OVERLAP) -> DataFrame:
@@ -178,8 +183,19 @@ def forward_overlap(prints: DataFrame) -> DataFrame:
     return rows.mapInArrow(shares, f"survey {kind}, file string, overlap double").filter("overlap is not null")
 
 
-def warnings(poses: DataFrame) -> DataFrame:
-    """(survey, warnings): what was assumed, each text once and in order."""
-    texts = [(F.count_if("yaw_assumed"), "yaw from the track"), (F.count_if("focal_assumed"), "focal length assumed"), (F.count_if(F.col("h") <= LEAST_HEIGHT), "height under the least")]
-    parts = reduce(lambda a, b: [*a, b], (F.when(n > 0, F.concat(n.cast("string"), F.lit(f": {t}"))) for n, t in texts), [])
-    return poses.groupBy("survey").agg(F.array_distinct(F.array_compact(F.array(*parts))).alias("warnings"))
+def warnings(poses: DataFrame, gaps: DataFrame | None = None) -> DataFrame:
+    """(survey, warnings): what was assumed or corrected, and gaps (survey, n, area_m2) if given, each text once and in order."""
+    said = poses.groupBy("survey").agg(
+        F.bool_or("height_assumed").alias("assumed"), F.bool_or("low").alias("low"), F.max("yaw_offset").alias("offset"), F.count_if("yaw_assumed").alias("yaws"), F.count_if("focal_assumed").alias("focals")
+    )
+    said = said.join(gaps.select("survey", F.col("n").alias("gaps"), "area_m2"), "survey", "left") if gaps is not None else said.withColumns({"gaps": F.lit(0), "area_m2": F.lit(0.0)})
+    text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+    parts = [
+        F.when(F.col("assumed"), F.lit("no relative heights: flying height assumed, footprints may be off in size")),
+        F.when(F.col("low"), F.lit("heights under 5 m: footprints may be off")),
+        F.when(F.col("offset").isNotNull(), text("gimbal yaw corrected by ", F.round("offset").cast("int"), " degrees")),
+        F.when(F.col("yaws") > 0, text("yaw from the track: ", F.col("yaws"))),
+        F.when(F.col("focals") > 0, text("focal length assumed: ", F.col("focals"))),
+        F.when(F.col("gaps") > 0, text("gaps: ", F.col("gaps"), " of ", F.round("area_m2").cast("long"), " square metres")),
+    ]
+    return said.select("survey", F.array_distinct(F.array_compact(F.array(*parts))).alias("warnings"))

@@ -91,7 +91,9 @@ def adjust_points(observations: DataFrame, points: DataFrame) -> DataFrame:
     sums = o.groupBy("point_id").agg(F.count("*").alias("k"), *(F.sum(ju[i] * ju[j] + jv[i] * jv[j]).alias(f"a{i}{j}") for i in range(3) for j in range(i, 3)), *(F.sum(ju[i] * eu + jv[i] * ev).alias(f"b{i}") for i in range(3)))
     a = [[F.col(f"a{min(i, j)}{max(i, j)}") for j in range(3)] for i in range(3)]
     det = lambda m: m[0][0] * (m[1][1] * m[2][2] - m[1][2] * m[2][1]) - m[0][1] * (m[1][0] * m[2][2] - m[1][2] * m[2][0]) + m[0][2] * (m[1][0] * m[2][1] - m[1][1] * m[2][0])
-    step = [F.try_divide(det([[F.col(f"b{i}") if j == k else a[i][j] for j in range(3)] for i in range(3)]), det(a)) for k in range(3)]
+    # a system of rays that nearly coincide moves nothing
+    sure = F.abs(det(a)) > 1e-9 * a[0][0] * a[1][1] * a[2][2]
+    step = [F.when(sure, F.try_divide(det([[F.col(f"b{i}") if j == k else a[i][j] for j in range(3)] for i in range(3)]), det(a))) for k in range(3)]
     moved = sums.filter("k >= 2").select("point_id", *(s.alias(f"d{c}") for c, s in zip("xyz", step)))
     return points.join(moved, "point_id", "left").select("point_id", *((F.col(c) + F.coalesce(f"d{c}", F.lit(0.0))).alias(c) for c in "xyz"))
 
