@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import camera, geodesy, indices, scalars
-from ..operators import coverage, grids, mosaic, observations, radiometry, scan, sfm, surface, water
+from ..operators import coverage, grids, mosaic, observations, radiometry, rays, scan, sfm, surface, water
 from ..sources import exports
 from .scratch import Rounds
 from .views import view, with_views
@@ -28,12 +28,26 @@ def query(sql: str | None = None, views: tuple[str, ...] = (), name: str | None
         QUERIES[key] = f
         if sql:
             text = sql.strip()
-            SQL[key] = (with_views(*views) + (",\n" + text[4:].lstrip() if text.startswith("WITH") else "\n" + text)) if views else text
+            head, rest = with_views(*views) if views else "", text
+            if views and text.startswith("WITH RECURSIVE"):
+                head, rest = head.replace("WITH", "WITH RECURSIVE", 1) + ",\n", text[14:].lstrip()
+            elif views:
+                head, rest = (head + ",\n", text[4:].lstrip()) if text.startswith("WITH") else (head + "\n", text)
+            SQL[key] = head + rest
         return f
 
     return add
 
 
+def _nadir_r() -> Column:
+    """Rotation of a camera that looks straight down, its upper edge to the north."""
+    return F.array(*(F.lit(v) for v in (1.0, 0.0, 0.0, 0.0, -1.0, 0.0, 0.0, 0.0, -1.0)))
+
+
+def _lens() -> Column:
+    return camera.intrinsics(F.lit("PINHOLE"), F.array(F.lit(3000.0), F.lit(3000.0), F.lit(2000.0), F.lit(1500.0)))
+
+
 def rounded(df: DataFrame, digits: int = 6, *names: str) -> DataFrame:
     """Doubles (or the named columns) rounded, without negative zeros."""
     return df.select(*((F.round(c, digits) + F.lit(0.0)).alias(c) if (c in names if names else t == "double") else F.col(c) for c, t in df.dtypes))
@@ -230,7 +244,29 @@ def coverage_count(spark, sf_dir):
     return _grid(spark, sf_dir)
 
 
-@query()
+_BORDER = ", ".join(f"{{'i': {i}, 'p': {p}e0, 'q': {q}e0}}" for i, (p, q) in enumerate([*((k / 4, 0) for k in range(5)), *((1, k / 4) for k in range(5)), *((1 - k / 4, 1) for k in range(5)), *((0, 1 - k / 4) for k in range(5))]))
+_POSES = f"""{_TRACK}, {_OFFSET},
+h AS (SELECT *, min(CASE WHEN rel_alt IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY survey) AS every, min(coalesce(abs_alt, 0)) OVER (PARTITION BY survey) AS lowest FROM k),
+p AS (SELECT survey, file, datetime, e, n, CASE WHEN every = 1 THEN rel_alt ELSE coalesce(abs_alt, 0) - lowest + 50 END AS over, coalesce(gimbal_yaw - coalesce(yaw_offset, 0), CASE WHEN de = 0 AND dn = 0 THEN 0 ELSE degrees(atan2(de, dn)) END) AS yaw,
+  coalesce(gimbal_pitch, -90) AS pitch, coalesce(focal_35mm, 24) / 43.27 * sqrt(width * width + height * height) AS focal, width, height, every, yaw_offset, gimbal_yaw, focal_35mm FROM h LEFT JOIN o USING (survey))"""
+
+
+@query(
+    f"""WITH {_POSES},
+ang AS (SELECT survey, file, e, n, greatest(5, over) AS h, width, height, focal, cos(radians(pitch + 90)) AS ct, sin(radians(pitch + 90)) AS st, cos(radians(yaw)) AS cy, sin(radians(yaw)) AS sy, unnest([{_BORDER}]) AS b FROM p),
+f AS (SELECT *, b.i AS i, (width * b.p - width / 2e0) / focal AS fx, (height * b.q - height / 2e0) / focal AS fy FROM ang),
+dirs AS (SELECT *, fx * cy - fy * sy * ct + sy * st AS d0, -fx * sy - fy * cy * ct + cy * st AS d1, least(-fy * st - ct, -1e-3) AS d2 FROM f),
+g AS (SELECT *, h / -d2 * d0 AS gx, h / -d2 * d1 AS gy FROM dirs),
+v AS (SELECT survey, file, i, e + gx * least(1, 4 * h / greatest(sqrt(gx * gx + gy * gy), 1e-12)) AS x, n + gy * least(1, 4 * h / greatest(sqrt(gx * gx + gy * gy), 1e-12)) AS y FROM g),
+s AS (SELECT survey, min(x) AS xmin, max(y) AS ymax, greatest(max(x) - min(x), max(y) - min(y)) / 64 AS cell FROM v GROUP BY survey),
+t AS (SELECT v.survey, v.file, v.x AS ax, v.y AS ay, w.x AS bx, w.y AS ey, xmin, ymax, cell FROM v JOIN v w ON w.survey = v.survey AND w.file = v.file AND w.i = (v.i + 1) % 20 JOIN s ON s.survey = v.survey),
+c AS (SELECT *, unnest(range(greatest(0, CAST(floor((ymax - greatest(ay, ey)) / cell) AS BIGINT) - 1), CAST(ceil((ymax - least(ay, ey)) / cell) AS BIGINT) + 1)) AS row FROM t),
+x AS (SELECT survey, file, row, xmin, cell, (bx - ax) * (ymax - (row + 0.5) * cell - ay) / (ey - ay) + ax AS x FROM c WHERE (ay > ymax - (row + 0.5) * cell) <> (ey > ymax - (row + 0.5) * cell)),
+o2 AS (SELECT *, row_number() OVER (PARTITION BY survey, file, row ORDER BY x) AS k, lead(x) OVER (PARTITION BY survey, file, row ORDER BY x) AS x2 FROM x),
+z AS (SELECT survey, row, unnest(range(greatest(0, CAST(ceil((x - xmin) / cell - 0.5) AS BIGINT)), CAST(ceil((x2 - xmin) / cell - 0.5) AS BIGINT))) AS col FROM o2 WHERE k % 2 = 1)
+SELECT survey, row::INTEGER AS row, col::INTEGER AS col, count(*) AS n FROM z GROUP BY ALL""",
+    ("shots",),
+)
 def coverage_polygons(spark, sf_dir):
     prints = coverage.footprints(coverage.build_poses(view(spark, sf_dir, "shots")))
     return coverage.coverage_grid(prints, coverage.survey_bounds(prints, 64), True)
@@ -259,9 +295,27 @@ def forward_overlap(spark, sf_dir):
     return coverage.forward_overlap(coverage.footprints(coverage.build_poses(view(spark, sf_dir, "shots"))))
 
 
-@query()
+@query(
+    f"""WITH {_BOXES}, q AS (SELECT b.*, coalesce(datetime, '') AS d FROM b JOIN shots USING (survey, file)),
+l AS (SELECT survey, file, rx, ry, lead(e) OVER w IS NOT NULL AS more, least(e + rx, lead(e + rx) OVER w) - greatest(e - rx, lead(e - rx) OVER w) AS dx, least(n + ry, lead(n + ry) OVER w) - greatest(n - ry, lead(n - ry) OVER w) AS dy FROM q WINDOW w AS (PARTITION BY survey ORDER BY d, file))
+SELECT survey, file, round(greatest(0, dx) * greatest(0, dy) / (4 * rx * ry), 7) AS overlap FROM l WHERE more""",
+    ("shots",),
+)
+def forward_overlap_boxes(spark, sf_dir):
+    return rounded(coverage.forward_overlap(coverage.footprints(_nadir(spark, sf_dir))), 7)
+
+
+@query(
+    f"""WITH {_POSES}, g AS (SELECT survey, min(every) AS every, bool_or(over < 5) AS low, max(yaw_offset) AS off, count(*) FILTER (gimbal_yaw IS NULL) AS yaws, count(*) FILTER (focal_35mm IS NULL) AS focals FROM p GROUP BY survey)
+SELECT survey, concat_ws('; ', CASE WHEN every = 0 THEN 'no relative heights: flying height assumed, footprints may be off in size' END, CASE WHEN low THEN 'heights under 5 m: footprints may be off' END,
+  CASE WHEN off IS NOT NULL THEN 'gimbal yaw corrected by ' || CAST(round(off) AS INTEGER) || ' degrees' END, CASE WHEN yaws > 0 THEN 'yaw from the track: ' || yaws END, CASE WHEN focals > 0 THEN 'focal length assumed: ' || focals END,
+  CASE WHEN survey % 2 = 1 THEN 'gaps: ' || survey || ' of ' || survey * 12 || ' square metres' END) AS warnings FROM g""",
+    ("shots",),
+)
 def pose_warnings(spark, sf_dir):
-    return coverage.warnings(coverage.build_poses(view(spark, sf_dir, "shots")))
+    poses = coverage.build_poses(view(spark, sf_dir, "shots"))
+    gaps = poses.select("survey").distinct().filter("survey % 2 = 1").select("survey", F.col("survey").alias("n"), (F.col("survey") * 12.0 + 0.25).alias("area_m2"))
+    return coverage.warnings(poses, gaps).select("survey", F.concat_ws("; ", "warnings").alias("warnings"))
 
 
 # ---- observations ----
@@ -337,9 +391,14 @@ def err_histogram(spark, sf_dir):
     return observations.error_histogram(view(spark, sf_dir, "errors"))
 
 
-@query()
+@query(
+    """WITH p AS (SELECT point_id, sqrt(avg(err * err)) AS error_px, max(err) AS max_px, count(*) AS track FROM errors GROUP BY point_id),
+w AS (SELECT * FROM p ORDER BY round(error_px, 9) DESC, point_id LIMIT 50), r AS (SELECT * FROM p ANTI JOIN w USING (point_id) ORDER BY md5('0:' || point_id), point_id LIMIT 450)
+SELECT point_id, round(error_px, 6) AS error_px, round(max_px, 6) AS max_px, track FROM (SELECT * FROM w UNION ALL SELECT * FROM r)""",
+    ("errors",),
+)
 def map_points(spark, sf_dir):
-    return observations.map_points(view(spark, sf_dir, "errors"), top=50, most=500)
+    return rounded(observations.map_points(view(spark, sf_dir, "errors"), top=50, most=500))
 
 
 @query(
@@ -370,15 +429,22 @@ def gcp_summary(spark, sf_dir):
     return rounded(observations.gcp_summary(_residual_table(spark, sf_dir)))
 
 
-@query("SELECT point_id AS gcp, count(*) AS rays, round(any_value(x), 4) AS x, round(any_value(y), 4) AS y, round(any_value(z), 4) AS z FROM measured JOIN cloud USING (point_id) WHERE point_id % 20 = 0 GROUP BY point_id HAVING count(DISTINCT image_id) >= 3", ("measured", "cloud"))
+@query(
+    """WITH d AS (SELECT point_id AS gcp, image_id, cx, cy, cz, (u - 2e3) / 3e3 AS a, (15e2 - v) / 3e3 AS b FROM measured JOIN posed USING (image_id)),
+e AS (SELECT *, a / sqrt(a * a + b * b + 1) AS dx, b / sqrt(a * a + b * b + 1) AS dy, -1 / sqrt(a * a + b * b + 1) AS dz FROM d),
+s AS (SELECT gcp, count(*) AS rays, sum(1 - dx * dx) AS axx, sum(-dx * dy) AS axy, sum(-dx * dz) AS axz, sum(1 - dy * dy) AS ayy, sum(-dy * dz) AS ayz, sum(1 - dz * dz) AS azz, sum(cx - dx * (dx * cx + dy * cy + dz * cz)) AS bx, sum(cy - dy * (dx * cx + dy * cy + dz * cz)) AS by_, sum(cz - dz * (dx * cx + dy * cy + dz * cz)) AS bz FROM e GROUP BY gcp HAVING count(DISTINCT image_id) >= 3),
+t AS (SELECT *, axx * (ayy * azz - ayz * ayz) - axy * (axy * azz - ayz * axz) + axz * (axy * ayz - ayy * axz) AS det FROM s)
+SELECT gcp, rays, round((bx * (ayy * azz - ayz * ayz) - axy * (by_ * azz - ayz * bz) + axz * (by_ * ayz - ayy * bz)) / det, 3) + 0.0 AS x, round((axx * (by_ * azz - ayz * bz) - bx * (axy * azz - ayz * axz) + axz * (axy * bz - by_ * axz)) / det, 3) + 0.0 AS y,
+  round((axx * (ayy * bz - by_ * ayz) - axy * (axy * bz - by_ * axz) + bx * (axy * ayz - ayy * axz)) / det, 3) + 0.0 AS z FROM t""",
+    ("measured", "posed"),
+)
 def triangulate(spark, sf_dir):
-    """Rays from the images to a point meet in it."""
-    o = view(spark, sf_dir, "measured").filter("point_id % 20 = 0").join(view(spark, sf_dir, "cloud").select("point_id", "x", "y", "z"), "point_id").join(view(spark, sf_dir, "posed").select("image_id", "cx", "cy", "cz"), "image_id")
-    d = [F.col(a) - F.col(b) for a, b in (("x", "cx"), ("y", "cy"), ("z", "cz"))]
-    size = F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2])
-    rays = o.select(F.col("point_id").alias("gcp"), "image_id", *((a / size).alias(n) for a, n in zip(d, ("dx", "dy", "dz"))), F.col("cx").alias("ox"), F.col("cy").alias("oy"), F.col("cz").alias("oz"))
+    """The points nearest to the rays of the measured pixels."""
+    o = view(spark, sf_dir, "measured").join(view(spark, sf_dir, "posed").select("image_id", "cx", "cy", "cz"), "image_id")
+    o = o.withColumn("d", camera.ray(_lens(), _nadir_r(), F.col("u"), F.col("v")))
+    rays = o.select(F.col("point_id").alias("gcp"), "image_id", *(F.col("d")[i].alias(n) for i, n in enumerate(("dx", "dy", "dz"))), F.col("cx").alias("ox"), F.col("cy").alias("oy"), F.col("cz").alias("oz"))
     enough = rays.groupBy("gcp").agg(F.count_distinct("image_id").alias("k")).filter("k >= 3").select("gcp")
-    return rounded(observations.triangulate(rays).join(enough, "gcp", "left_semi"), 4)
+    return rounded(observations.triangulate(rays).join(enough, "gcp", "left_semi"), 3)
 
 
 @query("SELECT count(*) AS n, round(sqrt(avg(pow(x - round(x), 2) + pow(y - round(y), 2))), 6) AS rms_m FROM cloud WHERE point_id % 3 <> 0", ("cloud",))
@@ -412,11 +478,19 @@ def largest_reconstruction(spark, sf_dir):
     return sfm.largest(view(spark, sf_dir, "shots").select("survey", F.col("model").alias("reconstruction")))
 
 
-@query()
+@query(
+    """WITH o AS (SELECT point_id, x - cx AS p0, cy - y AS p1, cz - z AS p2, u, v FROM measured JOIN posed USING (image_id) JOIN (SELECT point_id, x, y, z FROM cloud) USING (point_id) WHERE cz - z > 0),
+j AS (SELECT point_id, 3e3 / p2 AS f, p0 / p2 AS a, p1 / p2 AS b, u - (3e3 * p0 / p2 + 2e3) AS eu, v - (3e3 * p1 / p2 + 15e2) AS ev FROM o),
+s AS (SELECT point_id, count(*) AS k, sum(f * f) AS xx, sum(f * f * a) AS xz, sum(f * f) AS yy, sum(-f * f * b) AS yz, sum(f * f * (a * a + b * b)) AS zz, sum(f * eu) AS bx, sum(-f * ev) AS by_, sum(f * (a * eu + b * ev)) AS bz FROM j GROUP BY point_id HAVING count(*) >= 2),
+d AS (SELECT *, xx * (yy * zz - yz * yz) - xz * xz * yy AS det FROM s),
+m AS (SELECT point_id, (bx * (yy * zz - yz * yz) + xz * (by_ * yz - yy * bz)) / det AS dx, (xx * (by_ * zz - yz * bz) + bx * yz * xz - xz * xz * by_) / det AS dy, (xx * (yy * bz - by_ * yz) - bx * yy * xz) / det AS dz FROM d WHERE abs(det) > 1e-9 * xx * yy * zz)
+SELECT point_id, round(x + coalesce(dx, 0), 3) + 0.0 AS x, round(y + coalesce(dy, 0), 3) + 0.0 AS y, round(z + coalesce(dz, 0), 3) + 0.0 AS z FROM cloud LEFT JOIN m USING (point_id)""",
+    ("measured", "posed", "cloud"),
+)
 def adjust_points(spark, sf_dir):
-    nadir = F.array(*(F.lit(v) for v in (1.0, 0.0, 0.0, 0.0, -1.0, 0.0, 0.0, 0.0, -1.0)))
+    nadir = _nadir_r()
     o = view(spark, sf_dir, "measured").join(view(spark, sf_dir, "posed"), "image_id").select("point_id", "u", "v", *(F.lit(v).alias(k) for k, v in (("fx", 3000.0), ("fy", 3000.0), ("cx", 2000.0), ("cy", 1500.0))), nadir.alias("r"), F.array(-F.col("cx"), F.col("cy"), F.col("cz")).alias("t"))
-    return sfm.adjust_points(o, view(spark, sf_dir, "cloud").select("point_id", "x", "y", "z"))
+    return rounded(sfm.adjust_points(o, view(spark, sf_dir, "cloud").select("point_id", "x", "y", "z")), 3)
 
 
 # ---- radiometry and indices ----
@@ -530,14 +604,16 @@ def knn_pairs(spark, sf_dir):
 
 
 @query(
-    """WITH d AS (SELECT a.survey, a.point_id, b.z, row_number() OVER (PARTITION BY a.survey, a.point_id ORDER BY sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)), b.point_id) AS rn FROM cloud a JOIN cloud b ON a.survey = b.survey AND a.point_id <> b.point_id WHERE sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) <= 60),
-m AS (SELECT survey, point_id, median(z) AS m FROM d WHERE rn <= 15 GROUP BY ALL), q AS (SELECT d.survey, d.point_id, any_value(m) AS m, median(abs(z - m)) AS q FROM d JOIN m USING (survey, point_id) WHERE rn <= 15 GROUP BY ALL),
-n AS (SELECT survey, count(*) AS n FROM cloud GROUP BY survey)
-SELECT cloud.point_id FROM cloud JOIN n USING (survey) LEFT JOIN q USING (survey, point_id) WHERE n <= 16 OR m IS NULL OR abs(z - m) <= 1.2 * (1.4826 * q + 0.05)""",
+    """WITH c AS (SELECT point_id, survey, x, y, CASE WHEN point_id % 31 = 0 THEN z + 60 ELSE z END AS z FROM cloud),
+d AS (SELECT a.survey, a.point_id, b.z, row_number() OVER (PARTITION BY a.survey, a.point_id ORDER BY sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)), b.point_id) AS rn FROM c a JOIN c b ON a.survey = b.survey AND a.point_id <> b.point_id),
+m AS (SELECT survey, point_id, median(z) AS m FROM d WHERE rn <= 16 GROUP BY ALL), q AS (SELECT d.survey, d.point_id, any_value(m) AS m, median(abs(z - m)) AS q FROM d JOIN m USING (survey, point_id) WHERE rn <= 16 GROUP BY ALL),
+n AS (SELECT survey, count(*) AS n FROM c GROUP BY survey)
+SELECT c.point_id FROM c JOIN n USING (survey) LEFT JOIN q USING (survey, point_id) WHERE n <= 16 OR abs(z - m) <= 3 * (1.4826 * q + 0.05)""",
     ("cloud",),
 )
 def remove_z_outliers(spark, sf_dir):
-    return surface.remove_z_outliers(view(spark, sf_dir, "cloud"), 60.0, mads=1.2).select("point_id")
+    c = view(spark, sf_dir, "cloud").withColumn("z", F.when(F.col("point_id") % 31 == 0, F.col("z") + 60).otherwise(F.col("z")))
+    return surface.remove_z_outliers(c, Rounds(spark).keep).select("point_id")
 
 
 def _raster(spark, sf_dir) -> DataFrame:
@@ -644,6 +720,142 @@ def tone_gains(spark, sf_dir):
     return mosaic.fit_gains(t)
 
 
+# ---- views and rays ----
+
+# a rotation from angles, row by row
+_TURNED = """w AS (SELECT *, radians(image_id % 5 - 2) AS om, radians(image_id % 7 - 3) AS ph, radians(image_id * 40 % 360) AS ka FROM posed),
+m AS (SELECT *, cos(ph) * cos(ka) AS r0, cos(om) * sin(ka) + sin(om) * sin(ph) * cos(ka) AS r1, sin(om) * sin(ka) - cos(om) * sin(ph) * cos(ka) AS r2, cos(ph) * sin(ka) AS r3, sin(om) * sin(ph) * sin(ka) - cos(om) * cos(ka) AS r4, -sin(om) * cos(ka) - cos(om) * sin(ph) * sin(ka) AS r5,
+  -sin(ph) AS r6, sin(om) * cos(ph) AS r7, -cos(om) * cos(ph) AS r8 FROM w)"""
+
+
+def _turned(spark, sf_dir, width: int = 4000, height: int = 3000) -> DataFrame:
+    """Posed images with rotations of small tilts."""
+    p = view(spark, sf_dir, "posed")
+    i = F.col("image_id")
+    p = p.withColumn("r", camera.rotation_from_opk(i % 5 - 2, i % 7 - 3, i * 40 % 360))
+    t = F.array(*(-(F.col("r")[3 * k] * F.col("cx") + F.col("r")[3 * k + 1] * F.col("cy") + F.col("r")[3 * k + 2] * F.col("cz")) for k in range(3)))
+    return p.select("survey", "image_id", F.lit(width).alias("width"), F.lit(height).alias("height"), _lens().alias("lens"), "r", t.alias("t"))
+
+
+_FRAME = ", ".join(f"{{'p': {p}e0, 'q': {q}e0}}" for p, q in [*((k / 8, 0) for k in range(9)), *((1, k / 8) for k in range(9)), *((k / 8, 1) for k in range(9)), *((0, k / 8) for k in range(9))])
+
+
+_VIEWS = f"""{_TURNED}, b AS (SELECT *, unnest([{_FRAME}]) AS b FROM m), f AS (SELECT *, (4e3 * b.p - 2e3) / 3e3 AS fx, (3e3 * b.q - 15e2) / 3e3 AS fy FROM b),
+d AS (SELECT *, r0 * fx + r3 * fy + r6 AS dx, r1 * fx + r4 * fy + r7 AS dy, r2 * fx + r5 * fy + r8 AS dz FROM f),
+g AS (SELECT *, (2e1 - cz) / dz * dx AS gx, (2e1 - cz) / dz * dy AS gy FROM d WHERE dz < -1e-6),
+n AS (SELECT *, least(1, 4 * greatest(cz - 2e1, 1) / greatest(sqrt(gx * gx + gy * gy), 1e-9)) AS k FROM g),
+v AS (SELECT survey, image_id, any_value(cx) AS cx, any_value(cy) AS cy, any_value(cz) AS cz, min(cx + gx * k) AS x0, min(cy + gy * k) AS y0, max(cx + gx * k) AS x1, max(cy + gy * k) AS y1 FROM n GROUP BY ALL HAVING count(*) >= 3)"""
+
+
+@query(f"WITH {_VIEWS} SELECT survey, image_id, round(cx, 6) + 0.0 AS cx, round(cy, 6) + 0.0 AS cy, round(cz, 6) AS cz, round(x0, 6) + 0.0 AS x0, round(y0, 6) + 0.0 AS y0, round(x1, 6) + 0.0 AS x1, round(y1, 6) + 0.0 AS y1 FROM v", ("posed",))
+def view_boxes(spark, sf_dir):
+    v = rays.views(_turned(spark, sf_dir), F.lit(20.0))
+    return rounded(v.select("survey", "image_id", "cx", "cy", "cz", "x0", "y0", "x1", "y1"))
+
+
+_GROUND = "k AS (SELECT s AS survey, r AS row, c AS col, c * 2e1 + 1e1 AS x, r * 2e1 + 5e0 AS y, 15e0 + (r * 3 + c) % 7 AS z FROM range(4) a(s), range(21) b(r), range(26) d(c))"
+
+
+def _ground(spark) -> DataFrame:
+    cells = spark.range(4 * 21 * 26).select(F.expr("id div 546").alias("survey"), F.expr("cast(id % 546 div 26 as int)").alias("row"), F.expr("cast(id % 26 as int)").alias("col"))
+    return cells.select("*", (F.col("col") * 20.0 + 10.0).alias("x"), (F.col("row") * 20.0 + 5.0).alias("y"), (15.0 + (F.col("row") * 3 + F.col("col")) % 7).alias("z"))
+
+
+_LOOKS = f"""{_VIEWS}, {_GROUND}, a AS (SELECT k.*, v.image_id AS view, x - v.cx AS ex, y - v.cy AS ey, z - v.cz AS ez FROM k JOIN v ON v.survey = k.survey AND x0 < (floor(x / 5e1) + 1) * 5e1 AND x1 > floor(x / 5e1) * 5e1 AND y0 < (floor(y / 5e1) + 1) * 5e1 AND y1 > floor(y / 5e1) * 5e1),
+c AS (SELECT a.survey, row, col, view, r0 * ex + r1 * ey + r2 * ez AS c0, r3 * ex + r4 * ey + r5 * ez AS c1, r6 * ex + r7 * ey + r8 * ez AS c2 FROM a JOIN m ON m.image_id = view),
+l AS (SELECT survey, row, col, view, 3e3 * c0 / c2 + 2e3 AS u, 3e3 * c1 / c2 + 15e2 AS v FROM c WHERE c2 > 0),
+seen AS (SELECT *, sqrt(pow(u - 2e3, 2) + pow(v - 15e2, 2)) AS r FROM l WHERE u >= 0.5 AND u < 3999.5 AND v >= 0.5 AND v < 2999.5)"""
+
+
+@query(f"WITH {_LOOKS} SELECT survey, row::INTEGER AS row, col::INTEGER AS col, view, round(u, 5) AS u, round(v, 5) AS v, round(r, 5) AS r FROM seen", ("posed",))
+def cell_looks(spark, sf_dir):
+    """The pixel of every cell in every photo that shows it."""
+    out = rays.looks(_ground(spark), rays.views(_turned(spark, sf_dir), F.lit(20.0)), 50.0)
+    return rounded(out.select("survey", "row", "col", "view", "u", "v", "r"), 5)
+
+
+def _photos(spark, sf_dir) -> DataFrame:
+    """Photos of eight by eight pixels."""
+    return _raster(spark, sf_dir).select((F.col("survey") % 4).alias("survey"), F.col("survey").alias("view"), F.col("row").alias("prow"), F.col("col").alias("pcol"), "z")
+
+
+_SAMPLED = f"""{_LOOKS}, x AS (SELECT vec_id AS view, unnest(range(0, 64)) AS i, unnest(embedding)::DOUBLE AS z FROM embeddings), h AS (SELECT view, i // 8 AS prow, i % 8 AS pcol, z FROM x),
+q AS (SELECT *, greatest(0, least(7, u / 500 - 0.5)) AS fx, greatest(0, least(7, v / 375 - 0.5)) AS fy FROM seen),
+got AS (SELECT q.survey, q.row, q.col, q.view, q.r, sum(z * (1 - abs(fx - pcol)) * (1 - abs(fy - prow))) AS z FROM q JOIN h ON h.view = q.view AND abs(fx - pcol) < 1 AND abs(fy - prow) < 1 GROUP BY ALL)"""
+
+
+def _looked(spark, sf_dir) -> DataFrame:
+    seen = rays.looks(_ground(spark), rays.views(_turned(spark, sf_dir), F.lit(20.0)), 50.0)
+    return rays.sampled(seen, _photos(spark, sf_dir).withColumn("survey", F.col("view") % 4), ["z"])
+
+
+@query(f"WITH {_SAMPLED} SELECT survey, row::INTEGER AS row, col::INTEGER AS col, view, round(z, 7) + 0.0 AS z FROM got", ("posed",))
+def photo_samples(spark, sf_dir):
+    return rounded(_looked(spark, sf_dir).select("survey", "row", "col", "view", "z"), 7)
+
+
+@query(
+    f"""WITH {_SAMPLED}, t AS (SELECT *, exp(-(r - min(r) OVER (PARTITION BY survey, row, col)) / 3e2) AS w FROM got)
+SELECT survey, row::INTEGER AS row, col::INTEGER AS col, round(sum(z * w) FILTER (w >= 1e-3) / sum(w) FILTER (w >= 1e-3), 7) + 0.0 AS z, 255 AS alpha FROM t GROUP BY survey, row, col""",
+    ("posed",),
+)
+def render_photos(spark, sf_dir):
+    """A mosaic from photos: views, looks, samples, seam weights, blending."""
+    return rounded(mosaic.blend(mosaic.with_seam_weights(_looked(spark, sf_dir), F.lit(300.0)), ["z"]), 7)
+
+
+def _pixel_rays(spark, sf_dir) -> DataFrame:
+    """Rays of the measured pixels, from tilted cameras."""
+    o = view(spark, sf_dir, "measured").join(_turned(spark, sf_dir), "image_id")
+    o = o.withColumns({"d": camera.ray(F.col("lens"), F.col("r"), F.col("u") - 4000.0 * F.floor(F.col("u") / 4000.0), F.col("v") - 3000.0 * F.floor(F.col("v") / 3000.0)), "c": F.array(*camera.centre(F.col("r"), F.col("t")))})
+    return o.select("survey", F.struct("l_orderkey", "p2d_idx", "point_id", "image_id").alias("key"), *(F.col("c")[i].alias(n) for i, n in enumerate(("ox", "oy", "oz"))), *(F.col("d")[i].alias(n) for i, n in enumerate(("dx", "dy", "dz"))))
+
+
+_RAYS = f"""{_TURNED}, o AS (SELECT survey, l_orderkey, p2d_idx, point_id, image_id, cx, cy, cz, r0, r1, r2, r3, r4, r5, r6, r7, r8, (u - 4e3 * floor(u / 4e3) - 2e3) / 3e3 AS a, (v - 3e3 * floor(v / 3e3) - 15e2) / 3e3 AS b FROM measured JOIN m USING (image_id)),
+y AS (SELECT survey, l_orderkey, p2d_idx, point_id, image_id, cx, cy, cz, (r0 * a + r3 * b + r6) / sqrt(a * a + b * b + 1) AS dx, (r1 * a + r4 * b + r7) / sqrt(a * a + b * b + 1) AS dy, (r2 * a + r5 * b + r8) / sqrt(a * a + b * b + 1) AS dz FROM o)"""
+_RAY_KEYS = ("l_orderkey", "p2d_idx", "point_id", "image_id")
+
+
+@query(f"WITH {_RAYS} SELECT {', '.join(_RAY_KEYS)}, round(dx, 9) + 0.0 AS dx, round(dy, 9) + 0.0 AS dy, round(dz, 9) + 0.0 AS dz FROM y", ("posed", "measured"))
+def pixel_rays(spark, sf_dir):
+    return rounded(_pixel_rays(spark, sf_dir).select("key.*", "dx", "dy", "dz"), 9)
+
+
+@query(f"WITH {_RAYS} SELECT {', '.join(_RAY_KEYS)}, CASE WHEN dz < -1e-9 THEN round(cx + (5 - cz) / dz * dx, 4) + 0.0 END AS x, CASE WHEN dz < -1e-9 THEN round(cy + (5 - cz) / dz * dy, 4) + 0.0 END AS y FROM y", ("posed", "measured"))
+def pixels_on_plane(spark, sf_dir):
+    r = _pixel_rays(spark, sf_dir)
+    x, y, _ = camera.on_plane([F.col("ox"), F.col("oy"), F.col("oz")], F.array("dx", "dy", "dz"), F.lit(5.0))
+    return rounded(r.select("key.*", x.alias("x"), y.alias("y")), 4)
+
+
+def _slope(x: str, y: str) -> str:
+    return f"1e1 + 2e-2 * greatest(-2e2, least(98e1, {x})) - 1e-2 * greatest(-28e1, least(7e2, {y})) + survey"
+
+
+def _sloped(spark) -> tuple[DataFrame, DataFrame]:
+    """A sloping surface of each survey, and its grid."""
+    grids_ = spark.range(4).select(F.col("id").alias("survey"), F.lit(-200.0).alias("x0"), F.lit(700.0).alias("y0"), F.lit(20.0).alias("res"), F.lit(50).alias("rows"), F.lit(60).alias("cols"))
+    cells = surface.plane_surface(grids_, F.lit(0.0))
+    z = 10.0 + 0.02 * (F.col("col") * 20.0 - 200.0) - 0.01 * (700.0 - F.col("row") * 20.0) + F.col("survey")
+    return cells.withColumn("z", z), grids_
+
+
+@query(
+    f"""WITH RECURSIVE {_RAYS}, g AS (SELECT s AS survey, median(1e1 + 2e-2 * (c * 2e1 - 2e2) - 1e-2 * (7e2 - r * 2e1) + s) AS mid FROM range(4) a(s), range(50) b(r), range(60) d(c) GROUP BY s),
+q AS (SELECT y.*, 0 AS n, mid AS z, false AS done FROM y JOIN g USING (survey) WHERE dz < -1e-9
+  UNION ALL SELECT survey, l_orderkey, p2d_idx, point_id, image_id, cx, cy, cz, dx, dy, dz, n + 1, CASE WHEN abs(u - z) < 5e-3 THEN u ELSE 0.5 * (z + u) END, abs(u - z) < 5e-3
+    FROM (SELECT *, {_slope('cx + (z - cz) / dz * dx', 'cy + (z - cz) / dz * dy')} AS u FROM q WHERE n < 30 AND NOT done))
+SELECT {', '.join(_RAY_KEYS)}, round(cx + (z - cz) / dz * dx, 3) + 0.0 AS x, round(cy + (z - cz) / dz * dy, 3) + 0.0 AS y, round(z, 3) AS z FROM q WHERE done OR n = 30""",
+    ("posed", "measured"),
+)
+def pixels_on_surface(spark, sf_dir):
+    cells, grids_ = _sloped(spark)
+    r = _pixel_rays(spark, sf_dir).withColumn("ray_id", F.to_json("key"))
+    out = rays.on_surface(r.drop("key"), cells, grids_)
+    key = F.from_json("ray_id", "l_orderkey long, p2d_idx int, point_id long, image_id long")
+    return rounded(out.filter("x is not null").select(key.alias("k"), "x", "y", "z").select("k.*", "x", "y", "z"), 3)
+
+
 # ---- water ----
 
 
@@ -667,11 +879,24 @@ def point_density(spark, sf_dir):
     return rounded(water.point_density(p, cells).select("survey", "row", "col", "candidate", "points", "land"), 9)
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_CLOUD_CELLS}, k AS (SELECT survey, row, col, row * 100 + col AS id FROM g WHERE candidate),
+j AS (SELECT a.survey, a.id AS a, b.id AS b FROM k a JOIN k b ON a.survey = b.survey AND abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1),
+r AS (SELECT survey, a, b FROM j UNION SELECT r.survey, r.a, j.b FROM r JOIN j ON j.survey = r.survey AND j.a = r.b),
+l AS (SELECT survey, a AS id, min(b) AS root FROM r GROUP BY ALL), n AS (SELECT k.survey, k.row, k.col, dense_rank() OVER (PARTITION BY k.survey ORDER BY root)::INTEGER AS label FROM k JOIN l USING (survey, id)),
+d AS (SELECT g.survey, g.row, g.col, candidate, count(z) AS points FROM g LEFT JOIN q ON q.survey = g.survey AND q.row = g.row AND q.col = g.col GROUP BY ALL), e AS (SELECT survey, avg(points) AS land FROM d WHERE NOT candidate GROUP BY survey),
+s AS (SELECT n.survey, label, count(*) AS cells, avg(points) AS mean, any_value(land) AS land FROM n JOIN d USING (survey, row, col) JOIN e ON e.survey = n.survey GROUP BY ALL),
+h AS (SELECT DISTINCT n.survey, label, n.row + i AS row, n.col + c AS col FROM n, range(-1, 2) a(i), range(-1, 2) b(c)), o AS (SELECT * FROM h ANTI JOIN n USING (survey, row, col)),
+m AS (SELECT o.survey, label, count(*) AS n_shore, quantile_cont(z, 0.25) AS level, quantile_cont(z, 0.05) AS p5, median(z) AS z_shore FROM o JOIN q USING (survey, row, col) GROUP BY ALL),
+t AS (SELECT n.survey, label, count(*) AS n_in, median(z) AS z_in FROM n JOIN q USING (survey, row, col) GROUP BY ALL)
+SELECT s.survey, s.label, s.cells, round(level, 6) AS level, coalesce(cells >= 4 AND mean < 0.15 * land AND coalesce(n_shore >= 5, false) AND (NOT coalesce(n_in, 0) >= greatest(10, 0.2 * n_shore) OR z_in - z_shore <= 1.5) AND level - p5 <= 3, false) AS accepted
+FROM s LEFT JOIN m ON m.survey = s.survey AND m.label = s.label LEFT JOIN t ON t.survey = s.survey AND t.label = s.label""",
+    ("cloud",),
+)
 def water_bodies(spark, sf_dir):
     p, cells = _cloud_cells(spark, sf_dir)
     labelled = water.label_cells(cells)
-    return water.water_bodies(labelled, water.point_density(p, cells), p, 25.0)
+    return rounded(water.water_bodies(labelled, water.point_density(p, cells), p, 25.0))
 
 
 @query(f"WITH {_CLOUD_CELLS}, l AS (SELECT DISTINCT survey, row, col FROM g WHERE candidate), s AS (SELECT DISTINCT l.survey, l.row + i AS row, l.col + j AS col FROM l, range(-1, 2) a(i), range(-1, 2) b(j)) SELECT survey, row::INTEGER AS row, col::INTEGER AS col FROM s ANTI JOIN l USING (survey, row, col)", ("cloud",))
@@ -774,10 +999,14 @@ def lacking_models(spark, sf_dir):
     return s.groupBy("survey").agg(F.collect_set("model").alias("have")).select("survey", scalars.lacks(F.array(*map(F.lit, full)), F.col("have")).alias("lacks"))
 
 
-@query()
+@query(
+    """WITH k AS (SELECT *, concat_ws(':', point_id, l_orderkey, p2d_idx) AS key FROM errors)
+SELECT point_id, image_id, p2d_idx, l_orderkey, round(err, 6) AS err FROM k QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY md5('0:' || key), key) <= 20""",
+    ("errors",),
+)
 def hashed_sample(spark, sf_dir):
     e = view(spark, sf_dir, "errors").withColumn("key", F.concat_ws(":", "point_id", "l_orderkey", "p2d_idx"))
-    return observations.hashed_sample(e, "key", 20, by="image_id")
+    return rounded(observations.hashed_sample(e, "key", 20, by="image_id").drop("key"))
 
 
 def queries() -> dict[str, Query]:

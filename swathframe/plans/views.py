@@ -41,21 +41,21 @@ FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_
     "pixels": """
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity * 1e-2 AS nir, CASE WHEN l_orderkey % 29 <> 0 THEN l_discount END AS red, l_tax AS green, l_discount * 5e-1 AS blue, l_tax + l_discount AS edge FROM lineitem""",
     "captures": """
-SELECT DISTINCT l_suppkey % 5 AS survey, l_orderkey AS capture, l_linenumber AS rig_index, CASE l_linenumber WHEN 1 THEN 'Blue' WHEN 2 THEN 'Green' WHEN 3 THEN 'Red' ELSE 'NIR' END AS band, 4e2 + 8e1 * l_linenumber AS wavelength, l_orderkey % 31 = 0 AS panel FROM lineitem WHERE l_suppkey % 5 < 3""",
+SELECT DISTINCT l_suppkey % 5 AS survey, l_orderkey AS capture, l_linenumber AS rig_index, CASE l_linenumber WHEN 1 THEN 'Blue' WHEN 2 THEN 'Green' WHEN 3 THEN 'Red' ELSE 'NIR' END AS band, 4e2 + 8e1 * l_linenumber AS wavelength, l_orderkey % 31 = 0 AS panel FROM lineitem""",
     "series": """
 SELECT CAST(l_suppkey % 5 AS BIGINT) AS survey, l_linenumber AS band, l_orderkey AS capture, concat(CAST(l_orderkey AS STRING), '-', CAST(l_partkey AS STRING), '-', CAST(l_suppkey AS STRING)) AS file,
   CASE WHEN l_orderkey % 7 <> 0 THEN lpad(CAST(l_orderkey AS STRING), 9, '0') END AS datetime, CASE WHEN l_partkey % 10 <> 0 THEN l_extendedprice / 1e3 END AS irradiance FROM lineitem""",
     "panels": """
-SELECT CAST(l_suppkey % 5 AS BIGINT) AS survey, l_suppkey AS capture, l_linenumber AS band, l_quantity * 12e2 AS raw, 65535e0 AS full_scale, l_extendedprice * 1e-5 AS radiance FROM lineitem WHERE l_suppkey % 10 = 0""",
+SELECT CAST(l_suppkey % 5 AS BIGINT) AS survey, l_suppkey AS capture, l_linenumber AS band, l_quantity * 12e2 AS raw, 65535e0 AS full_scale, l_extendedprice * 1e-5 AS radiance FROM lineitem""",
     "levels": """
 SELECT l_partkey AS point, l_suppkey AS capture, avg(l_discount * 1e1 + (l_suppkey % 7) * 3e-2) AS v FROM lineitem GROUP BY l_partkey, l_suppkey""",
     "looks": """
-SELECT l_suppkey AS survey, CAST(l_partkey % 20 AS INT) AS row, CAST(l_orderkey % 15 AS INT) AS col, concat(CAST(l_orderkey AS STRING), ':', CAST(l_linenumber AS STRING), ':', CAST(l_partkey AS STRING)) AS view,
-  CAST(l_quantity AS INT) % 3 AS mask, l_extendedprice / 1e2 AS r, l_discount * 255e1 AS red, l_tax * 255e1 AS green FROM lineitem WHERE l_suppkey < 20""",
+SELECT l_suppkey % 20 AS survey, CAST(l_partkey % 20 AS INT) AS row, CAST(l_orderkey % 15 AS INT) AS col, concat(CAST(l_orderkey AS STRING), ':', CAST(l_linenumber AS STRING), ':', CAST(l_partkey AS STRING)) AS view,
+  CAST(l_quantity AS INT) % 3 AS mask, l_extendedprice / 1e2 AS r, l_discount * 255e1 AS red, l_tax * 255e1 AS green FROM lineitem""",
     "frames": """
 SELECT o_orderkey AS view, o_custkey % 10 AS survey, (o_orderkey * 13 % 500) * 1e0 AS x0, (o_orderkey * 7 % 400) * 1e0 AS y0, (o_orderkey * 13 % 500) + 2e1 + o_custkey % 60 AS x1, (o_orderkey * 7 % 400) + 15e0 + o_custkey % 45 AS y1 FROM orders""",
     "marks": """
-SELECT l_partkey AS gcp, l_orderkey * 10 + l_linenumber AS ordinal, concat('IMG_', lpad(CAST(l_suppkey AS STRING), 4, '0')) AS image, l_quantity AS x, l_tax AS y, l_partkey * 1000 + l_suppkey AS tie FROM lineitem WHERE l_partkey % 50 = 0""",
+SELECT l_partkey AS gcp, l_orderkey * 10 + l_linenumber AS ordinal, concat('IMG_', lpad(CAST(l_suppkey AS STRING), 4, '0')) AS image, l_quantity AS x, l_tax AS y, l_partkey * 1000 + l_suppkey AS tie FROM lineitem""",
     "masks": """
 SELECT CAST(quality AS BIGINT) AS survey, doc_id % 12 AS image, CAST(doc_id AS BIGINT) AS v, 0 AS u, CASE WHEN quality = 1 THEN CAST(doc_id % 3 AS INT) ELSE CAST(doc_id % 3 AS INT) * 100 END AS mask FROM labels""",
 }

@@ -3,8 +3,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from swathframe.errors import AlignmentError, InputError, ProjectError
-from swathframe.operators import coverage, grids, mosaic, radiometry, scan, sfm, surface
-from swathframe.plans.options import MosaicOptions, snapped
+from swathframe.functions import camera
+from swathframe.operators import coverage, grids, mosaic, quantiles, radiometry, rays, scan, sfm, surface
+from swathframe.plans.options import GridOptions, PreviewOptions, snapped
 from swathframe.plans.scratch import Rounds
 from swathframe.plans.workspace import Project
 
@@ -28,7 +29,52 @@ def test_surface_keeps_planes(spark):
     assert z == pytest.approx(3 + 0.5 * x - 0.2 * y, abs=1e-6)
     assert (surface.interpolated(np.array([[1.0, 1.0, 7.0]]), 0.0, 10.0, 5.0, 3, 3) == 7).all()
     points = spark.createDataFrame([(1, i, float(i * 7 % 50), float(i * 13 % 50), 10.0 if i else 500.0) for i in range(40)], "survey long, point_id long, x double, y double, z double")
-    assert 0 not in {p.point_id for p in surface.remove_z_outliers(points, 80.0).collect()}
+    assert 0 not in {p.point_id for p in surface.remove_z_outliers(points, Rounds(spark).keep).collect()}
+
+
+def test_z_outliers_of_uneven_surveys(spark):
+    """Clusters, lone points, lines and small surveys: as by brute force."""
+    r = np.random.default_rng(12)
+    rows = [(1, *r.normal(0, 1, 2), r.normal(0, 0.1)) for _ in range(300)] + [(1, *r.uniform(-900, 900, 2), r.normal(5, 1)) for _ in range(30)] + [(2, float(i), 3.0, float(i % 7)) for i in range(60)] + [(3, 0.0, 0.0, 9.0 * i) for i in range(10)] + [(4, 1.0, 1.0, float(i == 0) * 50) for i in range(25)]
+    rows = [(s, i, float(x), float(y), float(z)) for i, (s, x, y, z) in enumerate(rows)]
+    want = set()
+    for s, i, x, y, z in rows:
+        others = sorted((float(np.sqrt((a - x) * (a - x) + (b - y) * (b - y))), j, h) for q, j, a, b, h in rows if q == s and j != i)
+        near = np.array([h for _, _, h in others[:16]])
+        if len(others) < 16 or abs(z - np.median(near)) <= 3 * (1.4826 * np.median(np.abs(near - np.median(near))) + 0.05):
+            want.add(i)
+    points = spark.createDataFrame(rows, "survey long, point_id long, x double, y double, z double")
+    assert {p.point_id for p in surface.remove_z_outliers(points, Rounds(spark).keep).collect()} == want and len(want) < len(rows)
+
+
+@pytest.mark.parametrize("values", [[3.0], [1.0, 2.0], [0.0, 0.0, 5.0, -2.5, -2.5, 1e-9, 1e9], [float(i % 5) for i in range(101)], list(np.random.default_rng(1).lognormal(0, 2, 400)), []])
+def test_quantile(spark, values):
+    df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double")
+    for share in (0.0, 0.05, 0.5, 0.95, 1.0):
+        got = quantiles.quantile(df, "v", share, "q").first().q
+        assert got is None if not values else got == pytest.approx(float(np.quantile(values, share)), rel=1e-12, abs=1e-15)
+
+
+def test_rays_meet_a_surface():
+    z = np.fromfunction(lambda r, c: 2 + np.sin(r / 5.0) + c * 0.03, (40, 50))
+    sample = lambda x, y: rays.bilinear(z, 0.0, 39.0, 1.0, x, y)
+    r = np.random.default_rng(2)
+    o = np.column_stack([r.uniform(5, 45, (50, 2)) * [1, 0.8], np.full(50, 30.0)])
+    d = np.column_stack([r.normal(0, 0.2, (50, 2)), np.full(50, -1.0)])
+    d[7] = [0, 0, 1]
+    p = rays.meet(o, d / np.linalg.norm(d, axis=1)[:, None], sample, 2.0, 40, 1e-4, True)
+    ok = np.arange(50) != 7
+    assert np.isnan(p[7]).all() and np.abs(p[ok, 2] - sample(p[ok, 0], p[ok, 1])).max() < 2e-3
+    assert np.abs(np.cross(p[ok] - o[ok], d[ok])).max() < 1e-6
+    assert rays.bilinear(z, 0.0, 39.0, 1.0, np.array([3.0, -9.0, 3.5]), np.array([36.0, 99.0, 35.5])) == pytest.approx([z[3, 3], z[0, 0], z[3:5, 3:5].mean()])
+
+
+def test_pixels_without_their_distortion(spark):
+    lens = camera.intrinsics(F.lit("OPENCV"), F.array(*(F.lit(v) for v in (3000.0, 3100.0, 2000.0, 1500.0, -0.1, 0.02, 0.001, -0.002))))
+    df = spark.range(9).select(lens.alias("c"), ((F.col("id") - 4) / 10.0).alias("x"), ((F.col("id") % 3 - 1) / 5.0).alias("y"))
+    u, v = camera.distorted(F.col("c"), F.col("x"), F.col("y"))
+    for row in df.withColumns({"u": u, "v": v}).withColumn("p", camera.undistorted(F.col("c"), F.col("u"), F.col("v"))).collect():
+        assert (row.p.x, row.p.y) == pytest.approx((row.x, row.y), abs=1e-8)
 
 
 def test_labels():
@@ -121,10 +167,13 @@ def test_alignment():
 
 
 def test_options():
-    assert MosaicOptions.restored({"gsd_m": 0.1, "bounds": [0, 0, 1, 1], "later": 3, "dsm": None}).checked().bounds == (0, 0, 1, 1)
-    for bad in ({"gsd_m": -1}, {"gsd_scale": 0}, {"water": "x"}, {"epsg": 4326}, {"bounds": (0, 0, 0, 1)}, {"indices": ["x"]}):
+    assert GridOptions.restored({"gsd_m": 0.1, "bounds": [0, 0, 1, 1], "later": 3, "origin": None}) == GridOptions(gsd_m=0.1, bounds=(0, 0, 1, 1))
+    assert GridOptions.restored(GridOptions(gsd_scale=2.0, origin=(1.0, 2.0)).stored()) == GridOptions(gsd_scale=2.0, origin=(1.0, 2.0))
+    for bad in ({"gsd_m": -1}, {"gsd_m": float("nan")}, {"gsd_scale": 0}, {"bounds": (0, 0, 0, 1)}, {"bounds": (0, 1)}):
         with pytest.raises(InputError):
-            MosaicOptions(**bad).checked()
+            GridOptions(**bad)
+    with pytest.raises(InputError):
+        PreviewOptions(max_size=0)
     assert snapped((0.05, 0.0, 0.95, 1.0), 0.1) == pytest.approx((0.0, 0.0, 1.0, 1.0))
 
 
@@ -172,3 +221,34 @@ def test_workspace(spark, tmp_path):
     assert p.render(samples, ["nir", "red"], 5.0).count() == 16
     assert p.make_indices({"nir": "nir", "red": "red"}, ["NDVI"]).columns == ["survey", "row", "col", "ndvi"]
     assert p.overviews("nir", 512)[0].count() == 4 and set(p.report()) >= {"align", "render", "warnings"}
+    with pytest.raises(InputError):
+        p.render(samples, ["nir"], 5.0, GridOptions(gsd_m=2.0))
+    placed = samples.selectExpr("survey", "col * 2.0 + 101.0 as x", "200.0 - row * 2.0 - 1.0 as y", "view", "r", "nir", "red")
+    assert p.render(placed, ["nir"], 5.0, GridOptions(gsd_m=2.0, bounds=(100.0, 192.0, 104.0, 200.0))).count() == 8
+    assert p.store.get("render")["grid"] == {"xmin": 100.0, "ymax": 200.0, "res": 2.0, "rows": 4, "cols": 2}
+    assert p.render(placed, ["nir"], 5.0, GridOptions(gsd_scale=2.0), native_gsd=1.0).count() == 16
+
+    # pixels to the ground and back
+    pixels = spark.createDataFrame([(i, 500.0 * i + 10, 2900.0 - 300 * i) for i in range(8)], "pixel_id long, u double, v double")
+    ground = p.image_to_ground("002.JPG", pixels, z=1.5)
+    back = p.ground_to_image("002.JPG", ground).orderBy("pixel_id").collect()
+    assert [(b.u, b.v) for b in back] == [pytest.approx((500.0 * i + 10, 2900.0 - 300 * i)) for i in range(8)]
+    with pytest.raises(KeyError):
+        p.image_to_ground("none.JPG", pixels, z=0.0)
+    with pytest.raises(ProjectError):
+        p.image_to_ground("002.JPG", pixels)
+    p.set_surface(spark.range(40 * 50).selectExpr("cast(id div 50 as int) as row", "cast(id % 50 as int) as col", "0.05D * (id % 50) as z"), -20.0, 120.0, 4.0, 40, 50)
+    for r in p.image_to_ground("002.JPG", pixels).collect():
+        assert r.z == pytest.approx(min(max((r.x + 20) / 4, 0), 49) * 0.05, abs=0.006)
+
+    # a mosaic from photos of one colour each: every cell has that of the photo whose centre is nearest to it
+    photos = spark.createDataFrame([(i, a, b, 10.0 * i) for i in range(6) for a in range(6) for b in range(8)], "view long, prow int, pcol int, grey double")
+    seen = p.look().collect()
+    nearest = {}
+    for s in seen:
+        assert s.u == pytest.approx(2000 + 3000 * (-20 + 4 * s.col - 20.0 * s.view) / (80 - 0.05 * s.col)) and s.r == pytest.approx(np.hypot(s.u - 2000, s.v - 1500))
+        nearest.setdefault((s.row, s.col), []).append((s.r, s.view))
+    got = {(r.row, r.col): r.grey for r in p.render_photos(photos, ["grey"], 0.01).collect()}
+    assert set(got) == set(nearest) and all(min(abs(got[c] - 10 * v) for q, v in looks if q < min(looks)[0] + 0.1) < 5.1 for c, looks in nearest.items())
+    for size in (7.0, 1000.0):
+        assert {(r.row, r.col): r.grey for r in p.render_photos(photos, ["grey"], 0.01, tile=size).collect()} == pytest.approx(got)
