@@ -535,9 +535,9 @@ def radiance(spark, sf_dir):
     return t.select(*_KEYS, F.round(value, 9).alias("radiance"))
 
 
-@query("SELECT survey, capture, band, count(*) AS pixels, round(avg(radiance), 10) AS mean, round(avg(CASE WHEN raw >= 0.98 * full_scale THEN 1 ELSE 0 END), 10) AS saturated, round(stddev_pop(radiance) / avg(radiance), 10) AS cv FROM panels GROUP BY ALL", ("panels",))
+@query("SELECT survey, capture, band, count(*) AS pixels, round(avg(radiance), 12) AS mean, round(avg(CASE WHEN raw >= 0.98 * full_scale THEN 1 ELSE 0 END), 9) AS saturated, round(stddev_pop(radiance) / avg(radiance), 9) AS cv FROM panels GROUP BY ALL", ("panels",))
 def panel_stats(spark, sf_dir):
-    return rounded(radiometry.panel_stats(view(spark, sf_dir, "panels")), 10)
+    return rounded(rounded(radiometry.panel_stats(view(spark, sf_dir, "panels")), 12, "mean"), 9, "saturated", "cv")
 
 
 _SMOOTH = "s AS (SELECT *, quantile_cont(irradiance, 0.5) OVER (PARTITION BY survey, band ORDER BY coalesce(datetime, ''), file ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS smooth FROM series)"
