@@ -42,6 +42,16 @@ SENTENCES = (
     ("GplHope", r".*is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"),
     ("GplSee", r"see the gnu general public license for more details"),
     ("GplCopy", r"you should have received a copy of the gnu general public license along with .*"),
+    ("LgplGrant", r".*is free software you can redistribute it and/?or modify it under the terms of the gnu lesser general public license as published by the free software foundation,? either version (?P<v>2\.1|3) of the license,? or \(?at your option\)? any later version"),
+    ("LgplSee", r"see the gnu lesser general public license for more details"),
+    ("AgplGrant", r".*is free software you can redistribute it and/?or modify it under the terms of the gnu affero general public license as published by the free software foundation,? either version (?P<v>3) of the license,? or \(?at your option\)? any later version"),
+    ("AgplSee", r"see the gnu affero general public license for more details"),
+    ("ZlibAsIs", r"this software is provided as-is without any express or implied warranty"),
+    ("ZlibGrant", r"permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"),
+    ("BoostName", r"(?:released|licensed|distributed) under the boost software license,? version (?P<v>1\.0)"),
+    ("EplName", r".*(?:made available|released|licensed|distributed) under the (?:terms of the )?eclipse public license,? (?:version |v\.? ?)(?P<v>[12]\.0).*"),
+    ("CddlName", r".*(?:subject to|under) the (?:terms of the )?common development and distribution license.*"),
+    ("PsfName", r"(?:released|licensed|distributed) under the (?:terms of the )?python software foundation license.*"),
     ("BsdGrant", r"redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     ("BsdSource", r"(?:\d |\* )?redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
     ("BsdBinary", r"(?:\d |\* )?redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and/?or other materials provided with the distribution"),
@@ -64,6 +74,13 @@ RULES = (
     ("BSD-2-Clause", "BsdGrant BsdSource BsdBinary AsIsWarranty? NoLiability?"),
     ("Apache-{v}", "ApacheName ApacheUse? ApacheCopy? ApacheBasis? ApacheSee?"),
     ("GPL-{v}.0-or-later", "GplGrant GplHope? GplSee? GplCopy?"),
+    ("LGPL-{v}-or-later", "LgplGrant GplHope? LgplSee?"),
+    ("AGPL-{v}-or-later", "AgplGrant GplHope? AgplSee?"),
+    ("Zlib", "ZlibAsIs? NoLiability? ZlibGrant"),
+    ("BSL-{v}", "BoostName"),
+    ("EPL-{v}", "EplName"),
+    ("CDDL-1.0", "CddlName"),
+    ("PSF-2.0", "PsfName"),
     ("ISC", "IscGrant AsIsWarranty? NoLiability?"),
     ("MPL-{v}", "MplName MplCopy?"),
     ("MIT", "MitName"),
@@ -79,11 +96,17 @@ RULES = (
 #: Every known sentence has one of these; single words, which no line wraps.
 ANCHORS = "spdx|gnu|mpl|apache|unlicen|licen[sc]e|licen[sc]ing|permission|redistribution|copyright|\\(c\\)|warrant|liable|provided|unencumbered|reserved|creative|cc0|\\bcc\\b"
 
+# Names of licences as tags write them (a tag of another one is given in capitals).
+NAMES = (
+    "0BSD", "AFL-3.0", "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-1.1", "Apache-2.0", "Artistic-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSD-4-Clause", "BSL-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "CC0-1.0",
+    "CDDL-1.0", "ECL-2.0", "EPL-1.0", "EPL-2.0", "EUPL-1.2", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "ISC", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later",
+    "MIT", "MIT-0", "MPL-1.1", "MPL-2.0", "MS-PL", "NCSA", "OFL-1.1", "PostgreSQL", "PSF-2.0", "Ruby", "Unlicense", "UPL-1.0", "WTFPL", "X11", "Zlib",
+)
+WRITTEN = {n.lower(): n for n in NAMES}
 KNOWN = [(name, re.compile(p)) for name, p in SENTENCES]
 PARSED_RULES = [(name, [(x.rstrip("?"), x.endswith("?")) for x in rule.split()]) for name, rule in RULES]
-BREAK = re.compile(r"(?:[.!?;:]+(?=[\s\"')\]]|$)|\n\s*\n)")
-#: As BREAK, but not at colons ("SPDX-License-Identifier: MIT").
-END = re.compile(r"(?:[.!?;]+(?=[\s\"')\]]|$)|\n\s*\n)")
+#: Ends of sentences (not the point of "v. 2.0"), then of their parts: at semicolons, then at colons.
+ENDS = tuple(re.compile(rf"(?:(?<!\bv)(?<!\bV)[{marks}]+(?=[\s\"')\]]|$)|\n\s*\n)") for marks in (".!?", ".!?;", ".!?;:"))
 ANCHOR = re.compile(ANCHORS, re.I)
 
 
@@ -102,7 +125,7 @@ def identified(sentence: str) -> tuple[str, dict] | None:
     return None
 
 
-def sentences(text: str, start: int, end: int, ends: re.Pattern = BREAK):
+def sentences(text: str, start: int, end: int, ends: re.Pattern = ENDS[0]):
     """(start, end) of the sentences of text[start:end]."""
     at = start
     for m in ends.finditer(text, start, end):
@@ -112,16 +135,14 @@ def sentences(text: str, start: int, end: int, ends: re.Pattern = BREAK):
         yield at, end
 
 
-def _known(text: str, start: int, end: int, wrapped: bool):
-    """Known sentences of text[start:end], of wrapped ones only those; where a colon's parts are unknown, the unbroken sentence."""
-    for s, e in sentences(text, start, end, END):
-        none = True
-        for x, y in sentences(text, s, e):
-            if (not wrapped or "\n" in text[x:y].strip()) and (found := identified(text[x:y])):
-                yield x, y, *found
-                none = False
-        if none and ":" in text[s:e] and (not wrapped or "\n" in text[s:e].strip()) and (found := identified(text[s:e])):
-            yield s, e, *found
+def _known(text: str, start: int, end: int, wrapped: bool, level: int = 0):
+    """Known sentences of text[start:end], of wrapped ones only those: the smallest parts that are known, and where none of a
+    sentence's parts is, the sentence."""
+    for s, e in sentences(text, start, end, ENDS[level]):
+        parts = list(_known(text, s, e, wrapped, level + 1)) if level + 1 < len(ENDS) else []
+        if not parts and (not wrapped or "\n" in text[s:e].strip()) and (found := identified(text[s:e])):
+            parts = [(s, e, *found)]
+        yield from parts
 
 
 def known_sentences(text: str) -> list[tuple[int, int, str, dict]]:
@@ -140,8 +161,11 @@ def known_sentences(text: str) -> list[tuple[int, int, str, dict]]:
 
 
 def _name(template: str, fields: dict) -> str:
-    f = {"v": fields.get("v", ""), "kind": fields.get("kind", "").upper(), "later": "-or-later" if fields.get("later") else "-only"}
-    if template.startswith(("GPL-{v}{", "LGPL", "AGPL")) and "." not in f["v"]:
+    kind = fields.get("kind", "")
+    if template == "{kind}":
+        return WRITTEN.get(kind, kind.upper())
+    f = {"v": fields.get("v", ""), "kind": kind.upper(), "later": "-or-later" if fields.get("later") else "-only"}
+    if template.startswith(("GPL-{v}{", "LGPL", "AGPL")) and f["v"] and "." not in f["v"]:
         f["v"] += ".0"
     return template.format(**f)
 

@@ -468,8 +468,9 @@ def test_licences(text, names, rest):
     "text, want",
     [
         ("SPDX-License-Identifier: MIT", "MIT"),
-        ("// SPDX-License-Identifier: Apache-2.0\nint x;", "APACHE-2.0"),
-        ("/* SPDX-License-Identifier: BSD-3-Clause */", "BSD-3-CLAUSE"),
+        ("// SPDX-License-Identifier: Apache-2.0\nint x;", "Apache-2.0"),
+        ("/* SPDX-License-Identifier: BSD-3-Clause */", "BSD-3-Clause"),
+        ("SPDX-License-Identifier: LicenseRef-Own", "LICENSEREF-OWN"),
         ("Licensed under the Apache License, Version 2.0. You may obtain a copy of the License at: https://example.org/l", "Apache-2.0"),
         ("License: Released under the MIT License.", "MIT"),
     ],
@@ -501,6 +502,100 @@ def test_the_prefilter_changes_no_result(text, monkeypatch):
     assert got == next(licenses._rows([batch])).to_pylist() and got[0]["n_sentences"] == 1
 
 
+#: A text of each known sentence, as licences and notices write it.
+SAID = {
+    "MitName": "This work is licensed under the MIT License.",
+    "MitGrant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including the rights to use.",
+    "MitNotice": "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    "AsIsWarranty": "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND.",
+    "NoLiability": "In no event shall the authors be liable for any claim.",
+    "ApacheName": "Licensed under the Apache License, Version 2.0 (the License).".replace(" (the License)", ""),
+    "ApacheUse": "You may not use this file except in compliance with the License.",
+    "ApacheCopy": "You may obtain a copy of the License at https://www.apache.example/licenses.",
+    "ApacheBasis": "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
+    "ApacheSee": "See the License for the specific language governing permissions and limitations under the License.",
+    "GplName": "This program is distributed under the GNU General Public License, version 2 or any later version.",
+    "LgplName": "This library is licensed under the GNU Lesser General Public License v2.1.",
+    "AgplName": "This work is released under the GNU Affero General Public License version 3.",
+    "GplGrant": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "GplHope": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    "GplSee": "See the GNU General Public License for more details.",
+    "GplCopy": "You should have received a copy of the GNU General Public License along with this program.",
+    "LgplGrant": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "LgplSee": "See the GNU Lesser General Public License for more details.",
+    "AgplGrant": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "AgplSee": "See the GNU Affero General Public License for more details.",
+    "ZlibAsIs": "This software is provided 'as-is', without any express or implied warranty.",
+    "ZlibGrant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "BoostName": "Distributed under the Boost Software License, Version 1.0.",
+    "EplName": "This program and the accompanying materials are made available under the terms of the Eclipse Public License v2.0.",
+    "CddlName": "The contents of this file are subject to the terms of the Common Development and Distribution License.",
+    "PsfName": "Licensed under the Python Software Foundation License.",
+    "BsdGrant": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "BsdSource": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "BsdBinary": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "BsdEndorse": "Neither the name of the owner nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "BsdName": "This work is licensed under the BSD 3-Clause License.",
+    "IscGrant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "MplName": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "MplCopy": "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.example/MPL/2.0/.",
+    "CcName": "This work is licensed under a Creative Commons BY-SA 4.0 license.",
+    "Cc0Name": "Dedicated to all by CC0 1.0.",
+    "UnlicenseGrant": "This is free and unencumbered software released into the public domain.",
+    "SpdxTag": "SPDX-License-Identifier: Zlib",
+    "Copyright": "Copyright 2021 Jo Doe.",
+    "AllRights": "All rights reserved.",
+}
+
+
+def test_every_sentence_is_known():
+    assert set(SAID) == {n for n, _ in licenses.SENTENCES}
+    for name, text in SAID.items():
+        for written in (text, text.upper(), "// " + text, "\n" + text + "\n"):
+            assert [x[2] for x in licenses.known_sentences(written)] == [name], written
+
+
+def plain_rules(names):
+    """Licences of a sequence of identifiers by regular expressions over their names: at each place the first rule that matches."""
+    text, out, rest, at = "".join(n + " " for n in names), [], [], 0
+    while at < len(text):
+        for i, (_, rule) in enumerate(licenses.RULES):
+            pattern = "".join(f"(?:{x[:-1]} )?+" if x.endswith("?") else f"{x} " for x in rule.split())
+            m = re.compile(pattern).match(text, at)
+            if m and m.end() > at:
+                out.append((i, text[: m.end()].count(" ")))
+                at = m.end()
+                break
+        else:
+            end = text.index(" ", at) + 1
+            rest.append(text[at : end - 1])
+            at = end
+    return out, rest
+
+
+def test_rules_against_plain_ones():
+    """Random texts of known sentences, fillers and line breaks: the same licences and leftovers as the plain matcher."""
+    r = np.random.default_rng(3)
+    filler = ["The garden is green.", "It rained in 1998, they said.", "Write x = f(y); then stop.", "Permission was asked of nobody."]
+    for _ in range(150):
+        names = []
+        for _ in range(r.integers(0, 4)):
+            rule = licenses.RULES[r.integers(len(licenses.RULES))][1].split()
+            names += [x.rstrip("?") for x in rule if not x.endswith("?") or r.random() < 0.6] if r.random() < 0.8 else [list(SAID)[r.integers(len(SAID))]]
+        parts = []
+        for n in names:
+            parts += [filler[r.integers(4)]] * int(r.random() < 0.3) + [SAID[n]]
+        text = "".join(p + ("\n" if p.startswith("SPDX") or p.endswith(":") or r.random() < 0.7 else " ") for p in parts + [filler[0]])
+        text = text.replace(" SPDX", "\nSPDX")
+        found = licenses.known_sentences(text)
+        assert [x[2] for x in found] == names, text
+        named, rest = licenses.licences(found)
+        want, left = plain_rules(names)
+        assert rest == left and len(named) == len(want)
+        for (name, s, e), (i, upto) in zip(named, want):
+            assert e == found[upto - 1][1] and re.fullmatch(re.sub(r"\\{\w+\\}", ".*", re.escape(licenses.RULES[i][0])), name), (name, licenses.RULES[i])
+
+
 def test_every_sentence_has_an_anchor():
     for name, pattern in licenses.SENTENCES:
         plain = re.sub(r"\(\?:|\(\?P<\w+>|[()?\\]", "", pattern)
