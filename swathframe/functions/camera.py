@@ -108,7 +108,7 @@ LENS_MODELS = {
 
 def intrinsics(model: Column, params: Column) -> Column:
     """Struct of fx, fy, cx, cy, k1, k2, p1, p2, k3; null for an unknown model."""
-    out = F.lit(None)
+    out = F.lit(None).cast("struct<fx:double,fy:double,cx:double,cy:double,k1:double,k2:double,p1:double,p2:double,k3:double>")
     for name, places in LENS_MODELS.items():
         fields = [(F.coalesce(F.try_element_at(params, F.lit(i + 1)), F.lit(0.0)) if i >= 0 else F.lit(0.0)).alias(n) for n, i in zip(("fx", "fy", "cx", "cy", "k1", "k2", "p1", "p2", "k3"), places)]
         out = F.when(model == name, F.struct(*fields)).otherwise(out)
@@ -200,3 +200,29 @@ def vignette_2d(coefficients: Column, px: Column, py: Column, x: Column, y: Colu
 def radiance(raw: Column, black: Column, vig: Column, row: Column, a1: Column, a2: Column, a3: Column, gain: Column, exposure: Column, bits: Column) -> Column:
     """(raw - black) V R a1 / (gain t 2^bits) with R = 1 / (1 + a2 row / t - a3 row); negatives stay. Null without calibration."""
     return (raw - black) * vig / (1.0 + a2 * row / exposure - a3 * row) * a1 / (gain * exposure * F.pow(F.lit(2.0), bits))
+
+
+def full_lens(c: Column) -> Column:
+    """Parameters of the fullest lens model of an intrinsics struct: fx, fy, cx, cy, k1, k2, p1, p2, k3 and three zeros."""
+    return F.array(*(c[n] for n in ("fx", "fy", "cx", "cy", "k1", "k2", "p1", "p2", "k3")), *(F.lit(0.0),) * 3)
+
+
+def lens_text(c: Column) -> Column:
+    """full_lens() as text, ten significant digits each."""
+    return F.array_join(F.transform(full_lens(c), significant), ",")
+
+
+def significant(value: Column) -> Column:
+    """A number to ten significant digits, as text without trailing zeros."""
+    return F.regexp_replace(F.format_string("%.9e", value).cast("decimal(38,18)").cast("string"), r"\.?0+$", "")
+
+
+def matrix(c: Column, shift: float = 0.5) -> Column:
+    """K (row-major array of nine) whose pixel centres are whole numbers."""
+    zero = F.lit(0.0)
+    return F.array(c["fx"], zero, c["cx"] - shift, zero, c["fy"], c["cy"] - shift, zero, zero, F.lit(1.0))
+
+
+def distortion(c: Column) -> Column:
+    """k1, k2, p1, p2, k3."""
+    return F.array(*(c[n] for n in ("k1", "k2", "p1", "p2", "k3")))

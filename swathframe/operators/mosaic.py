@@ -117,3 +117,22 @@ def stretch(value: Column, low: Column, high: Column, gamma: float = 1 / 1.6) ->
     """A preview's byte of a value between two percentiles."""
     x = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(value - low, high - low)))
     return F.floor(F.pow(x, F.lit(gamma)) * 255 + 0.5).cast("int")
+
+
+def tile_order(tx: Column, ty: Column, block: int = 4) -> Column:
+    """Struct by which tiles are drawn: blocks of tiles by rows, and tiles of a block by rows, so that neighbours share their photos."""
+    return F.struct(F.floor(ty / block).alias("block_row"), F.floor(tx / block).alias("block_col"), ty.alias("ty"), tx.alias("tx"))
+
+
+# Bands that a preview shows as red, green and blue, in the order of preference.
+PREVIEWS = (("true_color", ("red", "green", "blue")), ("false_color", ("nir", "red", "green")))
+
+
+def preview_bands(bands: Column) -> Column:
+    """Struct kind, indices (from 0) of an array of band names: true colour, else false colour, else the first band thrice."""
+    names = F.transform(bands, lambda b: F.lower(F.trim(b)))
+    out = F.struct(F.lit("gray").alias("kind"), F.array(F.lit(0), F.lit(0), F.lit(0)).alias("indices"))
+    for kind, wanted in reversed(PREVIEWS):
+        have = F.size(F.array_intersect(F.array(*map(F.lit, wanted)), names)) == len(wanted)
+        out = F.when(have, F.struct(F.lit(kind).alias("kind"), F.array(*((F.array_position(names, w) - 1).cast("int") for w in wanted)).alias("indices"))).otherwise(out)
+    return out

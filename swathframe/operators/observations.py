@@ -173,3 +173,19 @@ def mean_covariance(pairs: DataFrame) -> DataFrame:
     """Means, cross-covariance and source variance of pairs (sx, sy, sz, tx, ty, tz): all that a similarity fit needs, one row."""
     s, t = ("sx", "sy", "sz"), ("tx", "ty", "tz")
     return pairs.agg(F.count("*").alias("n"), *(F.avg(c).alias(f"m_{c}") for c in (*s, *t)), *(F.covar_pop(a, b).alias(f"c_{a}_{b}") for a in t for b in s), sum((F.var_pop(c) for c in s[1:]), F.var_pop(s[0])).alias("variance"))
+
+
+def target_system(gcps: DataFrame, base: int, geographic: list[int]) -> DataFrame:
+    """One row: the system of all control points if they have one and it is projected, else the base's."""
+    one = gcps.filter("role = 'control'").agg(F.count_distinct("epsg").alias("n"), F.min("epsg").alias("epsg"))
+    ok = (F.col("n") == 1) & ~F.col("epsg").isin(*geographic)
+    return one.select(F.when(ok, F.col("epsg")).otherwise(base).alias("epsg"))
+
+
+def candidates(predicted: DataFrame, marked: DataFrame) -> DataFrame:
+    """Predicted places (gcp, image_id, u, v, width, height) with center_dist and marked, and their place in the order of marking:
+    marked images first, then those that show the point nearest to their centre."""
+    has = marked.select("gcp", "image_id").distinct().withColumn("marked", F.lit(True))
+    rows = predicted.join(has, ["gcp", "image_id"], "left").withColumn("marked", F.coalesce("marked", F.lit(False)))
+    rows = rows.withColumn("center_dist", F.hypot((F.col("u") - F.col("width") / 2.0) / F.col("width"), (F.col("v") - F.col("height") / 2.0) / F.col("height")))
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("gcp").orderBy(F.desc("marked"), F.round("center_dist", 9), "image_id")))

@@ -98,3 +98,29 @@ def reference_bands(bands: DataFrame) -> DataFrame:
 def flight_captures(bands: DataFrame) -> DataFrame:
     """Captures that are neither of a panel nor incomplete."""
     return classify_captures(bands).filter("complete and not panel").select("survey", "capture")
+
+
+def reference_files(bands: DataFrame) -> DataFrame:
+    """(survey, file, capture): the file of each capture's reference band; captures that lack it are left out."""
+    chosen = reference_bands(bands).withColumnRenamed("reference", "rig_index")
+    return bands.join(chosen, ["survey", "rig_index"]).groupBy("survey", "capture").agg(F.min("file").alias("file")).select("survey", "file", "capture")
+
+
+def positioned_captures(bands: DataFrame, positions: DataFrame) -> DataFrame:
+    """Flight captures whose reference file has a position (survey, file, lat, lon)."""
+    placed = positions.filter("lat is not null and lon is not null").select("survey", "file")
+    return flight_captures(bands).join(reference_files(bands).join(placed, ["survey", "file"], "left_semi"), ["survey", "capture"]).select("survey", "capture", "file")
+
+
+def output_bands(bands: DataFrame) -> DataFrame:
+    """(survey, rig_index, wavelength, place): bands of the commonest signature in the order of wavelength (unknown first), without the panchromatic and thermal ones."""
+    full = classify_captures(bands).filter("complete").select("survey", "capture")
+    of = bands.join(full, ["survey", "capture"], "left_semi").filter("lower(band) not in ('panchro', 'lwir')").groupBy("survey", "rig_index").agg(F.min("wavelength").alias("wavelength"))
+    return of.withColumn("place", F.row_number().over(Window.partitionBy("survey").orderBy(F.coalesce("wavelength", F.lit(0.0)), "rig_index")))
+
+
+def every_nth(rows: DataFrame, order: str, most: int = 10) -> DataFrame:
+    """At most `most` rows of each survey, spread evenly over the order."""
+    placed = rows.withColumn("place", F.row_number().over(Window.partitionBy("survey").orderBy(order)) - 1)
+    size = rows.groupBy("survey").agg(F.greatest(F.lit(1), F.floor(F.count("*") / most).cast("int")).alias("step"))
+    return placed.join(size, "survey").filter((F.col("place") % F.col("step") == 0) & (F.col("place") / F.col("step") < most)).drop("place", "step")

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .grids import labels_of
@@ -88,3 +88,24 @@ def normalize_masks(masks: DataFrame) -> DataFrame:
     classes = (F.size(F.array_except("values", F.array(*map(F.lit, (0, 1, 2))))) == 0) & F.array_contains("values", 2)
     value = F.when(percent, F.expr("cast(mask div 100 as int)")).when(classes, F.col("mask")).otherwise(F.when(F.col("mask") > 0, 2).otherwise(0))
     return masks.join(kind, "survey").withColumn("mask", value.cast("int")).drop("values")
+
+
+def largest_bodies(bodies: DataFrame, most: int = 10) -> DataFrame:
+    """The bodies of most cells of each survey, ties by label: a bounded report."""
+    return bodies.withColumn("place", F.row_number().over(Window.partitionBy("survey").orderBy(F.desc("cells"), "label"))).filter(F.col("place") <= most)
+
+
+def masks_of(masks: DataFrame, images: DataFrame) -> DataFrame:
+    """Given masks of images (survey, image) that are there."""
+    return masks.join(images.select("survey", "image").distinct(), ["survey", "image"], "left_semi")
+
+
+def mode_of(text: Column) -> Column:
+    """A mode as it is written, in any case; none is auto. Null for an unknown one."""
+    m = F.lower(F.trim(F.coalesce(text, F.lit("auto"))))
+    return F.when(m.isin(*MODES), m)
+
+
+def decided(mode: Column, fraction: Column) -> Column:
+    """Whether water is treated: as the mode says, or by the share of water where one was found."""
+    return (mode != "off") & fraction.isNotNull() & ((mode == "on") | (fraction >= AUTO))

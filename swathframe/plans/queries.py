@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import camera, geodesy, indices, scalars
 from ..operators import coverage, grids, mosaic, observations, radiometry, rays, scan, sfm, surface, water
 from ..sources import exports
+from . import options
 from .scratch import Rounds
 from .views import view, with_views
 
@@ -1009,6 +1010,203 @@ def hashed_sample(spark, sf_dir):
     return rounded(observations.hashed_sample(e, "key", 20, by="image_id").drop("key"))
 
 
+# ---- bands, tiles and reports ----
+
+
+@query(
+    """WITH b AS (SELECT *, concat('F', capture, '_', rig_index) AS file FROM captures), r AS (SELECT survey, arg_min(rig_index, abs(wavelength - 560) * 100 + rig_index) AS rig_index FROM captures GROUP BY survey)
+SELECT survey, min(file) AS file, capture FROM b JOIN r USING (survey, rig_index) GROUP BY survey, capture""",
+    ("captures",),
+)
+def reference_files(spark, sf_dir):
+    return scan.reference_files(_band_files(spark, sf_dir))
+
+
+def _band_files(spark, sf_dir) -> DataFrame:
+    return view(spark, sf_dir, "captures").withColumn("file", F.concat(F.lit("F"), F.col("capture").cast("string"), F.lit("_"), F.col("rig_index").cast("string")))
+
+
+@query(
+    """WITH g AS (SELECT survey, capture, list_sort(list(DISTINCT rig_index)) AS s, bool_or(panel) AS panel FROM captures GROUP BY ALL),
+f AS (SELECT survey, s AS fullset, row_number() OVER (PARTITION BY survey ORDER BY count(*) DESC, min(capture)) AS rn FROM g GROUP BY survey, s),
+l AS (SELECT g.survey, capture FROM g JOIN f ON f.survey = g.survey AND rn = 1 WHERE NOT panel AND len(list_intersect(s, fullset)) = len(fullset)),
+r AS (SELECT survey, arg_min(rig_index, abs(wavelength - 560) * 100 + rig_index) AS rig_index FROM captures GROUP BY survey)
+SELECT DISTINCT l.survey, l.capture, concat('F', l.capture, '_', c.rig_index) AS file FROM l JOIN r ON r.survey = l.survey JOIN captures c ON c.survey = l.survey AND c.capture = l.capture AND c.rig_index = r.rig_index WHERE l.capture % 3 <> 0""",
+    ("captures",),
+)
+def positioned_captures(spark, sf_dir):
+    bands = _band_files(spark, sf_dir)
+    places = bands.select("survey", "file", F.lit(37.0).alias("lat"), F.when(F.col("capture") % 3 != 0, 127.0).alias("lon"))
+    return scan.positioned_captures(bands, places)
+
+
+@query(
+    """WITH g AS (SELECT survey, capture, list_sort(list(DISTINCT rig_index)) AS s FROM captures GROUP BY ALL),
+f AS (SELECT survey, s AS fullset, row_number() OVER (PARTITION BY survey ORDER BY count(*) DESC, min(capture)) AS rn FROM g GROUP BY survey, s),
+l AS (SELECT g.survey, capture FROM g JOIN f ON f.survey = g.survey AND rn = 1 WHERE len(list_intersect(s, fullset)) = len(fullset)),
+o AS (SELECT c.survey, rig_index, min(wavelength) AS wavelength FROM captures c JOIN l ON l.survey = c.survey AND l.capture = c.capture GROUP BY ALL)
+SELECT survey, rig_index, wavelength, row_number() OVER (PARTITION BY survey ORDER BY wavelength, rig_index)::INTEGER AS place FROM o""",
+    ("captures",),
+)
+def output_bands(spark, sf_dir):
+    return scan.output_bands(view(spark, sf_dir, "captures"))
+
+
+@query("WITH c AS (SELECT DISTINCT survey, capture FROM captures), p AS (SELECT *, row_number() OVER (PARTITION BY survey ORDER BY capture) - 1 AS k, greatest(1, count(*) OVER (PARTITION BY survey) // 10) AS step FROM c) SELECT survey, capture FROM p WHERE k % step = 0 AND k // step < 10", ("captures",))
+def spread_captures(spark, sf_dir):
+    return scan.every_nth(view(spark, sf_dir, "captures").select("survey", "capture").distinct(), "capture")
+
+
+@query("SELECT view, survey, tx, ty, row_number() OVER (PARTITION BY survey, view ORDER BY ty // 4, tx // 4, ty, tx)::INTEGER AS place FROM frames, range(0, 30) a(tx), range(0, 30) b(ty) WHERE x0 < (tx + 1) * 25 AND x1 > tx * 25 AND y0 < (ty + 1) * 25 AND y1 > ty * 25", ("frames",))
+def tile_order(spark, sf_dir):
+    tiles = mosaic.tiles_of_views(view(spark, sf_dir, "frames"), 25.0)
+    return tiles.withColumn("place", F.row_number().over(Window.partitionBy("survey", "view").orderBy(mosaic.tile_order(F.col("tx"), F.col("ty")))))
+
+
+@query("""SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'true_color' WHEN 1 THEN 'false_color' ELSE 'gray' END AS kind, CASE event_id % 3 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS red, CASE event_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 0 END AS green FROM events""")
+def preview_bands(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    names = F.when(F.col("event_id") % 3 == 0, F.array(*map(F.lit, ("Blue", "Green ", "RED", "NIR")))).when(F.col("event_id") % 3 == 1, F.array(*map(F.lit, ("Green", "nir", "Red")))).otherwise(F.array(*map(F.lit, ("Panchro", "LWIR"))))
+    p = e.select("event_id", mosaic.preview_bands(names).alias("p"))
+    return p.select("event_id", "p.kind", F.col("p.indices")[0].alias("red"), F.col("p.indices")[1].alias("green"))
+
+
+@query("SELECT survey, row * 100 + col AS label, count(*) AS cells, place FROM (SELECT *, row_number() OVER (PARTITION BY survey ORDER BY n DESC, row * 100 + col) AS place FROM (SELECT survey, row, col, count(*) AS n FROM looks GROUP BY ALL)) JOIN looks USING (survey, row, col) WHERE place <= 10 GROUP BY ALL", ("looks",))
+def largest_bodies(spark, sf_dir):
+    n = view(spark, sf_dir, "looks").groupBy("survey", (F.col("row") * 100 + F.col("col")).alias("label")).agg(F.count("*").alias("cells"))
+    return water.largest_bodies(n).withColumn("place", F.col("place").cast("long"))
+
+
+@query("SELECT survey, image, v, u, mask FROM masks WHERE (survey, image) IN (SELECT quality::BIGINT, doc_id % 12 FROM labels WHERE toxic = 1)", ("masks",))
+def masks_of_images(spark, sf_dir):
+    images = spark.read.parquet(f"{sf_dir}/labels.parquet").filter("toxic = 1").select(F.col("quality").cast("long").alias("survey"), (F.col("doc_id") % 12).alias("image"))
+    return water.masks_of(view(spark, sf_dir, "masks"), images)
+
+
+@query("SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'on' WHEN 1 THEN 'off' WHEN 4 THEN NULL ELSE 'auto' END AS mode, coalesce(CASE event_id % 5 WHEN 0 THEN event_id % 7 <> 0 WHEN 1 THEN false WHEN 4 THEN NULL ELSE event_id % 7 <> 0 AND event_id % 11 * 0.01 >= 0.05 END, event_id % 7 = 0 AND NULL, false) AS treated FROM events")
+def water_modes(spark, sf_dir):
+    e = F.col("event_id")
+    text = F.when(e % 5 == 0, " On").when(e % 5 == 1, "OFF ").when(e % 5 == 2, "auto").when(e % 5 == 4, "maybe")
+    m = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", water.mode_of(text).alias("mode"), F.when(e % 7 != 0, e % 11 * 0.01).alias("f"))
+    return m.select("event_id", "mode", F.coalesce(water.decided(F.col("mode"), F.col("f")), F.lit(False)).alias("treated"))
+
+
+# ---- camera parts ----
+
+
+@query(f"WITH {_TURNED}, a AS (SELECT image_id, acos(greatest(-1, least(1, (r0 + r4 + r8 - 1) / 2))) AS t, r7 - r5 AS x, r2 - r6 AS y, r3 - r1 AS z FROM m) SELECT image_id, round(t / (2 * sin(t)) * x, 7) + 0.0 AS x, round(t / (2 * sin(t)) * y, 7) + 0.0 AS y, round(t / (2 * sin(t)) * z, 7) + 0.0 AS z FROM a WHERE abs(sin(t)) > 1e-2", ("posed",))
+def rotation_vectors(spark, sf_dir):
+    t = _turned(spark, sf_dir).withColumn("v", camera.rotation_vector(F.col("r")))
+    t = t.filter("abs(sin(acos(greatest(-1, least(1, (r[0] + r[4] + r[8] - 1) / 2))))) > 1e-2")
+    return rounded(t.select("image_id", *(F.col("v")[i].alias(c) for i, c in enumerate("xyz"))), 7)
+
+
+@query(f"WITH {_TURNED} SELECT image_id, round(3e3 * r0 + 19995e-1 * r6, 6) + 0.0 AS p0, round(-3e3 * (r0 * cx + r1 * cy + r2 * cz) - 19995e-1 * (r6 * cx + r7 * cy + r8 * cz), 4) + 0.0 AS p3, round(3e3 * r4 + 14995e-1 * r7, 6) + 0.0 AS p5, round(r8, 9) AS p10, round(-(r6 * cx + r7 * cy + r8 * cz), 6) + 0.0 AS p11 FROM m", ("posed",))
+def projection_matrices(spark, sf_dir):
+    t = _turned(spark, sf_dir)
+    t = t.select("image_id", camera.projection_matrix(camera.matrix(F.col("lens")), F.col("r"), F.col("t")).alias("p"))
+    t = t.select("image_id", *(F.col("p")[i].alias(f"p{i}") for i in (0, 3, 5, 10, 11)))
+    return t.select("image_id", *((F.round(f"p{i}", d) + F.lit(0.0)).alias(f"p{i}") for i, d in ((0, 6), (3, 4), (5, 6), (10, 9), (11, 6))))
+
+
+@query(f"WITH {_TURNED} SELECT image_id, round(r0 * 25e0 + r1 * 10 - r2 * 5 - (r0 * cx + r1 * cy + r2 * cz), 6) + 0.0 AS x, round(r6 * 25e0 + r7 * 10 - r8 * 5 - (r6 * cx + r7 * cy + r8 * cz), 6) + 0.0 AS z FROM m", ("posed",))
+def camera_coordinates(spark, sf_dir):
+    t = _turned(spark, sf_dir)
+    p = camera.to_camera(F.col("r"), F.col("t"), F.lit(25.0), F.lit(10.0), F.lit(-5.0))
+    return rounded(t.select("image_id", p[0].alias("x"), p[2].alias("z")))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity * 100 >= 0 AND l_quantity * 100 < 4000 AND l_extendedprice / 10 >= 0 AND l_extendedprice / 10 < 3000 AS shown FROM lineitem")
+def pixels_in_image(spark, sf_dir):
+    t = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return t.select(*_KEYS, camera.in_image(F.col("l_quantity") * 100, F.col("l_extendedprice") / 10, F.lit(4000), F.lit(3000)).alias("shown"))
+
+
+_RIG = "a AS (SELECT image_id, radians(image_id % 9 - 4) AS a, radians(image_id % 5 - 2) AS b, radians(image_id % 11 - 5) AS c FROM posed)"
+
+
+@query(f"WITH {_RIG} SELECT image_id, round(cos(b) * cos(c), 9) AS r0, round(-cos(b) * sin(c), 9) + 0.0 AS r1, round(sin(b), 9) + 0.0 AS r2, round(cos(a) * sin(c) + sin(a) * sin(b) * cos(c), 9) + 0.0 AS r3, round(-sin(a) * cos(b), 9) + 0.0 AS r5, round(cos(a) * cos(b), 9) AS r8 FROM a", ("posed",))
+def rig_rotations(spark, sf_dir):
+    i = F.col("image_id")
+    p = view(spark, sf_dir, "posed").select("image_id", camera.rig_rotation(i % 9 - 4, i % 5 - 2, i % 11 - 5).alias("r"))
+    return rounded(p.select("image_id", *(F.col("r")[k].alias(f"r{k}") for k in (0, 1, 2, 3, 5, 8))), 9)
+
+
+@query(f"WITH {_RIG} SELECT image_id, round(cos(c) * cos(b), 9) AS r0, round(sin(c) * cos(a) + cos(c) * sin(b) * sin(a), 9) + 0.0 AS r3_of_transposed, round(cos(a) * cos(b), 9) AS r8 FROM a", ("posed",))
+def band_rotations(spark, sf_dir):
+    """From the reference camera to a band's, the reference being the rig itself: the rig rotation turned back."""
+    i = F.col("image_id")
+    rig = camera.rig_rotation(i % 9 - 4, i % 5 - 2, i % 11 - 5)
+    one = F.array(*(F.lit(float(k in (0, 4, 8))) for k in range(9)))
+    p = view(spark, sf_dir, "posed").select("image_id", camera.band_from_reference(rig, one).alias("r"))
+    return rounded(p.select("image_id", F.col("r")[0].alias("r0"), F.col("r")[1].alias("r3_of_transposed"), F.col("r")[8].alias("r8")), 9)
+
+
+@query(
+    """WITH p AS (SELECT event_id, event_id % 6 AS m, 1e3 + event_id % 50 AS a, 5e2 + event_id % 7 AS b, 4e2 + event_id % 3 AS c, 3e2 + event_id % 9 AS d FROM events)
+SELECT event_id, a AS fx, CASE WHEN m IN (0, 2, 3) THEN a ELSE b END AS fy, CASE WHEN m IN (0, 2, 3) THEN b ELSE c END - 0.5 AS cx, CASE WHEN m IN (0, 2, 3) THEN c ELSE d END - 0.5 AS cy, CASE WHEN m IN (2, 3) THEN d WHEN m IN (4, 5) THEN 1e-2 ELSE 0 END AS k1, CASE WHEN m = 3 THEN 1e-2 WHEN m IN (4, 5) THEN 2e-2 ELSE 0 END AS k2, CASE WHEN m IN (4, 5) THEN 3e-2 ELSE 0 END AS p1, CASE WHEN m = 5 THEN 5e-2 ELSE 0 END AS k3 FROM p"""
+)
+def lens_models(spark, sf_dir):
+    """K and distortion of each lens model's parameters."""
+    e = F.col("event_id")
+    model = F.element_at(F.array(*map(F.lit, ("SIMPLE_PINHOLE", "PINHOLE", "SIMPLE_RADIAL", "RADIAL", "OPENCV", "FULL_OPENCV"))), (e % 6 + 1).cast("int"))
+    params = F.array(1000.0 + e % 50, 500.0 + e % 7, 400.0 + e % 3, 300.0 + e % 9, *(F.lit(v) for v in (0.01, 0.02, 0.03, 0.04, 0.05)))
+    c = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", camera.intrinsics(model, params).alias("c"))
+    c = c.select("event_id", camera.matrix(F.col("c")).alias("k"), camera.distortion(F.col("c")).alias("d"))
+    return c.select("event_id", *(F.col("k")[i].alias(n) for n, i in (("fx", 0), ("fy", 4), ("cx", 2), ("cy", 5))), *(F.col("d")[i].alias(n) for n, i in (("k1", 0), ("k2", 1), ("p1", 2), ("k3", 4))))
+
+
+@query("SELECT event_id, concat(1000 + event_id % 50, ',1500.25,640,480.5,-0.1,0.0', event_id % 9 + 1, ',0,0,0,0,0,0') AS params FROM events")
+def lens_texts(spark, sf_dir):
+    e = F.col("event_id")
+    lens = camera.intrinsics(F.lit("FULL_OPENCV"), F.array(1000.0 + e % 50, *(F.lit(v) for v in (1500.25, 640.0, 480.5, -0.1)), (e % 9 + 1) * 0.01, *(F.lit(0.0),) * 3))
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", camera.lens_text(lens).alias("params"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(floor((l_extendedprice - 7) / 25e-1 + 1e-9) * 25e-1 + 7, 6) AS low, round(ceil((l_extendedprice - 7) / 25e-1 - 1e-9) * 25e-1 + 7, 6) AS high FROM lineitem")
+def snapped_bounds(spark, sf_dir):
+    t = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    side = lambda up: options.snap(F.col("l_extendedprice"), F.lit(2.5), F.lit(7.0), up)
+    return rounded(t.select(*_KEYS, side(False).alias("low"), side(True).alias("high")))
+
+
+@query("SELECT file, file || '.jpg' AS proxy, file AS back FROM shots", ("shots",))
+def proxy_names(spark, sf_dir):
+    p = view(spark, sf_dir, "shots").select("file", scalars.proxy_name(F.col("file")).alias("proxy"))
+    return p.select("file", "proxy", scalars.file_of_proxy(F.col("proxy")).alias("back"))
+
+
+@query("SELECT event_id, 'keep' AS names FROM events")
+def dropped_outputs(spark, sf_dir):
+    m = F.create_map(F.lit("indices"), F.lit("a"), F.lit("keep"), F.lit("b"), F.lit("index_preview"), F.lit("c"))
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.array_join(F.map_keys(scalars.drop_keys(m, ["indices", "index_previews", "index_preview"])), ",").alias("names"))
+
+
+@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'NDVI,EVI' WHEN 1 THEN 'NDRE' WHEN 2 THEN '' ELSE 'NDVI,GNDVI,CIg' END AS chosen FROM events")
+def chosen_indices(spark, sf_dir):
+    e = F.col("event_id")
+    asked = F.when(e % 4 == 0, F.array(F.lit("evi "), F.lit("NDVI"), F.lit("ndvi"))).when(e % 4 == 1, F.array(F.lit("Ndre"))).when(e % 4 == 2, F.array(F.lit("none"))).otherwise(F.array(*map(F.lit, ("cig", "gndvi", "ndvi"))))
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.array_join(scalars.in_registry_order(list(indices.REGISTRY), asked), ",").alias("chosen"))
+
+
+@query(
+    """WITH p AS (SELECT point_id AS gcp, image_id, u, v FROM measured WHERE u >= 0 AND u < 4000 AND v >= 0 AND v < 3000), d AS (SELECT gcp, image_id, min(u) AS u, min(v) AS v FROM p GROUP BY ALL),
+c AS (SELECT gcp, image_id, image_id % 5 = 0 AS marked, sqrt(pow((u - 2000) / 4000, 2) + pow((v - 1500) / 3000, 2)) AS center_dist FROM d)
+SELECT gcp, image_id, marked, round(center_dist, 7) AS center_dist, row_number() OVER (PARTITION BY gcp ORDER BY marked DESC, round(center_dist, 9), image_id)::INTEGER AS place FROM c""",
+    ("measured",),
+)
+def marking_candidates(spark, sf_dir):
+    p = view(spark, sf_dir, "measured").filter(camera.in_image(F.col("u"), F.col("v"), F.lit(4000), F.lit(3000))).groupBy(F.col("point_id").alias("gcp"), "image_id").agg(F.min("u").alias("u"), F.min("v").alias("v"))
+    out = observations.candidates(p.withColumns({"width": F.lit(4000), "height": F.lit(3000)}), p.filter("image_id % 5 = 0"))
+    return rounded(out.select("gcp", "image_id", "marked", "center_dist", "place"), 7)
+
+
+@query("SELECT CASE WHEN count(DISTINCT e) = 1 AND min(e) <> 4326 THEN min(e) ELSE 32652 END AS epsg FROM (SELECT 5186 AS e FROM part WHERE p_partkey % 3 <> 0)")
+def target_system(spark, sf_dir):
+    p = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.when(F.col("p_partkey") % 3 == 0, "check").otherwise("control").alias("role"), F.when(F.col("p_partkey") % 3 == 0, 4326).otherwise(5186).alias("epsg"))
+    return observations.target_system(p, 32652, [4326])
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
