@@ -4,6 +4,7 @@ import struct
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from swathframe.errors import InputError
 from swathframe.sources import control, headers, photos
@@ -201,3 +202,51 @@ def test_outlines():
     bend = np.array([[1, 1, 1], [1, 0, 0], [1, 1, 1]], bool)
     assert [area(r) for r in exports.outlines(bend, 0.0, 0.0, 1.0)] == [7.0]
     assert exports.png_bytes(np.zeros((2, 3), np.uint8))[:4] == b"\x89PNG"
+
+
+def test_rasters(spark, tmp_path):
+    from swathframe.sources import rasters
+
+    p = np.arange(24, dtype=np.float32).reshape(4, 6)
+    p[0, 0] = np.nan
+    (tmp_path / "dsm.tif").write_bytes(headers.tiff_bytes(p, 100.0, 200.0, 2.0, 5186))
+    g = rasters.georeferences(spark, str(tmp_path / "dsm.tif")).first()
+    assert (g.west, g.north, g.res, g.rows, g.cols, g.epsg, g.names) == (100.0, 200.0, 2.0, 4, 6, 5186, ["band1"])
+    cells, grids = rasters.read_surface(spark, str(tmp_path / "dsm.tif"))
+    assert {(r.row, r.col): r.z for r in cells.collect()} == {(i, j): float(p[i, j]) for i in range(4) for j in range(6) if i or j}
+    assert (grids.first().x0, grids.first().y0) == (101.0, 199.0)
+    part = rasters.read_cells(spark, str(tmp_path / "dsm.tif"), bounds=(103.0, 192.0, 106.0, 196.0)).collect()
+    assert sorted((r.row, r.col) for r in part) == [(2, 1), (2, 2), (3, 1), (3, 2)]
+    small = {(r.row, r.col): (r.x, r.y, r["values"][0]) for r in rasters.read_cells(spark, str(tmp_path / "dsm.tif"), shrink=2).collect()}
+    assert len(small) == 6 and small[0, 0] == pytest.approx((102.0, 198.0, (1 + 6 + 7) / 3)) and small[1, 2] == pytest.approx((110.0, 194.0, p[2:, 4:].mean()))
+    rgba = np.arange(16, dtype=np.uint8).reshape(2, 2, 4)
+    (tmp_path / "o").mkdir()
+    (tmp_path / "o" / "ortho.tif").write_bytes(headers.tiff_bytes(rgba, 0.0, 10.0, 1.0, 32652))
+    row = rasters.read_cells(spark, str(tmp_path / "o")).filter("row = 1 and col = 0").select(rasters.reordered(F.col("values"), "bgr").alias("v")).first()
+    assert row.v == [10.0, 9.0, 8.0]
+    with pytest.raises(InputError):
+        rasters.reordered(F.col("values"), "gray")
+    (tmp_path / "i").mkdir()
+    for name, k in (("OWN", 3), ("ndre", 2), ("NDVI", 1)):
+        (tmp_path / "i" / f"{name}.tif").write_bytes(headers.tiff_bytes(np.full((2, 2), k, np.float32), 0.0, 2.0, 1.0, 5186))
+    assert rasters.index_order(["OWN", "ndre", "NDVI"]) == ["NDVI", "NDRE", "OWN"]
+    assert {r.value for r in rasters.read_indices(spark, str(tmp_path / "i"), "ndre").collect()} == {2.0} and rasters.read_indices(spark, str(tmp_path / "i")).count() == 12
+    with pytest.raises(InputError):
+        rasters.read_indices(spark, str(tmp_path / "i"), "EVI")
+
+
+def test_notes_of_rasters():
+    from swathframe.sources import rasters
+
+    data = bytearray(headers.tiff_bytes(np.zeros((1, 1, 2), np.uint8)))
+    assert rasters.georeference(bytes(data))["names"] == ["band1", "band2"] and rasters.georeference(bytes(data))["west"] is None
+
+
+def test_many_control_files(spark, tmp_path):
+    """A folder of files in different readings is one scan."""
+    (tmp_path / "a.csv").write_text("pt,east,north,el\nA,1,2,3\n")
+    (tmp_path / "b.csv").write_bytes("측점\t위도\t경도\t고도\nB\t37.5\t127.1\t9\n".encode("cp949"))
+    (tmp_path / "c.csv").write_text("# no rows\n")
+    (tmp_path / "d.csv").write_text("A1 1,000.5 2,000.5 3\nA2 1,001 2,001 4\n")
+    rows = control.load_points(spark, str(tmp_path), 5186).collect()
+    assert sorted((r.file.rsplit("/", 1)[-1], r.name, r.x, r.y, r.z) for r in rows) == [("a.csv", "A", 1.0, 2.0, 3.0), ("b.csv", "B", 127.1, 37.5, 9.0), ("d.csv", "A1", 1000.5, 2000.5, 3.0), ("d.csv", "A2", 1001.0, 2001.0, 4.0)]
