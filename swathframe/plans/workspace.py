@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..errors import InputError, ProjectError
 from ..functions import geodesy, indices
 from ..functions.scalars import version_parts
-from ..operators import coverage, mosaic, observations, rays, scan, sfm, surface
+from ..operators import coverage, mosaic, observations, rays, scan, sfm, surface, water, waterimage
 from ..streaming.events import Reporter
 from .options import GridOptions, PreviewOptions, gridded, refuse
 
@@ -217,9 +217,69 @@ class Project:
     def set_surface(self, cells: DataFrame, x0: float, y0: float, res: float, rows: int, cols: int) -> None:
         """Keeps a surface (row, col, z; x0, y0 at the first cell's centre, rows downward) for rays and rendering."""
         refuse(not res > 0 or rows < 1 or cols < 1, "a surface has cells")
+        self.store.delete("tables/surface_dry")
         self.store.write("surface", cells.select("row", "col", "z"))
         self.store.put("surface", {"x0": float(x0), "y0": float(y0), "res": float(res), "rows": int(rows), "cols": int(cols)})
 
+    # ---- water ----
+
+    def set_water_masks(self, masks: DataFrame | None) -> None:
+        """Keeps masks (image: a photo's name, v, u, mask) of one's own, which detection leaves alone; None drops them."""
+        self.store.delete("tables/masks")
+        self.store.delete("docs/masks")
+        if masks is not None:
+            self.store.write("masks", water.normalize_masks(masks.select(F.lit("").alias("survey"), "image", "v", "u", "mask")).select("image", "v", "u", "mask"))
+            self.store.put("masks", {"source": "user"})
+
+    def water_masks(self) -> DataFrame | None:
+        return self.store.table("masks") if self.store.exists("tables/masks") else None
+
+    def detect_water(self, images: DataFrame, **how) -> None:
+        """Masks of decoded images (Spark's image source), unless there are some of one's own."""
+        if (self.store.get("masks") or {}).get("source") != "user":
+            self.store.write("masks", waterimage.detect(images, "", **how).select("image", "v", "u", "mask"))
+            self.store.put("masks", {"source": "auto"})
+
+    def treat_water(self, mode: str = "auto", tile: float = 64.0) -> dict:
+        """Levels the surface under water that the masks of the posed photos vote for, and tells what was done.
+
+        mode: on, off, or auto (by the masks' share of water). The surface before is kept, so that treating again starts from it.
+        """
+        refuse(mode.strip().lower() not in water.MODES, f"mode is one of {', '.join(water.MODES)}")
+        mode, grid, masks = mode.strip().lower(), self.store.get("surface"), self.water_masks()
+        if grid is None:
+            raise ProjectError("the workspace has no surface", "not_rendered")
+        if not self.store.exists("tables/surface_dry"):
+            self.store.write("surface_dry", self.store.table("surface"))
+        dry = self.store.table("surface_dry")
+        self.store.write("surface", dry)
+        info = {"mode": mode, "source": (self.store.get("masks") or {}).get("source"), "active": False, "bodies": []}
+        photos = self.reconstruction()["images"].filter("has_pose").select("image_id", F.col("name").alias("image"))
+        if masks is not None and mode != "off":
+            mine = water.masks_of(masks.withColumn("survey", F.lit("")), photos.withColumn("survey", F.lit("")))
+            found = water.summarize(mine).first()
+            if found is not None:
+                info |= {"fraction": round(found.fraction, 6), "images_with_water": found.images_with_water}
+                info["active"] = self.spark.range(1).select(water.decided(F.lit(mode), F.lit(found.fraction))).first()[0]
+        if info["active"]:
+            size = mine.groupBy("image").agg((F.max("v") + 1).alias("mask_rows"), (F.max("u") + 1).alias("mask_cols")).join(photos, "image")
+            r = self.reconstruction()
+            seen = self.look(tile).join(size.withColumnRenamed("image_id", "view"), "view")
+            at = lambda c, n, full: F.least(F.floor(F.col(c) * F.col(n) / F.col(full)), F.col(n) - 1).cast("int")
+            seen = seen.select("survey", "row", "col", "view", "image", at("v", "mask_rows", "height").alias("mv"), at("u", "mask_cols", "width").alias("mu"))
+            voted = water.cell_votes(seen.join(mine.select("image", F.col("v").alias("mv"), F.col("u").alias("mu"), "mask"), ["image", "mv", "mu"]))
+            cells = dry.select(F.lit("").alias("survey"), "row", "col").join(voted.select("survey", "row", "col", "candidate"), ["survey", "row", "col"], "left").withColumn("candidate", F.coalesce("candidate", F.lit(False)))
+            place = lambda d: F.floor(d / grid["res"] + 0.5).cast("int")
+            points = r["points"].select(F.lit("").alias("survey"), place(F.lit(grid["y0"]) - F.col("y")).alias("row"), place(F.col("x") - F.lit(grid["x0"])).alias("col"), "z")
+            labelled = self.store.write("water_cells", water.label_cells(cells))
+            # stored, since what they are made from reads the surface that is replaced below
+            bodies = self.store.write("water_bodies", water.water_bodies(labelled, water.point_density(points, cells), points, grid["res"])).filter("accepted")
+            wet = labelled.join(bodies, ["survey", "label"]).select("survey", "row", "col", "level")
+            self.store.write("surface", surface.flatten(dry.withColumn("survey", F.lit("")), wet).select("row", "col", "z"))
+            info["bodies"] = [{"label": b.label, "cells": b.cells, "level_m": b.level, "area_m2": b.cells * grid["res"] ** 2} for b in water.largest_bodies(bodies).orderBy("place").collect()]
+        self.store.put("water", info)
+        return info
+
     # ---- edits ----
 
     def edits(self) -> dict:
@@ -328,7 +388,7 @@ class Project:
 
     def report(self) -> dict:
         """Align, render and refine reports in one; warnings each once and in order."""
-        parts = {k: self.store.get(k) for k in ("align", "preview", "render", "refine")}
+        parts = {k: self.store.get(k) for k in ("align", "preview", "water", "render", "refine")}
         said = [w for p in parts.values() if p for w in p.get("warnings", [])]
         return {"report_version": REPORT_VERSION, **{k: v for k, v in parts.items() if v}, "warnings": list(dict.fromkeys(said))}
 

@@ -177,6 +177,49 @@ def test_options():
     assert snapped((0.05, 0.0, 0.95, 1.0), 0.1) == pytest.approx((0.0, 0.0, 1.0, 1.0))
 
 
+def test_masks_change_the_surface(spark, tmp_path):
+    """A pond whose cells the photos' masks show, with rough heights and no points inside, becomes level; masks of other photos do nothing."""
+    root = f"file://{tmp_path}/w"
+    p = Project(spark, root)
+    nadir = [1.0, 0.0, 0.0, 0.0, -1.0, 0.0, 0.0, 0.0, -1.0]
+    images = spark.createDataFrame([(i, f"{i}.JPG", 1, True, nadir, [-(40.0 + 20 * i), 50.0, 80.0]) for i in range(2)], "image_id long, name string, camera_id long, has_pose boolean, r array<double>, t array<double>")
+    cameras = spark.createDataFrame([(1, 4000, 3000, (1500.0, 1500.0, 2000.0, 1500.0, 0.0, 0.0, 0.0, 0.0, 0.0))], "camera_id long, width int, height int, lens struct<fx:double,fy:double,cx:double,cy:double,k1:double,k2:double,p1:double,p2:double,k3:double>")
+    pond = lambda x, y: abs(x - 50) < 13 and abs(y - 50) < 13
+    xyz = [(k, float(x), float(y), 3.0 + 0.01 * ((x + y) % 7)) for k, (x, y) in enumerate((x, y) for x in range(0, 101, 2) for y in range(0, 101, 2) if max(abs(x - 50), abs(y - 50)) > 14)]
+    points = spark.createDataFrame(xyz, "point_id long, x double, y double, z double")
+    obs = spark.createDataFrame([(k, i, k, 0.0, 0.0) for k, *_ in xyz[:5] for i in range(2)], "point_id long, image_id long, p2d_idx long, u double, v double")
+    p.align(points, images, cameras, obs, 5186)
+    with pytest.raises(ProjectError):
+        p.treat_water("on")
+    cells = [(r, c, 9.0 if pond(4.0 * c, 100 - 4.0 * r) else 3.0) for r in range(26) for c in range(26)]
+    p.set_surface(spark.createDataFrame(cells, "row int, col int, z double"), 0.0, 100.0, 4.0, 26, 26)
+    assert p.treat_water()["active"] is False
+
+    def mask(i):  # a photo's pixel on the ground, 80 m below, at the level of 3
+        for v in range(100):
+            for u in range(133):
+                x, y = 40 + 20 * i + ((u + 0.5) * 4000 / 133 - 2000) / 1500 * 77, 50 - ((v + 0.5) * 30 - 1500) / 1500 * 77
+                yield f"{i}.JPG", v, u, 200 * int(pond(x, y))
+
+    kind = "image string, v int, u int, mask int"
+    rows = [m for i in range(2) for m in mask(i)]
+    p.set_water_masks(spark.createDataFrame([("other.JPG", v, u, m) for _, v, u, m in rows], kind))
+    assert p.treat_water("on")["active"] is False
+    p.set_water_masks(spark.createDataFrame(rows, kind))
+    with pytest.raises(InputError):
+        p.treat_water("maybe")
+    info = p.treat_water("on")
+    assert info["active"] and info["source"] == "user" and len(info["bodies"]) == 1 and info["images_with_water"] == 2
+    level = info["bodies"][0]["level_m"]
+    z = {(r.row, r.col): r.z for r in p.store.table("surface").collect()}
+    deep = [(r, c) for r, c, _ in cells if abs(4 * c - 50) < 10 and abs(50 - 4 * r) < 10]
+    assert level == pytest.approx(3.03, abs=0.04) and all(z[k] == pytest.approx(level) for k in deep)
+    assert all(z[r, c] == 3.0 for r, c, _ in cells if abs(4 * c - 50) > 22 or abs(50 - 4 * r) > 22)
+    assert p.treat_water("off")["bodies"] == [] and {(r.row, r.col): r.z for r in p.store.table("surface").collect()} == {(r, c): h for r, c, h in cells}
+    p.set_water_masks(None)
+    assert p.water_masks() is None
+
+
 def test_workspace(spark, tmp_path):
     shots = spark.createDataFrame(
         [("s", f"{i:03d}.JPG", "m", "x", "k", 9.0, 24.0, 127.0 + i * 1e-4, 37.0, 100.0, 60.0, 10.0, 10.0, -90.0, 50, 4000, 3000, True, f"2024:01:01 00:00:{i:02d}") for i in range(6)],
