@@ -58,11 +58,15 @@ def footprint_vertices(poses: DataFrame, samples: int = 5) -> DataFrame:
 
 
 def footprints(poses: DataFrame, samples: int = 5) -> DataFrame:
-    """(survey, file, polygon, box): polygon is an array of (x, y); made in place, without an exchange."""
+    """(survey, file, polygon, box): polygon is an array of (x, y).
+
+    A pose is few bytes and much work, here and in what counts footprints, so poses are dealt out over all partitions first.
+    """
 
     # in steps, so that each vertex computes its direction and reach once
     c = F.col
-    p = poses.withColumn("axes", camera_axes(c("yaw"), c("pitch")))
+    spread = int(poses.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    p = poses.repartition(spread, "survey", "file").withColumn("axes", camera_axes(c("yaw"), c("pitch")))
     fx, fy = (lambda b: (b["u"] - c("width") / 2.0) / c("focal")), (lambda b: (b["v"] - c("height") / 2.0) / c("focal"))
     along = lambda b, i: fx(b) * c("axes.x")[i] + fy(b) * c("axes.y")[i] + c("axes.z")[i]
     p = p.withColumn("ways", F.transform(border_points(c("width"), c("height"), samples), lambda b: F.struct(along(b, 0).alias("x"), along(b, 1).alias("y"), F.least(along(b, 2), F.lit(-LEAST_DOWN)).alias("z"))))
