@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import math
+from functools import partial
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .quantiles import quantile
-
 #: Share of the full scale from which a pixel counts as saturated.
 SATURATED = 0.98
 MODES = ("auto", "dls", "dls+panel", "panel", "radiance")
+#: Lists of a point's captures (by number) and values, its last mean. Distances that are gathered one by one at most.
+STATE, EXACT = "c array<int>, v array<double>, m double", 1 << 16
 
 
 def smooth_irradiance(series: DataFrame, window: int = 5) -> DataFrame:
@@ -50,28 +54,100 @@ def reflectance_factors(flight: DataFrame, panels: DataFrame, modes: DataFrame)
     return rows.select("survey", "capture", "band", factor.alias("factor"))
 
 
-def gain_round(rows: DataFrame, prior: float, keep) -> DataFrame:
-    """One round of the gain solver on (point, capture, v, g, w): new g (centred) and w."""
-    p = Window.partitionBy("point")
-    m = rows.withColumn("m", F.sum(F.col("w") * (F.col("v") + F.col("g"))).over(p) / F.sum("w").over(p))
-    gains = m.groupBy("capture").agg((F.sum(F.col("w") * (F.col("m") - F.col("v"))) / (F.sum("w") + prior)).alias("g"))
-    mean = gains.agg(F.avg("g").alias("mean"))
-    gains = gains.crossJoin(F.broadcast(mean)).select("capture", (F.col("g") - F.col("mean")).alias("g"))  # one row beside each gain
-    d = keep(m.drop("g").join(gains, "capture").select("point", "capture", "v", "g", (F.col("v") + F.col("g") - F.col("m")).alias("d"), F.abs(F.col("v") + F.col("g") - F.col("m")).alias("off")))
-    scale = quantile(d, "off", 0.5, "m").select(F.greatest(F.lit(0.02), 1.4826 * F.col("m")).alias("s"))
-    z = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("d") / (4.685 * F.col("s"))))
-    return d.crossJoin(F.broadcast(scale)).select("point", "capture", "v", "g", F.pow(1 - z * z, 2).alias("w"))
+def _flat(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a batch of points: each row's capture (by number) and value, rows of each point, each point's last mean."""
+    sizes = pc.list_value_length(b.column("c")).to_numpy(zero_copy_only=False)
+    return *(b.column(k).flatten().to_numpy(zero_copy_only=False) for k in ("c", "v")), sizes, b.column("m").to_numpy(zero_copy_only=False)
+
+
+def _point_means(c, v, sizes, m, g: np.ndarray, scale: float) -> tuple[np.ndarray, np.ndarray]:
+    """Weight of each row by its distance to its point's last mean, and the points' new means; a point without weight keeps its mean."""
+    level = v + g[c]
+    z = np.clip((level - np.repeat(m, sizes)) / (4.685 * scale), -1, 1)
+    w, at = (1 - z * z) ** 2, np.cumsum(sizes) - sizes
+    total = np.add.reduceat(w, at)
+    return w, np.divide(np.add.reduceat(w * level, at), total, out=m.copy(), where=total > 0)
+
+
+def _numbered(batches, captures):
+    for b in batches:
+        c = pc.index_in(b.column("captures").flatten(), value_set=captures)
+        ends = pa.array(np.concatenate([[0], np.cumsum(pc.list_value_length(b.column("captures")).to_numpy(zero_copy_only=False))]), pa.int32())
+        lists = [pa.ListArray.from_arrays(ends, x) for x in (c, b.column("v").flatten())]
+        yield pa.RecordBatch.from_arrays([*lists, pa.array(np.zeros(b.num_rows))], ["c", "v", "m"])
+
+
+def _moved(batches, g, scale):
+    for b in batches:
+        if b.num_rows:
+            yield pa.RecordBatch.from_arrays([b.column("c"), b.column("v"), pa.array(_point_means(*_flat(b), g, scale)[1])], ["c", "v", "m"])
+
+
+def _capture_sums(batches, g, scale):
+    up, down = np.zeros(len(g)), np.zeros(len(g))
+    for b in batches:
+        if b.num_rows:
+            c, v, sizes, m = _flat(b)
+            w, new = _point_means(c, v, sizes, m, g, scale)
+            up += np.bincount(c, w * (np.repeat(new, sizes) - v), len(g))
+            down += np.bincount(c, w, len(g))
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(g), dtype=np.int32)), pa.array(up), pa.array(down)], ["c", "up", "down"])
+
+
+def _off_counts(batches, g, shift, held, held_shift):
+    """How many rows' distances to their points' means begin with which bits; only of those that begin with held ones, if any."""
+    bins, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for b in batches:
+        if b.num_rows:
+            c, v, sizes, m = _flat(b)
+            bits = np.abs(v + g[c] - np.repeat(m, sizes)).view(np.int64)  # of numbers from 0 these are in the numbers' order
+            if held is not None:
+                bits = bits[np.isin(bits >> held_shift, held)]
+            new, n = np.unique(bits >> shift, return_counts=True)
+            bins, where = np.unique(np.concatenate([bins, new]), return_inverse=True)
+            counts = np.bincount(where, np.concatenate([counts, n]), len(bins)).astype(np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array(bins), pa.array(counts)], ["bin", "n"])
+
+
+def _median_off(state: DataFrame, g: np.ndarray) -> float:
+    """The exact median of the distances: bits are counted from the top, then only below those that hold the middle ranks."""
+    shift, held, held_shift, ranks = 40, None, 0, None
+    while True:
+        t = state.mapInArrow(partial(_off_counts, g=g, shift=shift, held=held, held_shift=held_shift), "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).toArrow().sort_by("bin")
+        bins, ends = t.column("bin").to_numpy(), np.cumsum(t.column("n").to_numpy())
+        if ranks is None:
+            ranks = np.array([(ends[-1] - 1) // 2, ends[-1] // 2])
+        at = np.searchsorted(ends, ranks, side="right")
+        if not shift:
+            return float(bins[at].view(np.float64).mean())
+        before = ends[at[0] - 1] if at[0] else 0
+        held, held_shift, ranks = np.unique(bins[at]), shift, ranks - before
+        shift = 0 if ends[at[1]] - before <= EXACT else shift - 20
 
 
 def solve_capture_gains(values: DataFrame, keep, prior: float = 2.0, rounds: int = 25) -> DataFrame:
-    """(capture, gain) of log values (point, capture, v): robust, shrunken, centred; points of one row are left out.
+    """(capture, gain) of log values (point, capture, v): robust, shrunken, centred; points of one row and rows without a value are left out.
 
-    keep(df) cuts lineage (a written table) after each round, since a round reads its rows several times.
+    A point's rows are one row of lists, which is shuffled once and moves no more: a round reads the lists and writes them again with
+    the points' means. Gains (8 bytes a capture, beside the captures' names) are at the driver and with each task. keep(df) cuts
+    lineage (a written table); a kept table needs none but the one before it.
     """
-    rows = values.withColumn("k", F.count("*").over(Window.partitionBy("point"))).filter("k >= 2").select("point", "capture", "v", F.lit(0.0).alias("g"), F.lit(1.0).alias("w"))
-    for _ in range(rounds):
-        rows = keep(gain_round(rows, prior, keep))
-    return rows.groupBy("capture").agg(F.first("g").alias("gain"))
+    spark = values.sparkSession
+    points = values.filter("v is not null and capture is not null").groupBy("point").agg(F.collect_list(F.struct("capture", F.col("v").cast("double").alias("v"))).alias("rows")).filter("size(rows) >= 2")
+    points = keep(points.select(F.col("rows.capture").alias("captures"), F.col("rows.v").alias("v")))
+    names = points.select(F.explode("captures").alias("capture")).distinct().toArrow().column("capture").combine_chunks()
+    state = keep(points.mapInArrow(partial(_numbered, captures=names), STATE))
+    g, scale = np.zeros(len(names)), math.inf  # all weights are 1
+    for i in range(rounds if len(names) else 0):
+        sums = state.mapInArrow(partial(_capture_sums, g=g, scale=scale), "c int, up double, down double").groupBy("c").agg(F.sum("up").alias("up"), F.sum("down").alias("down")).toArrow().sort_by("c")
+        new = sums.column("up").to_numpy() / (sums.column("down").to_numpy() + prior)
+        new -= new.mean()
+        if i + 1 < rounds:
+            state = keep(state.mapInArrow(partial(_moved, g=g, scale=scale), STATE))
+            scale = max(0.02, 1.4826 * _median_off(state, new))
+        g = new
+    out = pa.table({"capture": names, "gain": pa.array(g)})
+    return spark.createDataFrame(out, f"capture {values.schema['capture'].dataType.simpleString()}, gain double")
 
 
 def capture_inconsistency(values: DataFrame, gains: DataFrame) -> DataFrame:

@@ -580,7 +580,7 @@ def capture_gain_round(spark, sf_dir):
 
 @query()
 def capture_gains(spark, sf_dir):
-    return radiometry.solve_capture_gains(view(spark, sf_dir, "levels"), Rounds(spark).keep)
+    return radiometry.solve_capture_gains(view(spark, sf_dir, "levels"), Rounds(spark, last=1).keep)
 
 
 @query(

@@ -22,20 +22,25 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Rounds:
-    """keep(df) writes a round's table and reads it back; the tables go when the process ends."""
+    """keep(df) writes a round's table and reads it back; the tables go when the process ends.
 
-    def __init__(self, spark: SparkSession):
-        self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/rounds-{uuid.uuid4().hex}", 0
+    last: so many tables stay, older ones go when a new one is written.
+    """
+
+    def __init__(self, spark: SparkSession, last: int | None = None):
+        self.spark, self.root, self.n, self.last = spark, f"{shared_dir(spark)}/rounds-{uuid.uuid4().hex}", 0, last
         atexit.register(self.drop)
 
     def keep(self, df: DataFrame) -> DataFrame:
         self.n += 1
         df.write.parquet(f"{self.root}/{self.n}")
+        if self.last and self.n > self.last:
+            self.drop(f"/{self.n - self.last}")
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{self.n}")
 
-    def drop(self) -> None:
+    def drop(self, table: str = "") -> None:
         try:
-            p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+            p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root + table)
             p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
         except Exception:  # noqa: BLE001  the session may have ended before
             pass

@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -141,6 +143,16 @@ def test_gains_are_found(spark):
     assert np.array([got[c] for c in range(8)]) == pytest.approx(truth - truth.mean(), abs=0.03)
 
 
+def test_gains_keep_one_table(spark):
+    """Disk does not grow with rounds, rows without a value and points of one row change nothing, weights that vanish are no error."""
+    rows = [(p, c, 0.1 * p + 0.01 * c + (5.0 if (p, c) == (3, 1) else 0.0)) for p in range(30) for c in range(4)] + [(99, 9, 1.0), (98, 0, None), (97, 2, -50.0), (97, 3, 50.0)]
+    held = Rounds(spark, last=1)
+    found = radiometry.solve_capture_gains(spark.createDataFrame(rows, "point long, capture long, v double"), held.keep, rounds=6)
+    assert {x.capture: x.gain for x in found.collect()} == pytest.approx({c: 0.015 - 0.01 * c for c in range(4)}, abs=0.01)
+    root = Path(held.root.removeprefix("file://"))
+    assert held.n > 4 and [x.name for x in root.iterdir()] == [str(held.n)]
+
+
 def test_robust_fit():
     r = np.random.default_rng(4)
     x, y = r.uniform(-1, 1, (2, 400))
