@@ -100,7 +100,13 @@ def span(first: Column, last: Column) -> Column:
 
 
 def coverage_grid(prints: DataFrame, bounds: DataFrame, exact: bool = True, few: bool = False) -> DataFrame:
-    """(survey, row, col, n): footprints that hold each cell's centre; rows count down from ymax. exact=False counts boxes.
+    """(survey, row, col, n): footprints that hold each cell's centre; rows count down from ymax. exact=False counts boxes."""
+    spans = coverage_spans(prints, bounds, exact, few)
+    return spans.select("survey", "row", F.explode(F.sequence(F.col("col"), F.col("after") - 1)).alias("col"), "n")
+
+
+def coverage_spans(prints: DataFrame, bounds: DataFrame, exact: bool = True, few: bool = False) -> DataFrame:
+    """(survey, row, col, after, n): coverage_grid by spans of cells with the same count, from col up to before `after`.
 
     A survey's bounds are one row (few: known to be so few surveys that they fit a broadcast). A footprint emits, for each row of its
     box, the two ends of each span between the row's crossings with it, so that work grows with outlines and not with areas; running
@@ -123,18 +129,21 @@ def coverage_grid(prints: DataFrame, bounds: DataFrame, exact: bool = True, few:
     changes = spans.filter("after > first").select("survey", "row", F.inline(F.array(change("first", 1), change("after", -1)))).repartition("survey", "row")
     line = Window.partitionBy("survey", "row").orderBy("col")
     runs = changes.groupBy("survey", "row", "col").agg(F.sum("d").alias("d")).select("survey", "row", F.col("col").alias("first"), F.sum("d").over(line).alias("n"), F.lead("col").over(line).alias("after"))
-    return runs.filter("n > 0").select("survey", "row", F.explode(F.sequence(F.col("first"), F.col("after") - 1)).alias("col"), "n")
+    return runs.filter("n > 0").select("survey", "row", F.col("first").alias("col"), "after", "n")
 
 
 def coverage_stats(area: DataFrame, least: int = LOW_OVERLAP) -> DataFrame:
-    """Statistics of the cells of a survey's area (survey, n, interior, cell): areas in square metres, overlap with empty cells counted."""
+    """Statistics of the cells of a survey's area (survey, n, interior, cell; cells: how many a row stands for, else one): areas in
+    square metres, overlap with empty cells counted."""
     sq = F.first("cell") * F.first("cell")
+    cells = F.col("cells") if "cells" in area.columns else F.lit(1)
+    total = lambda which: F.coalesce(F.sum(F.when(which, cells)), F.lit(0)) * sq
     return area.groupBy("survey").agg(
-        (F.count("*") * sq).alias("survey_area_m2"),
-        (F.count_if("gap") * sq if "gap" in area.columns else F.count_if(F.col("n") == 0) * sq).alias("gap_area_m2"),
-        (F.count_if(F.col("interior") & (F.col("n") > 0) & (F.col("n") < least)) * sq).alias("low_overlap_area_m2"),
-        F.median("n").alias("overlap_median"),
-        F.percentile("n", F.lit(0.1)).alias("overlap_p10"),
+        (F.sum(cells) * sq).alias("survey_area_m2"),
+        total(F.col("gap") if "gap" in area.columns else F.col("n") == 0).alias("gap_area_m2"),
+        total(F.col("interior") & (F.col("n") > 0) & (F.col("n") < least)).alias("low_overlap_area_m2"),
+        F.percentile("n", F.lit(0.5), cells).alias("overlap_median"),
+        F.percentile("n", F.lit(0.1), cells).alias("overlap_p10"),
     )
 
 

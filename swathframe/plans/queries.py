@@ -232,12 +232,12 @@ _CELLS = f"""{_BOXES}, c AS (SELECT survey, u.c AS col, v.r AS row FROM b, unnes
 g AS (SELECT survey, row, col, count(*) AS n FROM c GROUP BY ALL)"""
 
 
-def _grid(spark, sf_dir, exact=False):
+def _grid(spark, sf_dir, exact=False, counted=coverage.coverage_grid):
     prints = coverage.footprints(_nadir(spark, sf_dir))
     # boxes a hair wider, so that cells whose centre is on an edge count on both sides
     prints = prints.withColumns({"x0": F.col("x0") - 1e-8, "y0": F.col("y0") - 1e-8, "x1": F.col("x1") + 1e-8, "y1": F.col("y1") + 1e-8})
     bounds = prints.select("survey").distinct().select("survey", F.lit(-100.0).alias("xmin"), F.lit(1800.0).alias("ymax"), F.lit(10.0).alias("cell"))
-    return coverage.coverage_grid(prints, bounds, exact)
+    return counted(prints, bounds, exact)
 
 
 @query(f"WITH {_CELLS} SELECT survey, CAST(row AS INTEGER) AS row, CAST(col AS INTEGER) AS col, n FROM g", ("shots",))
@@ -287,8 +287,8 @@ def coverage_palette(spark, sf_dir):
 @query()
 def coverage_gaps(spark, sf_dir):
     """Areas, gaps and low overlap of whole survey areas, holes and bridged gaps included."""
-    grid = _grid(spark, sf_dir).withColumn("cell", F.lit(10.0))
-    return coverage.coverage_stats(grids.area_cells(grid, 60.0, 20.0))
+    spans = _grid(spark, sf_dir, counted=coverage.coverage_spans).withColumn("cell", F.lit(10.0))
+    return coverage.coverage_stats(grids.area_counts(spans, 60.0, 20.0))
 
 
 @query()

@@ -114,6 +114,19 @@ def test_survey_area(spark):
     assert s.gap_area_m2 >= 8 * 3 * 4 and s.survey_area_m2 == s.gap_area_m2 + split.sum() * 4 and s.overlap_median == 3
 
 
+def test_area_counts(spark):
+    """Counts of alike cells from spans, as from cells; discs wider than the grid."""
+    r = np.random.default_rng(6)
+    rows = [(s, row, int(c), int(c) + int(r.integers(1, 3)), int(r.integers(1, 4)), 2.0) for s in range(3) for row in range(12) for c in range(0, 24, 3) if r.random() < 0.6]
+    spans = spark.createDataFrame(rows, "survey long, row int, col int, after int, n int, cell double")
+    area = grids.area_cells(spans.select("survey", "row", F.explode(F.sequence("col", F.col("after") - 1)).alias("col"), "n", "cell"), 4.0, 2.0)
+    counts = grids.area_counts(spans, 4.0, 2.0)
+    keys = ["survey", "n", "gap", "interior", "cell"]
+    assert sorted(counts.collect()) == sorted(area.groupBy(*keys).agg(F.count("*").alias("cells")).collect())
+    assert sorted(coverage.coverage_stats(counts).collect()) == sorted(coverage.coverage_stats(area).collect())
+    assert grids.dilated(np.array([[True, False, False]]), 1.0).tolist() == [[True, True, False]] and grids.dilated(np.array([[True, False]]), 9.0).all()
+
+
 def test_overlap():
     square = lambda x: [(x, 0.0), (x + 2, 0.0), (x + 2, 2.0), (x, 2.0)]
     assert coverage.clipped_area(square(0), square(1)) == pytest.approx(2.0) and coverage.clipped_area(square(0), square(5)) == 0.0
