@@ -23,6 +23,21 @@ def test_triangles_are_delaunay():
     assert set(t.ravel()) == set(range(60))
 
 
+def test_triangles_of_many_points():
+    """Lattices (four points on every circle), lines, far off origins, and as many points as a look at every triangle could not do."""
+    for xy in (np.stack(np.meshgrid(np.arange(40) * 0.1 + 7e5, np.arange(30) * 0.4), axis=-1).reshape(-1, 2), np.random.default_rng(3).normal(0, 50, (40000, 2)), np.array([[0, 0], [1, 0], [2, 0], [3, 0], [1.5, 1e-9]], float)):
+        t = surface.triangles(xy)
+        a, b, c = xy[t[:, 0]], xy[t[:, 1]], xy[t[:, 2]]
+        area = np.abs((b[:, 0] - a[:, 0]) * (c[:, 1] - a[:, 1]) - (b[:, 1] - a[:, 1]) * (c[:, 0] - a[:, 0])) / 2
+        edges, count = np.unique(np.sort(np.concatenate([t[:, :2], t[:, 1:], t[:, ::2]]), axis=1), axis=0, return_counts=True)
+        assert len(np.unique(t)) == len(xy) and count.max() <= 2 and len(xy) - len(edges) + len(t) == 1
+        hull = xy[edges[count == 1]] - xy.mean(axis=0)
+        assert area.sum() == pytest.approx(np.abs(hull[:, 0, 0] * hull[:, 1, 1] - hull[:, 0, 1] * hull[:, 1, 0]).sum() / 2, rel=1e-6)
+    assert len(surface.triangles(np.stack([np.arange(9.0), 2 * np.arange(9.0)], axis=1))) == 0
+    xyz = np.array([[0, 0, 1], [9, 0, 1], [0, 9, 1], [9, 9, 1], [9, 9, 5]], float)
+    assert (surface.interpolated(xyz, 0.0, 9.0, 3.0, 4, 4, smooth=False) == surface.interpolated(xyz[::-1], 0.0, 9.0, 3.0, 4, 4, smooth=False)).all()
+
+
 def test_surface_keeps_planes(spark):
     r = np.random.default_rng(2)
     xy = np.concatenate([r.uniform(0, 100, (80, 2)), [[0, 0], [0, 100], [100, 0], [100, 100]]])
