@@ -32,13 +32,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, mix, settle, slices, split_words
+from .common import Scratch, mix, runs, settle, slices, split_words
 
 WINDOW, END, K1, B = 4096, 2, 1.2, 0.75
 #: Characters of a shard, about; parts that a worker remembers.
 SHARD_CHARS, REMEMBERED = 2 << 20, 300_000
 #: Shards of a partition, about; ids picked for a document's place.
 SHARDS_A_PART, LEVELS = 4, 3
+#: Documents a partition, about, whose places part the documents.
+SAMPLED = 100
 
 
 #: Words of these characters (ASCII and the letters of Latin-1) need no normalisation but lower case, and split by PARTS.
@@ -146,7 +148,7 @@ def token_ids(texts: pa.Array, path: str) -> list[np.ndarray]:
 
 
 def _encode(batches, path):
-    for b in slices(batches, "text", rows=2048, size=8 << 20):
+    for b in slices(batches, "text", rows=8192, size=8 << 20):
         ids = [np.append(x, np.uint16(END)).tobytes() for x in token_ids(b.column("text"), path)]
         chars = pc.add(pc.fill_null(pc.utf8_length(b.column("text")), 0).cast(pa.int64()), 8)
         yield pa.RecordBatch.from_arrays([b.column("row_id"), b.column("doc_id"), chars, pa.array(ids, pa.binary())], ["row_id", "doc_id", "chars", "ids"])
@@ -184,19 +186,44 @@ def _counts(batches, window):
     yield pa.RecordBatch.from_arrays([pa.array(np.append(term, -1)), pa.array(np.append(df[term], n)), pa.array(np.append(0 * term, size))], ["term", "n", "size"])
 
 
-def _keyed(batches, window, corpus):
-    """Adds each document's place: ids picked with their BM25 weights as chances, the same pick of equal ids."""
+def _keyed(batches, window, corpus, bounds):
+    """Each document's place: ids picked with their BM25 weights as chances, the same pick of equal ids. With bounds (key, row_id) the
+    whole document under the part that its place is in, else the place alone."""
     for b in slices(batches, "ids"):
         pieces = _rests(b.column("ids"), window)
         piece, term, tf = _terms(pieces)
         key = np.zeros(len(pieces), np.int64)
         if len(piece):
             weight, start = _bm25(corpus, term, tf, np.array([len(p) for p in pieces])[piece]), np.flatnonzero(np.diff(piece, prepend=-1))
+            many = np.diff(np.append(start, len(piece)))
             for level in range(LEVELS):
                 chance = (mix(term + ((level + 1) << 32)) >> np.uint64(11)).astype(np.float64) + 0.5
-                order = np.lexsort((-np.log(chance / (1 << 53)) / weight, piece))
-                key[piece[start]] = key[piece[start]] << 16 | term[order[start]]
-        yield pa.RecordBatch.from_arrays([pa.array(key), *b.columns], ["key", *b.schema.names])
+                value = -np.log(chance / (1 << 53)) / weight
+                least = np.flatnonzero(value == np.repeat(np.minimum.reduceat(value, start), many))
+                key[piece[start]] = key[piece[start]] << 16 | term[least[runs(piece[least])]]
+        if bounds is None:
+            yield pa.RecordBatch.from_arrays([pa.array(key), b.column("row_id")], ["key", "row_id"])
+        else:
+            part = _part(bounds, key, b.column("row_id").to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(key), *b.columns], ["part", "key", *b.schema.names])
+
+
+def _part(bounds: tuple[np.ndarray, np.ndarray], key: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """How many of the bounds (key, row_id), which are sorted, lie before each key and row."""
+    first, last = (np.searchsorted(bounds[0], key, side=s) for s in ("left", "right"))
+    part = first.copy()
+    tied = first < last
+    for i in np.unique(first[tied]):  # bounds of the same key
+        at = np.flatnonzero(tied & (first == i))
+        part[at] = i + np.searchsorted(bounds[1][i : last[at[0]]], row[at])
+    return part.astype(np.int32)
+
+
+def _bounds(found: pa.Table, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and rows that part a sample of documents into equal parts."""
+    found = found.sort_by([("key", "ascending"), ("row_id", "ascending")])
+    at = np.arange(1, parts) * found.num_rows // parts if found.num_rows else np.zeros(0, np.int64)
+    return tuple(found.column(c).to_numpy()[at] for c in ("key", "row_id"))
 
 
 def _bm25(corpus: Corpus, term: np.ndarray, tf: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -329,7 +356,12 @@ def packed(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFrame:
             df[r.term] = r.n
     corpus = Corpus(n, size / max(n, 1), df)
     chars = work.agg(F.sum("chars")).first()[0] or 0
-    keyed = work.mapInArrow(partial(_keyed, window=window, corpus=corpus), f"key long, {coded}")
+    # places of a sample of the documents part them evenly; any bounds would do
+    parts = max(1, -(-chars // (SHARD_CHARS * SHARDS_A_PART)))
+    share = min(1.0, SAMPLED * parts / max(n, 1))
+    some = work.filter(F.pmod(F.xxhash64("row_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    bounds = _bounds(some.mapInArrow(partial(_keyed, window=window, corpus=corpus, bounds=None), "key long, row_id long").toArrow(), parts)
+    keyed = work.mapInArrow(partial(_keyed, window=window, corpus=corpus, bounds=bounds), f"part int, key long, {coded}")
     # row_id: equal keys (exact copies) may be many
-    near = keyed.repartitionByRange(max(1, -(-chars // (SHARD_CHARS * SHARDS_A_PART))), "key", "row_id").sortWithinPartitions("key", "row_id")
+    near = keyed.repartitionById(parts, "part").drop("part").sortWithinPartitions("key", "row_id")
     return near.mapInArrow(partial(_shards, window=window, corpus=corpus, shard_chars=SHARD_CHARS), SCHEMA)

@@ -310,3 +310,12 @@ def test_one_payload_of_many_pages(spark):
 def test_names():
     names = list(queries.queries())
     assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11)) and set(queries.oracle_sql()) <= set(names)
+
+
+def test_bounds_of_places():
+    """Bounds part equal keys by row."""
+    key, row = np.array([1, 1, 1, 1, 1, 1, 5, 9]), np.arange(8)
+    bounds = packing._bounds(pa.table({"key": key[::-1], "row_id": row[::-1]}), 4)
+    part = packing._part(bounds, key, row)
+    assert part.tolist() == sorted(part.tolist()) and np.bincount(part).max() <= 3 and part.max() == 3
+    assert packing._part(packing._bounds(pa.table({"key": key[:0], "row_id": row[:0]}), 1), key, row).tolist() == [0] * 8
