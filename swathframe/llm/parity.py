@@ -443,11 +443,16 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     while True:
         known = labels.withColumnRenamed("label", "known")
         named = buckets.filter("node != pivot").select("bucket", "node").join(known, "node", "left").select("bucket", "node", F.coalesce("known", "node").alias("label"))
-        apart = named.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("s")).filter("x != y").select("bucket", F.expr(f"cast(ceil(s / {TILE}) as int)").alias("tiles"))
+        # of a large bucket, members of its largest component meet the others, which also meet each other, but not themselves
+        sized = named.groupBy("bucket", "label").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.max(F.struct("k", "label")).alias("top"), F.sum("k").alias("s"), F.count("*").alias("labels")).filter("labels > 1")
+        parts = lambda rows, small: F.expr(f"cast(if(s > {TILE}, ceil(({rows}) / {TILE}), {small}) as int)")
+        apart = sized.select("bucket", F.col("top.label").alias("main"), parts("top.k", 0).alias("mains"), parts("s - top.k", 1).alias("rest"))
         tiles = scratch.keep(named.join(apart, "bucket"), f"apart{few}")
         chunks = max(1, tiles.count() // CHUNK)
-        tiles = tiles.withColumn("part", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        group = F.when(F.col("tiles") == 1, F.pmod("bucket", F.lit(chunks))).otherwise(F.col("bucket"))
+        dealt = lambda n: F.pmod(F.xxhash64("node"), F.greatest(F.col(n), F.lit(1))).cast("int")
+        own = (F.col("mains") > 0) & (F.col("label") == F.col("main"))
+        tiles = tiles.withColumn("part", F.when(own, dealt("mains")).otherwise(F.col("mains") + dealt("rest"))).withColumn("other", F.explode(F.sequence(F.when(own, F.col("mains")).otherwise(0), F.col("mains") + F.col("rest") - 1)))
+        group = F.when(F.col("mains") == 0, F.pmod("bucket", F.lit(chunks))).otherwise(F.col("bucket"))
         tiles = tiles.select("bucket", group.alias("chunk"), "node", "label", "part", F.least("part", "other").alias("ta"), F.greatest("part", "other").alias("tb")).join(bits.select("node", "n", "bits"), "node")
         inside = tiles.groupBy("chunk", "ta", "tb").applyInArrow(compared(few), "node long, pivot long, more boolean")
         here, there = known.select("node", F.col("known").alias("la")), known.select(F.col("node").alias("pivot"), F.col("known").alias("lb"))

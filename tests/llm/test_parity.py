@@ -145,3 +145,19 @@ def test_keys_hot_in_a_task(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
     got = {x.doc_id: (x.n_shingles, x.component_id) for x in parity.jaccard_components(docs).collect()}
     assert got == brute(rows)
+
+
+def test_rows_of_a_large_bucket(spark, monkeypatch):
+    """A group whose sets are one component but for a few sends each of its rows to few tiles, and loses no link."""
+    monkeypatch.setattr(parity, "TILE", 8)
+    monkeypatch.setattr(parity, "HOT", 20)
+    met, tile = [], parity.Scratch.keep
+    monkeypatch.setattr(parity.Scratch, "keep", lambda self, df, name: (met.append(df) if name.startswith("apart") else None, tile(self, df, name))[1])
+    r = random.Random(4)
+    base = [f"b{i}" for i in range(60)]
+    rows = [(i, " ".join([*base, *(f"n{i}_{k}" for k in range(r.randrange(1, 4)))])) for i in range(120)]
+    rows += [(200 + i, " ".join([*base, *(f"m{i}_{k}" for k in range(18))])) for i in range(6)]
+    assert result(parity.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))) == {(i, *v) for i, v in brute(rows).items()}
+    for df in met:
+        large = df.filter("mains > 0").selectExpr("sum(if(label = main, rest, mains + rest)) AS n", "count(*) AS s").first()
+        assert large.n is None or large.n <= 4 * large.s  # by tiles of all members: 15 and more
